@@ -69,10 +69,10 @@ def typed_records(train: DataFrame) -> DataFrame:
     return train.select(
         F.col("rec_id"),
         F.col("document_id"),
-        F.expr(f"transform(passages, e -> named_struct('kind', e.kind, 'text', e.text, 'offsets', {wide}))").alias("passages"),
+        F.expr(f"transform(passages, e -> CASE WHEN e IS NOT NULL THEN named_struct('kind', e.kind, 'text', e.text, 'offsets', {wide}) END)").alias("passages"),
         F.expr(
-            f"transform(entities, e -> named_struct('kind', e.kind, 'text', e.text, 'offsets', {wide}, 'normalized', "
-            "transform(e.normalized, n -> named_struct('db_name', n.db_name, 'db_id', n.db_id))))"
+            f"transform(entities, e -> CASE WHEN e IS NOT NULL THEN named_struct('kind', e.kind, 'text', e.text, 'offsets', {wide}, 'normalized', "
+            "transform(e.normalized, n -> named_struct('db_name', n.db_name, 'db_id', n.db_id))) END)"
         ).alias("entities"),
     )
 
