@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from spanforge.llm.chunk_encoding import encode_corpus
 from spanforge.llm.format_variants import collapse_records, copies_beyond_first, record_keys
 from spanforge.llm.grouped_splits import split_related
+from spanforge.llm.leakage import leaks
+from spanforge.llm.look_alikes import look_alike_pairs, visual_forms
+from spanforge.llm.nearest_vectors import nearest, usable
+from spanforge.llm.sentences import sentence_units
 from spanforge.session import table
 
 
@@ -23,6 +27,10 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_records(_kb_keys(spark, sf_dir)).select(F.col("lo").alias("kb_lo"), F.col("n").alias("n_copies"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "bioelqa_dev_mentions_contexts"))
+
+
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_related(table(spark, sf_dir, "bioelqa_dev_mentions"), table(spark, sf_dir, "doc_aliases"))
 
@@ -37,16 +45,39 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splits(spark, sf_dir).select(F.col("id").alias("row_id"), "split")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = usable(table(spark, sf_dir, "bioelqa_dev_mention_vectors"), "row_id", "embedding")
+    entities = usable(table(spark, sf_dir, "bioelqa_dev_candidates_sapbert_genelevel_top20"), "entity_id", "embedding")
+    return nearest(mentions, entities, 10).select(F.col("query_id").alias("row_id"), F.col("id").alias("entity_id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bioelqa_test_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_forms(table(spark, sf_dir, "documents")).select("doc_id", "form")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_records": p1_records,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_forms": p8_forms,
 }
 
 _FOLD = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
