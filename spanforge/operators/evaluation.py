@@ -82,18 +82,23 @@ def order_stability(original: DataFrame, shuffled: DataFrame, key: str) -> DataF
     """Both: key, ids (array), letter. The runs must have the same keys and the same candidates, else an error."""
     a = original.select(key, F.col("ids").alias("ids_a"), F.col("letter").alias("letter_a"), F.lit(True).alias("in_a"))
     b = shuffled.select(key, F.col("ids").alias("ids_b"), F.col("letter").alias("letter_b"), F.lit(True).alias("in_b"))
-    same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & (F.array_sort("ids_a") == F.array_sort("ids_b"))
-    met = a.join(b, key, "full").where(F.when(F.coalesce(same, F.lit(False)), True).otherwise(F.raise_error(F.lit("the runs differ in cases or candidates"))))
+    same = F.coalesce(F.col("in_a") & F.col("in_b") & (F.array_sort("ids_a") == F.array_sort("ids_b")), F.lit(False))
     pick = lambda ids, letter: F.get(F.col(ids), F.ascii(F.col(letter)) - 65)
-    met = met.select("*", pick("ids_a", "letter_a").alias("id_a"), pick("ids_b", "letter_b").alias("id_b")).where("id_a IS NOT NULL AND id_b IS NOT NULL")
+    met = a.join(b, key, "full").select("*", same.alias("same"), pick("ids_a", "letter_a").alias("id_a"), pick("ids_b", "letter_b").alias("id_b"))
+    both = F.col("id_a").isNotNull() & F.col("id_b").isNotNull()
     moved = first_index(F.col("ids_a"), F.col("id_a")) != first_index(F.col("ids_b"), F.col("id_a"))
     same_id, same_letter = F.col("id_a") == F.col("id_b"), F.col("letter_a") == F.col("letter_b")
+    count = lambda condition: F.count_if(both & condition)
+    # The check is a count like the others: a filter that raises could be moved or dropped by the optimizer.
     counts = met.agg(
-        F.count(F.lit(1)).alias("comparable"), F.count_if(same_id).alias("same_id"), F.count_if(same_letter).alias("same_letter"),
-        F.count_if(moved).alias("moved"), F.count_if(moved & same_id).alias("followed_id"), F.count_if(moved & same_letter).alias("repeated_letter"),
+        F.count_if(~F.col("same")).alias("differing"), F.count_if(both).alias("comparable"), count(same_id).alias("same_id"), count(same_letter).alias("same_letter"),
+        count(moved).alias("moved"), count(moved & same_id).alias("followed_id"), count(moved & same_letter).alias("repeated_letter"),
     )
     c = F.col
-    return counts.select("*", rate(c("same_id"), c("comparable")).alias("same_id_rate"), rate(c("followed_id"), c("moved")).alias("followed_rate"))
+    checked = F.when(c("differing") > 0, F.raise_error(F.lit("the runs differ in cases or candidates"))).otherwise(c("comparable"))
+    rest = ("same_id", "same_letter", "moved", "followed_id", "repeated_letter")
+    rates = (rate(c("same_id"), c("comparable")).alias("same_id_rate"), rate(c("followed_id"), c("moved")).alias("followed_rate"))
+    return counts.select(checked.alias("comparable"), *rest, *rates)
 
 
 def gain_hurt(rows: DataFrame, base: Column, new: Column) -> DataFrame:

@@ -86,13 +86,13 @@ def char_ngrams(text: Column, least: int = 2, most: int = 5) -> Column:
     """Character n-grams within words, each word padded with a space on both sides."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
+    def of_length(padded: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(padded) - n + 1)
+        return F.when(F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.flatten(F.array(*(
-            F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n))))
-            .otherwise(F.array().cast("array<string>"))
-            for n in range(least, most + 1)
-        )))
+        return F.flatten(F.array(*(of_length(padded, n) for n in range(least, most + 1))))
 
     return F.flatten(F.transform(words, grams))
 
