@@ -96,45 +96,67 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": rows, "no": nos, "hash": hashes, "chunk": chunks})
 
 
+def sure_ends(text: str, ids: list[int], lengths: np.ndarray) -> tuple[int, str, int, str]:
+    """First and last sure boundary within a chunk: how many tokens stand before the first and the text they encode, how
+    many before the last and the text behind it. -1 where the chunk has none."""
+    first = SURE.search(text, 1)
+    if first is None:
+        return -1, text, -1, ""
+    at = first.start()
+    last = at
+    back = 64
+    while last == at:  # the last one, looked for from the end
+        window = max(at, len(text) - back)
+        for m in SURE.finditer(text, window):
+            last = m.start()
+        if window == at:
+            break
+        back *= 4
+    ends = np.cumsum(lengths[np.asarray(ids, np.int64)])
+    i, j = (int(np.searchsorted(ends, len(text[:p].encode()), side="right")) for p in (at, last))
+    return i, text[:at], j, text[last:]
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, _ = encoder(path)
+        tokens, lengths = encoder(path)
         for pdf in batches:
-            yield pd.DataFrame({"hash": pdf["hash"], "ids": [tokens.encode_ordinary(c) for c in pdf["chunk"]]})
+            ids = [tokens.encode_ordinary(c) for c in pdf["chunk"]]
+            ends = [sure_ends(c, x, lengths) for c, x in zip(pdf["chunk"], ids, strict=True)]
+            yield pd.DataFrame({"hash": pdf["hash"], "ids": ids} | {n: [e[k] for e in ends] for k, n in enumerate(("before", "head", "upto", "tail"))})
 
     return run
 
 
-def joined_ids(chunks: list[list[int]], tokens, lengths: np.ndarray) -> list[int]:
-    """Ids of the whole text from those of its chunks in order."""
+def joined_ids(chunks: list[tuple[list[int], int, str, int, str]], tokens) -> list[int]:
+    """Ids of the whole text from its chunks in order: (ids, tokens before the first sure boundary, their text, tokens
+    before the last one, the text behind it)."""
     if len(chunks) == 1:
-        return list(chunks[0])
+        return list(chunks[0][0])
     out: list[int] = []
     pending = ""
-    for ids in chunks:
-        ids = np.asarray(ids, np.int64)
-        raw = tokens.decode_bytes(ids.tolist())
-        text = raw.decode("utf-8")
-        shift = 1 if pending else 0
-        places = [m.start() - shift for m in SURE.finditer(pending[-1:] + text)]
-        if not places:
-            pending += text
+    for n, (ids, before, head, upto, tail) in enumerate(chunks):
+        if n and SURE.search(pending[-1:] + head[:1]):  # the join itself is a sure boundary
+            out += tokens.encode_ordinary(pending)
+            pending = ""
+        if before < 0:
+            pending += head
             continue
-        first, last = places[0], places[-1]
-        ends = np.cumsum(lengths[ids]) if len(ids) else np.zeros(0, np.int64)
-        at = (len(text[:first].encode()), len(text[:last].encode()))
-        i, j = (int(np.searchsorted(ends, x, side="right")) for x in at)
-        out += tokens.encode_ordinary(pending + text[:first])
-        out += ids[i:j].tolist()
-        pending = text[last:]
+        if pending:
+            out += tokens.encode_ordinary(pending + head)
+            out += ids[before:upto]
+        else:
+            out += ids[:upto]
+        pending = tail
     return out + tokens.encode_ordinary(pending)
 
 
 def _repaired(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, lengths = encoder(path)
+        tokens, _ = encoder(path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [joined_ids(list(x), tokens, lengths) for x in pdf["parts"]]})
+            made = [joined_ids([(list(p["ids"]), p["before"], p["head"], p["upto"], p["tail"]) for p in parts], tokens) for parts in pdf["parts"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": made})
 
     return run
 
@@ -149,7 +171,7 @@ def encode_corpus(documents: DataFrame, tokenizers: str = TOKENIZERS, name: str
     filled = texts.where("text <> ''").select(row.alias("row"), "text")
     chunks = filled.mapInPandas(_chunked, "row struct<doc_id: bigint, at: bigint>, no int, hash binary, chunk string")
     distinct = chunks.groupBy("hash").agg(F.first("chunk").alias("chunk"))
-    encoded = distinct.mapInPandas(_encoded(path), "hash binary, ids array<int>")
-    parts = chunks.select("row", "no", "hash").join(encoded, "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("p"))
-    repaired = parts.select("row.doc_id", F.col("p.ids").alias("parts")).mapInPandas(_repaired(path), "doc_id bigint, ids array<int>")
+    encoded = distinct.mapInPandas(_encoded(path), "hash binary, ids array<int>, before int, head string, upto int, tail string")
+    parts = chunks.select("row", "no", "hash").join(encoded, "hash").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids", "before", "head", "upto", "tail"))).alias("parts"))
+    repaired = parts.select("row.doc_id", "parts").mapInPandas(_repaired(path), "doc_id bigint, ids array<int>")
     return repaired.unionByName(empty)
