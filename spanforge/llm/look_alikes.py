@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.session import cut
+
 #: Letters drawn alike, one line per shape, by script.
 _SHAPES = """
 L:a C:а
@@ -133,7 +135,8 @@ def visual_forms(documents: DataFrame) -> DataFrame:
 
 def look_alike_pairs(documents: DataFrame) -> DataFrame:
     """(doc_lo, doc_hi): every pair of documents that look the same with different characters."""
-    docs = visual_forms(documents).select("doc_id", F.md5("form").alias("key"), "mark")
+    # Read four times below: the forms are made once and written as narrow rows.
+    docs = cut(visual_forms(documents).select("doc_id", F.unhex(F.md5("form")).alias("key"), F.unhex("mark").alias("mark")))
     mixed = docs.groupBy("key").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most").select("key")
     docs = docs.join(mixed, "key")
     kinds = docs.select("key", "mark").distinct()
