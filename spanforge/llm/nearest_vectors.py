@@ -133,7 +133,10 @@ def search(x: np.ndarray, y: np.ndarray, ids: np.ndarray, mean: np.ndarray, rota
         worst[full] = low[full]
         share = np.arccos(np.clip(worst, -1, 1)) / math.pi
         radius = np.minimum(bits, np.ceil(bits * share + SURE * np.sqrt(bits * share * (1 - share)))).astype(np.int64)
-        q, r, score = _best(*index.within(own, radius), vectors, y, ids, k)
+        near = index.within(own, radius)
+        # What was met first counts too, wherever its code lies.
+        keys = np.unique(np.concatenate([q, near[0]]) * len(y) + np.concatenate([r, near[1]]))
+        q, r, score = _best(keys // len(y), keys % len(y), vectors, y, ids, k)
         out.append((q + a, r, score))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
@@ -163,6 +166,8 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     mean, rotation = learn_rotations(rows)
     entity_blocks = max(1, math.ceil(entities.count() / ENTITY_BLOCK))
     asked = queries.count()
+    if not asked:
+        return spark.createDataFrame([], schema)
     query_blocks = max(1, math.ceil(asked / min(MOST_QUERIES, max(LEAST_QUERIES, asked // QUERY_BLOCKS))))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -170,7 +175,7 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     right = entities.select("id", "v", place(entity_blocks).alias("eb"), every(query_blocks).alias("qb"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
+        if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
         ids = b["id"].to_numpy()
         q, r, score = search(_unit(a), _unit(b), ids, mean, rotation, k)
