@@ -51,15 +51,18 @@ def dot(a: Column, b: Column) -> Column:
 def dense_top(queries: DataFrame, entities: DataFrame, k: int, block: int = 20_000, tile: int = 1_000) -> DataFrame:
     """query_id, entity_id, score: exact cosine of every query with every entity, in blocks of both sides; each block
     keeps its k best, the blocks' lists are merged. Inputs have id and v; vectors without direction take no part."""
-    width = lambda df, n: max(1, math.ceil(df.count() / n))
-    eb, qb = width(entities, block), width(queries, tile)
+    sizes = [df.count() for df in (entities, queries)]
+    if not all(sizes):
+        empty = queries.sparkSession.createDataFrame([], "query_id bigint, entity_id bigint, score double, pos int")
+        return empty
+    eb, qb = (math.ceil(n / size) for n, size in zip(sizes, (block, tile), strict=True))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", normalised(F.col("v")).alias("v"), place(qb).alias("q"), every(eb).alias("e")).where("v IS NOT NULL")
     right = entities.select("id", normalised(F.col("v")).alias("v"), place(eb).alias("e"), every(qb).alias("q")).where("v IS NOT NULL")
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
+        if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "entity_id": [], "score": []})
         ids = b["id"].to_numpy()
         scores = np.round(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, 9)

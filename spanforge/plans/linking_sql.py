@@ -72,6 +72,10 @@ _ENTITY_GOLD = """SELECT rec_id, document_id AS doc_id, i - 1 AS ent_no, entitie
 GOLD_ALL = f"SELECT * FROM ({_ENTITY_GOLD.format('')}) WHERE start_pos IS NOT NULL AND gold_geneid <> ''"
 GOLD = f"SELECT * FROM ({_ENTITY_GOLD.format(chr(65) + 'ND n.db_name = ' + chr(39) + 'NCBIGene' + chr(39))}) WHERE start_pos IS NOT NULL AND gold_geneid <> '' AND kind IN ('GENE', 'GENERIF', 'STARGENE')"
 _DIGITS = "nullif(regexp_extract(doc_id, '([1-9][0-9]{7})', 1), '')"
+def _digits() -> str:
+    return _DIGITS
+
+
 SPANS = f"""{CANDS}, gold AS ({GOLD}),
 gspan AS (SELECT doc_id, start_pos, end_pos, string_split(gold_geneid, '|') AS gold FROM gold QUALIFY row_number() OVER (PARTITION BY doc_id, start_pos, end_pos ORDER BY rec_id DESC, ent_no DESC) = 1),
 pspan AS (SELECT doc_id, start_pos, end_pos, gene_id FROM (SELECT row_id, {_DIGITS} AS doc_id, start_pos, end_pos FROM bioelqa_dev_mentions) m
