@@ -141,8 +141,8 @@ def search(x: np.ndarray, y: np.ndarray, ids: np.ndarray, mean: np.ndarray, rota
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-def _unit(pdf: pd.DataFrame) -> np.ndarray:
-    x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -162,7 +162,7 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
         return spark.createDataFrame([], schema)
     d = max(sample["v"].map(len).mode())
     queries, entities = (df.where(F.size("v") == d) for df in (queries, entities))
-    rows = _unit(sample[sample["v"].map(len) == d])
+    rows = _unit(sample["v"][sample["v"].map(len) == d])
     mean, rotation = learn_rotations(rows)
     entity_blocks = max(1, math.ceil(entities.count() / ENTITY_BLOCK))
     asked = queries.count()
@@ -178,11 +178,12 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
         ids = b["id"].to_numpy()
-        q, r, score = search(_unit(a), _unit(b), ids, mean, rotation, k)
-        return pd.DataFrame({"query_id": a["id"].to_numpy()[q], "id": ids[r], "cosine": score})
+        q, r, score = search(_unit(a["asked"]), _unit(b["v"]), ids, mean, rotation, k)
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[q], "id": ids[r], "cosine": score})
 
     cell = F.pmod(F.col("qb") * entity_blocks + F.col("eb"), F.lit(query_blocks * entity_blocks)).alias("cell")
-    left, right = (df.select("id", "v", cell) for df in (left, right))
+    # New names on one side: both may stem from the same frame.
+    left, right = left.select(F.col("id").alias("query_id"), F.col("v").alias("asked"), cell), right.select("id", "v", cell)
     cells = query_blocks * entity_blocks
     spread = [df.repartition(min(cells, 2_000), "cell") for df in (left, right)]
     met = spread[0].groupBy("cell").cogroup(spread[1].groupBy("cell")).applyInPandas(pair, schema)
