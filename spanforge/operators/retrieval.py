@@ -58,16 +58,16 @@ def dense_top(queries: DataFrame, entities: DataFrame, k: int, block: int = 20_0
     eb, qb = (math.ceil(n / size) for n, size in zip(sizes, (block, tile), strict=True))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", normalised(F.col("v")).alias("v"), place(qb).alias("q"), every(eb).alias("e")).where("v IS NOT NULL")
+    left = queries.select(F.col("id").alias("query_id"), normalised(F.col("v")).alias("asked"), place(qb).alias("q"), every(eb).alias("e")).where("asked IS NOT NULL")
     right = entities.select("id", normalised(F.col("v")).alias("v"), place(eb).alias("e"), every(qb).alias("q")).where("v IS NOT NULL")
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "entity_id": [], "score": []})
         ids = b["id"].to_numpy()
-        scores = np.round(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, 9)
+        scores = np.round(np.stack(a["asked"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, 9)
         out = []
-        for q, row in zip(a["id"], scores, strict=True):
+        for q, row in zip(a["query_id"], scores, strict=True):
             near = np.nonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])[0]
             near = near[np.lexsort((ids[near], -row[near]))][:k]
             out.append(pd.DataFrame({"query_id": q, "entity_id": ids[near], "score": row[near]}))
