@@ -55,6 +55,8 @@ _WORD = regex.compile(r"[^\s]*")
 _THAI = regex.compile(r"\p{Thai}")
 _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Devanagari}\p{Arabic}]")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_COUNTED = regex.compile(r"\d+[\p{Han}\p{Hiragana}\p{Katakana}]")
+_CLAUSE = regex.compile(r"[^.!?。！？।؟]{0,60}")
 _GENE = regex.compile(r"\p{Ll}[\p{L}]*[-_/]?\d")
 
 
@@ -109,7 +111,7 @@ def _starts(text: str, at: int) -> bool:
     c = text[at : at + 1]
     if not c:
         return True
-    return c.isupper() or c.istitle() or c in "¿¡«„“\"([（「『" or bool(_CASELESS.match(c)) or bool(_GENE.match(text, at))
+    return bool(_COUNTED.match(text, at)) or c.isupper() or c.istitle() or c in "¿¡«„“\"([（「『" or bool(_CASELESS.match(c)) or bool(_GENE.match(text, at))
 
 
 def _stop_ends(text: str, i: int, j: int, start: int) -> bool:
@@ -147,7 +149,8 @@ def _stop_ends(text: str, i: int, j: int, start: int) -> bool:
     if kind == "numbered" and (following.isdigit() or following.islower() and not _GENE.match(text, nxt)):
         return False
     if kind == "title":
-        return _WORD.match(text, nxt).group().strip(",.;:") in _BEGIN
+        # Behind "of" it is rather a symbol than a title.
+        return _WORD.match(text, nxt).group().strip(",.;:") in _BEGIN or text[start:k].rstrip().endswith(" of")
     if kind == "may":
         word = _WORD.match(text, nxt).group()
         symbol = len(word) == 2 and word.isascii() and word.isalpha() and word not in _ON  # a gene symbol in small letters
@@ -223,7 +226,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
                     word = _WORD.match(text, nxt).group()
                     upper = text[nxt].isupper() or text[nxt] in "¿¡«„“\"([" or bool(_GENE.match(text, nxt))
                     short = text[nxt].islower() and len(word) <= 2 and word.isalpha() and word not in _ON and text[outer] == '"'
-                    ends = nxt > end and (upper or short)
+                    # Another script behind the quotation is another sentence.
+                    other = _CASELESS.search(_CLAUSE.match(text, nxt).group()) and not _CASELESS.search(text, start, end)
+                    ends = nxt > end and (upper or short or bool(other))
                 if not ends:
                     continue
             stack.clear()
