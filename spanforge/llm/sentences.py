@@ -150,7 +150,8 @@ def _stop_ends(text: str, i: int, j: int, start: int) -> bool:
         return False
     if kind == "title":
         # Behind "of" it is rather a symbol than a title.
-        return _WORD.match(text, nxt).group().strip(",.;:") in _BEGIN or text[start:k].rstrip().endswith(" of")
+        word = _WORD.match(text, nxt).group()
+        return word.strip(",.;:") in _BEGIN or word[-1] in ",:" or text[start:k].rstrip().endswith(" of")
     if kind == "may":
         word = _WORD.match(text, nxt).group()
         symbol = len(word) == 2 and word.isascii() and word.isalpha() and word not in _ON  # a gene symbol in small letters
