@@ -18,6 +18,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,23 +46,18 @@ def record_keys(kb: DataFrame, taxa: DataFrame, id_col: str = "kb_id") -> DataFr
         raise ValueError("taxa is taken to be a small dimension of at most 20,000 species")
     values = [canonical_value(F.col(c)).alias(f"v{i}") for i, c in enumerate(("term", "gene_id", "tax_id"))]
     rows = kb.select(F.col(id_col).alias("id"), *values)
-    digits = [F.col(f"v{i}").rlike(r"^[0-9]+\z") for i in range(3)]
-    known = [d & F.col(f"v{i}").isin(species) for i, d in enumerate(digits)] if species else [F.lit(False)] * 3
-    letters = [F.col(f"v{i}").rlike(r"\p{L}") for i in range(3)]
-    kinds = rows.select(
-        "id",
-        F.array(
-            *(
-                F.struct(F.when(known[i], 2).when(digits[i], 1).when(letters[i], 0).otherwise(3).alias("kind"), F.col(f"v{i}").alias("value"))
-                for i in range(3)
-            )
-        ).alias("parts"),
-        F.coalesce(F.col("v0"), F.lit("")).alias("a"),
-        F.coalesce(F.col("v1"), F.lit("")).alias("b"),
-        F.coalesce(F.col("v2"), F.lit("")).alias("c"),
-    ).where("a <> '' AND b <> '' AND c <> ''")
-    ordered = kinds.select("id", F.array_sort("parts").alias("p"))
-    return ordered.where("p[0].kind = 0 AND p[1].kind = 1 AND p[2].kind = 2").select("id", F.concat_ws("|", "p.value").alias("key"))
+    def kind(v: Column) -> Column:
+        digits = v.rlike(r"^[0-9]+\z")
+        number = F.when(v.isin(species), 2).otherwise(1) if species else F.lit(1)
+        return F.when(digits, number).when(v.rlike(r"\p{L}"), 0)
+
+    kinds = rows.select("*", *(kind(F.col(f"v{i}")).alias(f"k{i}") for i in range(3)))
+    key = F.lit(None)
+    for order in permutations(range(3)):  # order[k]: the column that holds the value of kind k
+        fits = (F.col(f"k{order[0]}") == 0) & (F.col(f"k{order[1]}") == 1) & (F.col(f"k{order[2]}") == 2)
+        key = F.when(fits, F.array(F.concat_ws("|", *(f"v{c}" for c in order)))).otherwise(key)
+    # An empty array gives no row. A filter would be pushed below the projections and make the values once more.
+    return kinds.select("id", F.explode(key).alias("key"))
 
 
 def hot_keys(keyed: DataFrame) -> list[str]:
