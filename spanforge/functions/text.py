@@ -153,12 +153,13 @@ def span_sentence(sentences: Column, start: Column, end: Column) -> Column:
     return F.get(hits, F.lit(0))["i"]
 
 
-def sentence_context(text: Column, start: Column, end: Column, around: int, fallback: int) -> Column:
-    """The sentence of a span with ``around`` neighbours on both sides; a window where no sentence meets the span."""
-    spans = simple_sentences(text)
-    at = span_sentence(spans, start, end)
+def sentence_context(text: Column, sentences: Column, at: Column, start: Column, end: Column, around: int, fallback: int) -> Column:
+    """The sentence at position ``at`` with ``around`` neighbours on both sides; a window of the text where ``at`` is null.
+
+    ``sentences`` and ``at`` are columns made by a projection of their own: both are used several times.
+    """
     low = F.greatest(at - around, F.lit(0))
-    part = F.array_join(F.transform(F.slice(spans, low + 1, at - low + 1 + around), lambda s: s["text"]), " ")
+    part = F.array_join(F.transform(F.slice(sentences, low + 1, at - low + 1 + around), lambda s: s["text"]), " ")
     return F.coalesce(part, strip(window_context(text, start, end, fallback)))
 
 

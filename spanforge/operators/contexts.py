@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import strip
+from spanforge.functions.text import sentence_context, simple_sentences, span_sentence, strip
 
 #: Entity types that count as a gene.
 GENE_KINDS = ("GENE", "GENERIF", "STARGENE")
@@ -85,6 +85,14 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str =
     return left.join(unique, on, "left").select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in named.values()))
 
 
+def with_sentence_contexts(df: DataFrame, text: str, start: str, end: str) -> DataFrame:
+    """df with ``sentence`` and ``three_sentences`` of each span; windows of 120 and 250 where no sentence meets it."""
+    cut = df.withColumn("_s", simple_sentences(F.col(text)))
+    cut = cut.withColumn("_at", span_sentence(F.col("_s"), F.col(start), F.col(end)))
+    own = lambda around, width: sentence_context(F.col(text), F.col("_s"), F.col("_at"), F.col(start), F.col(end), around, width)
+    return cut.withColumns({"sentence": own(0, 120), "three_sentences": own(1, 250)}).drop("_s", "_at")
+
+
 def tokens(df: DataFrame, text: str) -> DataFrame:
     """The rows with one token each: tok_no, token, tok_start, tok_end; tokens are what white space parts."""
     words = F.regexp_extract_all(F.col(text), F.lit(r"\s*\S+"), F.lit(0))

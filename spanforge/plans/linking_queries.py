@@ -163,9 +163,8 @@ def plain_sentences(spark, d):
 
 
 def sentence_contexts(spark, d):
-    t, a, b = F.col("ctx_document"), F.col("start_pos"), F.col("end_pos")
-    rows = table(spark, d, CONTEXTS).where("ctx_document <> ''")
-    return rows.select("row_id", text.sentence_context(t, a, b, 0, 120).alias("sentence"), text.sentence_context(t, a, b, 1, 250).alias("three_sentences"))
+    rows = table(spark, d, CONTEXTS).where("ctx_document <> ''").select("row_id", "ctx_document", "start_pos", "end_pos")
+    return contexts.with_sentence_contexts(rows, "ctx_document", "start_pos", "end_pos").select("row_id", "sentence", "three_sentences")
 
 
 def offset_sanity(spark, d):

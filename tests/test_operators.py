@@ -36,9 +36,9 @@ def test_simple_sentences(spark):
 
 
 def test_sentence_context_falls_back(spark):
-    c = text.sentence_context(F.col("t"), F.col("a"), F.col("b"), 0, 2)
-    assert one(spark, c, t="One. Two here. Three.", a=5, b=8) == "Two here."
-    assert one(spark, c, t="...", a=50, b=51) == ""
+    df = spark.createDataFrame([("One. Two here. Three.", 5, 8), ("...", 50, 51)], "t string, a int, b int")
+    got = [(r.sentence, r.three_sentences) for r in contexts.with_sentence_contexts(df, "t", "a", "b").collect()]
+    assert got == [("Two here.", "One. Two here. Three."), ("", "")]
 
 
 def test_parsers_disagree_on_purpose(spark):
