@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from spanforge.session import cut, shuffle_width
 
-BINS = 200
-TUPLES = 20_000
+BINS = 500
+TUPLES = 5_000
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 _OUTER = r"^[\s\p{Z}\x{FEFF}\x{200B}]+|[\s\p{Z}\x{FEFF}\x{200B}]+$"
