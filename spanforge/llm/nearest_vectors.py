@@ -24,12 +24,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROTATIONS, SUB, PROBE, SURE = 4, 16, 1, 0.5
 SAMPLE, STEPS = 20_000, 25
-ENTITY_BLOCK, LEAST_QUERIES, MOST_QUERIES, QUERY_BLOCKS = 50_000, 2_000, 20_000, 24
+ENTITY_BLOCK, LEAST_QUERIES, MOST_QUERIES, QUERY_BLOCKS, MOST_CELLS = 50_000, 2_000, 20_000, 24, 2_000
 
 
 def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +153,15 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & sound)
 
 
+def _own_partitions(spark: SparkSession, n: int, number: Column) -> Column:
+    """A value for each block pair that hash partitioning sends to partition ``number``: as many tasks as pairs, and
+    none that gets two while another gets none. Tries 30 n small integers on the driver."""
+    tried = spark.range(30 * n + 100).select(F.col("id").cast("int").alias("i"))
+    first = tried.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i").alias("i"))
+    values = {r["p"]: r["i"] for r in first.collect()}
+    return F.element_at(F.array(*(F.lit(values.get(p, p)) for p in range(n))), number.cast("int") + 1)
+
+
 def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, cosine): the k most similar entities of each query. Both sides have the columns id and v."""
     spark = queries.sparkSession
@@ -181,11 +190,12 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
         q, r, score = search(_unit(a["asked"]), _unit(b["v"]), ids, mean, rotation, k)
         return pd.DataFrame({"query_id": a["query_id"].to_numpy()[q], "id": ids[r], "cosine": score})
 
-    cell = F.pmod(F.col("qb") * entity_blocks + F.col("eb"), F.lit(query_blocks * entity_blocks)).alias("cell")
     # New names on one side: both may stem from the same frame.
-    left, right = left.select(F.col("id").alias("query_id"), F.col("v").alias("asked"), cell), right.select("id", "v", cell)
     cells = query_blocks * entity_blocks
-    spread = [df.repartition(min(cells, 2_000), "cell") for df in (left, right)]
+    number = F.col("qb") * entity_blocks + F.col("eb")
+    cell = (_own_partitions(spark, cells, number) if cells <= MOST_CELLS else number).alias("cell")
+    left, right = left.select(F.col("id").alias("query_id"), F.col("v").alias("asked"), cell), right.select("id", "v", cell)
+    spread = [df.repartition(min(cells, MOST_CELLS), "cell") for df in (left, right)]
     met = spread[0].groupBy("cell").cogroup(spread[1].groupBy("cell")).applyInPandas(pair, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.col("id"))
     if entity_blocks == 1:
