@@ -8,7 +8,7 @@ from spanforge.functions.candidates import gold_set
 from spanforge.functions.text import window_context
 from spanforge.operators import contexts, diagnostics, evaluation, ordering
 from spanforge.plans import linking_queries as q
-from spanforge.plans.linking_sql import CANDS, LINES, SPANS, _digits, _gold
+from spanforge.plans.linking_sql import CANDS, GOLD, LINES, SPANS, _digits, _gold
 from spanforge.session import table
 
 
@@ -146,6 +146,9 @@ m AS (SELECT DISTINCT mention, {_alnum('mention')} AS key FROM bioelqa_dev_menti
 SELECT mention, line, CAST(cell_no AS INTEGER) AS cell_no, CAST(row_number() OVER (PARTITION BY mention ORDER BY line, cell_no) AS INTEGER) AS hit FROM m JOIN c ON key = {_alnum('cell')} WHERE key <> '' QUALIFY hit <= 5""",
     "best_scored": f"WITH {CANDS} SELECT row_id, CAST(-pos AS INTEGER) AS score, gene_id, tax_id FROM cands WHERE pos = 1",
     "pair_weight": f"SELECT round(count(*) FILTER (label = 0)::DOUBLE / nullif(count(*) FILTER (label = 1), 0), 6) AS weight FROM ({q.SQL['training_pairs']})",
+    "direct_cases": f"""WITH g AS ({GOLD}), t AS (SELECT rec_id, array_to_string(flatten(list_filter(list_transform(list_filter(passages, lambda p: p IS NOT NULL), lambda p: p.text), lambda x: x IS NOT NULL)), ' ') AS text FROM nlm_gene_train),
+n AS (SELECT *, row_number() OVER (ORDER BY rec_id, ent_no) AS k FROM g)
+SELECT 'direct_case_' || k AS case_id, mention, replace(substring(text, greatest(start_pos - 40, 0) + 1, greatest(least(end_pos + 40, length(text)) - greatest(start_pos - 40, 0), 0)), chr(10), ' ') AS context FROM n JOIN t USING (rec_id)""",
     "species_bonuses": f"""WITH {CANDS} SELECT row_id, CAST(pos AS INTEGER) AS pos, round(CASE WHEN tax_id = ['9606', '10090'][row_id % 2 + 1] THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN tax_id = '10116' THEN 1.0::DOUBLE ELSE 0 END, 6) AS bonus FROM cands""",
     "mention_groups": f"SELECT doc, mention, string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS rows FROM (SELECT {_digits()} AS doc, mention, row_id FROM bioelqa_dev_mentions WHERE mention IS NOT NULL) WHERE doc IS NOT NULL GROUP BY ALL",
     "family_genes": f"""WITH {LINES}, w AS (SELECT {_WORDS.format('term')} AS w, gene_id FROM lines), f AS (SELECT DISTINCT w[1] || ' ' || w[2] AS family, gene_id FROM w WHERE len(w) >= 2),

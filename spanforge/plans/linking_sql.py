@@ -256,6 +256,13 @@ p AS (SELECT row_id AS id, {_compact('mention')} AS surface, {_gold('gold_geneid
 neg AS (SELECT id, f.gene_id, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM p JOIN few f ON p.surface = f.surface AND f.gene_id <> p.gene_id QUALIFY k <= 2)
 SELECT id, gene_id, 1 AS label FROM p UNION ALL SELECT id, gene_id, 0 FROM neg""",
     "unanswered": "SELECT row_id, case_id FROM bioelqa_dev_mentions WHERE row_id NOT IN (SELECT row_id FROM bioelqa_dev_mentions_contexts WHERE row_id IS NOT NULL)",
+    "token_spans": """WITH m AS (SELECT row_id, start_pos AS a, end_pos AS b, regexp_extract_all(context, '\\s*\\S+') AS ws FROM bioelqa_dev_mentions WHERE context IS NOT NULL AND start_pos IS NOT NULL AND end_pos > start_pos),
+w AS (SELECT row_id, a, b, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM m),
+t AS (SELECT *, sum(length(w)) OVER (PARTITION BY row_id ORDER BY i) AS te, te - length(regexp_replace(w, '^\\s+', '')) AS ts FROM w),
+l AS (SELECT *, CASE WHEN greatest(ts, a) < least(te, b) THEN CASE WHEN ts <= a THEN 'B' ELSE 'I' END ELSE 'O' END AS label FROM t),
+s AS (SELECT *, label = 'B' OR (label = 'I' AND lag(label, 1, 'O') OVER (PARTITION BY row_id ORDER BY i) = 'O') AS new FROM l),
+g AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY row_id ORDER BY i) AS island FROM s)
+SELECT row_id, CAST(min(ts) AS INTEGER) AS span_start, CAST(max(te) AS INTEGER) AS span_end FROM g WHERE label <> 'O' GROUP BY row_id, island""",
     "event_props": "SELECT try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL",
     "event_spread": "SELECT round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd FROM (SELECT avg(value) AS m FROM events GROUP BY event_type)",
     "order_lines": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS a FROM lineitem GROUP BY l_orderkey)
