@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import math
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 ROTATIONS, SUB, PROBE, SURE = 4, 16, 1, 0.5
 SAMPLE, STEPS = 20_000, 25
+QUERIES, TILE = 64, 4096
 ENTITY_BLOCK, LEAST_QUERIES, MOST_QUERIES, QUERY_BLOCKS, MOST_CELLS = 50_000, 2_000, 20_000, 24, 2_000
 
 
@@ -63,6 +65,7 @@ def flips(radius: int, bits: int = SUB) -> np.ndarray:
 class MultiIndex:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
+        self.words = np.ascontiguousarray(codes.T)
         self.subs = codes.view(np.uint16)
         self.tables = []
         for j in range(self.subs.shape[1]):
@@ -86,59 +89,95 @@ class MultiIndex:
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pairs // len(self.codes), pairs % len(self.codes)
 
+    def cheap(self, radius: int) -> bool:
+        """Whether probing within the radius visits fewer buckets than there are codes."""
+        flipped = radius // len(self.tables)
+        return flipped <= 3 and len(flips(flipped)) * len(self.tables) < len(self.codes) // 4
+
     def within(self, queries: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of every code within the query's radius."""
-        m, n = len(self.tables), len(self.codes)
-        flipped = int(radius.max(initial=0)) // m
-        if flipped <= 3 and len(flips(flipped)) * m < n // 4:
-            q, r = self.probe(queries, flipped)
-            near = np.bitwise_count(queries[q] ^ self.codes[r]).sum(axis=1) <= radius[q]
-            return q[near], r[near]
-        qs, rs = [], []
-        for a in range(0, n, 4096):
-            part = self.codes[a : a + 4096]
-            d = np.zeros((len(queries), len(part)), np.uint16)
-            for w in range(part.shape[1]):
-                d += np.bitwise_count(queries[:, w, None] ^ part[None, :, w])
-            q, r = np.nonzero(d <= radius[:, None])
-            qs.append(q)
-            rs.append(r + a)
-        return np.concatenate(qs), np.concatenate(rs)
-
-
-def _best(q: np.ndarray, r: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query among the pairs: cosine to nine places, then the smaller id."""
+        """(query, row) of every code within the query's radius, by probing."""
+        q, r = self.probe(queries, int(radius.max(initial=0)) // len(self.tables))
+        near = np.bitwise_count(queries[q] ^ self.codes[r]).sum(axis=1) <= radius[q]
+        return q[near], r[near]
+
+    def distances(self, queries: np.ndarray) -> np.ndarray:
+        """Hamming distance of every query to every code, in tiles that stay in the cache. A distance of 256 shows as 0,
+        which only adds a candidate."""
+        out = np.zeros((len(queries), len(self.codes)), np.uint8 if self.subs.shape[1] * SUB <= 256 else np.uint16)
+        for a in range(0, len(self.codes), TILE):
+            words, d = self.words[:, a : a + TILE], out[:, a : a + TILE]
+            mixed, count = np.empty(d.shape, np.uint64), np.empty(d.shape, np.uint8)
+            for w, row in enumerate(words):
+                np.bitwise_xor(queries[:, w, None], row[None], out=mixed)
+                np.bitwise_count(mixed, out=count)
+                d += count
+        return out
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # query, row, cosine
+NONE: Found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _best(so_far: Found, q: np.ndarray, r: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Found:
+    """The k best of each query among those so far and the new pairs: cosine to nine places, then the smaller id. What
+    was met before counts too, wherever its code lies."""
     score = np.empty(len(q))
-    for a in range(0, len(q), 200_000):
-        score[a : a + 200_000] = np.einsum("ij,ij->i", x[q[a : a + 200_000]], y[r[a : a + 200_000]])
-    score = np.round(score, 9) + 0.0
+    for a in range(0, len(q), 20_000):
+        score[a : a + 20_000] = np.einsum("ij,ij->i", x[q[a : a + 20_000]], y[r[a : a + 20_000]])
+    q, r, score = (np.concatenate(c) for c in zip(so_far, (q, r, np.round(score, 9) + 0.0), strict=True))
     order = np.lexsort((ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
-    first = np.searchsorted(q, q)
-    keep = np.arange(len(q)) - first < k
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1])  # copies of a pair are neighbours
+    q, r, score = q[once], r[once], score[once]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[keep], r[keep], score[keep]
 
 
-def search(x: np.ndarray, y: np.ndarray, ids: np.ndarray, mean: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _radius(score: np.ndarray, bits: int) -> np.ndarray:
+    """The radius that holds nearly all vectors of at least this cosine."""
+    share = np.arccos(np.clip(score, -1, 1)) / math.pi
+    return np.minimum(bits, np.ceil(bits * share + SURE * np.sqrt(bits * share * (1 - share)))).astype(np.int64)
+
+
+def _kth(found: Found, n: int, k: int) -> np.ndarray:
+    """The k-th best cosine of each query so far, -1 for less than k."""
+    q, _, score = found
+    low = np.ones(n)
+    np.minimum.at(low, q, score)
+    return np.where(np.bincount(q, minlength=n) >= k, low, -1.0)
+
+
+def search(x: np.ndarray, y: np.ndarray, ids: np.ndarray, mean: np.ndarray, rotation: np.ndarray, k: int) -> Found:
     """(query, row, cosine) of the k most similar unit vectors of y for each of x."""
     index = MultiIndex(codes_of(y, mean, rotation))
     asked, bits = codes_of(x, mean, rotation), rotation.shape[1]
+    # A first radius that some 4 k codes meet by chance: what lies in it tells the radius that is needed.
+    chance = NormalDist().inv_cdf(min(0.5, max(1e-12, 4 * k / max(1, len(y)))))
+    start = max(0, int(bits / 2 + chance * math.sqrt(bits) / 2))
     out = []
-    for a in range(0, len(x), 64):
-        own, vectors = asked[a : a + 64], x[a : a + 64]
-        q, r, score = _best(*index.probe(own, PROBE), vectors, y, ids, k)
-        worst = np.full(len(own), -1.0)
-        full = np.bincount(q, minlength=len(own)) >= k
-        np.minimum.at(low := np.ones(len(own)), q, score)
-        worst[full] = low[full]
-        share = np.arccos(np.clip(worst, -1, 1)) / math.pi
-        radius = np.minimum(bits, np.ceil(bits * share + SURE * np.sqrt(bits * share * (1 - share)))).astype(np.int64)
-        near = index.within(own, radius)
-        # What was met first counts too, wherever its code lies.
-        keys = np.unique(np.concatenate([q, near[0]]) * len(y) + np.concatenate([r, near[1]]))
-        q, r, score = _best(keys // len(y), keys % len(y), vectors, y, ids, k)
+    for a in range(0, len(x), QUERIES):
+        own, vectors = asked[a : a + QUERIES], x[a : a + QUERIES]
+
+        rank = functools.partial(_best, x=vectors, y=y, ids=ids, k=k)
+        found = rank(NONE, *index.probe(own, PROBE))
+        radius = _radius(_kth(found, len(own), k), bits)
+        if index.cheap(int(radius.max(initial=0))):
+            found = rank(found, *index.within(own, radius))
+        else:
+            d = index.distances(own)
+            first = np.minimum(radius, start)
+            found = rank(found, *np.nonzero(d <= first[:, None].astype(d.dtype)))
+            radius = np.minimum(radius, _radius(_kth(found, len(own), k), bits))
+            rest = np.nonzero(radius > first)[0]
+            if len(rest):
+                wide = d[rest]
+                top = np.minimum(radius[rest], np.iinfo(d.dtype).max)[:, None].astype(d.dtype)
+                row, col = np.nonzero((wide <= top) & (wide > first[rest, None].astype(d.dtype)))
+                found = rank(found, rest[row], col)
+        q, r, score = found
         out.append((q + a, r, score))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else NONE
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:

@@ -26,8 +26,9 @@ def test_within_radius_by_both_ways():
     near[:, 0] ^= np.uint64(0b1011)
     index = v.MultiIndex(np.concatenate([codes, near]))
     queries = codes[:50]
-    for r in (0, 7, 20, 100, 128):
-        d = np.bitwise_count(queries[:, None] ^ index.codes[None]).sum(axis=2)
+    d = np.bitwise_count(queries[:, None] ^ index.codes[None]).sum(axis=2)
+    assert (index.distances(queries) == d.astype(np.uint8)).all()
+    for r in (0, 7, 20, 47, 63):
         q, c = index.within(queries, np.full(50, r))
         assert sorted(zip(q.tolist(), c.tolist(), strict=True)) == [tuple(x) for x in np.argwhere(d <= r).tolist()]
 
