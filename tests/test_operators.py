@@ -36,7 +36,7 @@ def test_simple_sentences(spark):
 
 
 def test_sentence_context_falls_back(spark):
-    df = spark.createDataFrame([("One. Two here. Three.", 5, 8), ("...", 50, 51)], "t string, a int, b int")
+    df = spark.createDataFrame([("One. Two here. Three.", 5, 8), ("...", 500, 501)], "t string, a int, b int")
     got = [(r.sentence, r.three_sentences) for r in contexts.with_sentence_contexts(df, "t", "a", "b").collect()]
     assert got == [("Two here.", "One. Two here. Three."), ("", "")]
 
