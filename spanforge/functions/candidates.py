@@ -68,11 +68,12 @@ def distinct_folded(values: Column, most: int) -> Column:
 def option_lines(candidates: Column, style: str = "full", most: int = 26) -> Column:
     """Lettered options, one per line. More than 26 is an error in the data."""
     def text(c: Column) -> Column:
+        full = F.concat(F.lit("GeneID: "), c["gene_id"], F.lit(" | Species: "), c["species"], F.lit(" | Matched term: "), c["term"])
         return {
-            "full": F.concat(F.lit("GeneID: "), c["gene_id"], F.lit(" | Species: "), c["species"], F.lit(" | Matched term: "), c["term"]),
-            "term_species": F.concat(c["term"], F.lit(" ("), c["species"], F.lit(")")),
+            "full": full,
+            "geneid_species_term": full,
+            "term_species": F.concat_ws(" ", c["term"], c["species"]),
             "term_only": c["term"],
-            "geneid_species_term": F.concat_ws(" | ", c["gene_id"], c["species"], c["term"]),
         }[style]
 
     head = F.slice(candidates, 1, most)

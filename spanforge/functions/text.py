@@ -20,7 +20,20 @@ SPECIES_PRIORITY = {"9606": 0, "10090": 1, "10116": 2}
 #: Spelled-out Greek letters.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "κ": "kappa"}
 #: Words that may trail a gene name.
-SUFFIXES = ("protein", "proteins", "gene", "genes", "mrna", "receptor")
+SUFFIXES = ("proteins", "protein", "genes", "gene", "receptors", "receptor", "pathway", "signaling", "family", "complex")
+#: Mentions that name no single gene.
+STOP_TERMS = (
+    "cytokines", "cytokine", "chemokines", "chemokine", "mapk", "wnt", "nf-kappab", "nf-κb", "erk1/2", "mek1/2", "gpcr", "gpcrs", "mcm2-7", "orc", "sac", "sac proteins",
+    "kinase", "kinases", "receptor", "receptors", "transcription", "adrenaline", "histone", "complex iii", "actin filaments", "corticosterone",
+)
+#: Words of a text that tell its species, in order of preference.
+SPECIES_WORDS = {
+    "10090": ("mouse", "mice", "murine", "mus musculus", "c57bl", "balb/c", "129/sv", "nod mice"),
+    "10116": ("rat", "rats", "rattus", "sprague-dawley", "wistar", "wk y", "sh r", "f344"),
+    "9606": ("human", "humans", "patient", "patients", "clinical", "homo sapiens", "men", "women"),
+}
+#: What is stripped from both ends of a symbol.
+SYMBOL_EDGE = "`'\".,;:()[]{}"
 
 
 def strip(c: Column) -> Column:
@@ -53,8 +66,8 @@ def spaced_key(c: Column) -> Column:
 
 def symbol_key(c: Column) -> Column:
     """A predicted symbol: label and outer punctuation dropped, upper case."""
-    bare = F.regexp_replace(c, "(?i)(gene )?symbol:", "")
-    return F.upper(F.btrim(bare, F.lit(" .,;:()[]{}'\"\t\n")))
+    bare = strip(F.replace(strip(F.replace(strip(c), F.lit("Gene Symbol:"), F.lit(""))), F.lit("Symbol:"), F.lit("")))
+    return F.upper(F.btrim(bare, F.lit(SYMBOL_EDGE)))
 
 
 def bare_identifier(c: Column) -> Column:
@@ -90,6 +103,11 @@ def gene_like(c: Column) -> Column:
     )
 
 
+def stopped(c: Column) -> Column:
+    """Whether the mention's key is on the stop list."""
+    return spaced_key(c).isin(*sorted({" ".join(t.replace("-", "").split()) for t in STOP_TERMS}))
+
+
 def without_suffix(mention: Column) -> Column:
     """Trailing words such as 'protein' dropped, however many."""
     return F.regexp_replace(mention, f"(?i)( ({'|'.join(SUFFIXES)}))+$", "")
@@ -166,9 +184,4 @@ def sentence_context(text: Column, sentences: Column, at: Column, start: Column,
 def species_of_context(text: Column) -> Column:
     """A species named in the text: mouse before rat before human; substrings count."""
     low = F.lower(text)
-    named = lambda *words: F.greatest(*(low.contains(w) for w in words), F.lit(False))
-    return (
-        F.when(named("mouse", "mice", "murine"), "10090")
-        .when(named("rat"), "10116")
-        .when(named("human", "patient"), "9606")
-    )
+    return F.coalesce(*(F.when(F.greatest(F.lit(False), *(low.contains(w) for w in words)), tax) for tax, words in SPECIES_WORDS.items()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.text import sentence_context, simple_sentences, span_sentence, strip
 
 #: Entity types that count as a gene.
-GENE_KINDS = ("GENE", "GENERIF", "STARGENE")
+GENE_KINDS = ("Gene", "GENERIF", "STARGENE")
 
 
 def gold_mentions(records: DataFrame, genes_only: bool = False) -> DataFrame:
@@ -19,7 +19,7 @@ def gold_mentions(records: DataFrame, genes_only: bool = False) -> DataFrame:
     kept = "AND n.db_name = 'NCBIGene'" if genes_only else ""
     ids = f"transform(filter(e.normalized, n -> n IS NOT NULL AND n.db_id <> '' {kept}), n -> regexp_replace(n.db_id, '^(NCBI ?Gene:|GeneID:)', ''))"
     rows = f"""inline(filter(transform(entities, (e, i) -> named_struct('ent_no', CAST(i AS BIGINT), 'mention', e.text[0],
-        'start_pos', e.offsets[0][0], 'end_pos', e.offsets[0][1], 'kind', upper(e.kind),
+        'start_pos', e.offsets[0][0], 'end_pos', e.offsets[0][1], 'kind', e.kind,
         'gold_geneid', array_join(array_sort(array_distinct({ids})), '|'))),
         m -> m.start_pos IS NOT NULL AND m.gold_geneid <> ''))"""
     # An empty list of texts or offsets has no first element: get() gives null where [] would be an error.

@@ -12,7 +12,9 @@ from spanforge.functions.text import alnum_key
 from spanforge.operators.ordering import capped
 
 #: Words that name a family of genes rather than one.
-FAMILY_WORDS = ("kinase", "receptor", "ligase", "antigen", "factor", "protein", "subunit", "homolog", "regulator")
+FAMILY_WORDS = ("cytokine", "chemokine", "kinase", "mapk", "erk", "wnt", "tcr", "gpcr", "nf-kappa", "nf-κb", "interleukin", "receptor", "integrin", "complex", "family")
+#: Mentions that stand for a whole family.
+FAMILY_MENTIONS = ("MAPK", "NF-KAPPAB", "NF-ΚB", "WNT", "WNTS", "AKT", "ERK1/2")
 
 
 def names_family(mention: Column) -> Column:
@@ -22,7 +24,7 @@ def names_family(mention: Column) -> Column:
 
 
 def error_kind(gold: Column, mention: Column) -> Column:
-    return F.when(F.size(gold) > 1, "multi_gold").when(names_family(mention), "family").otherwise("other")
+    return F.when(F.size(gold) > 1, "multi_gold").when(F.upper(mention).isin(*FAMILY_MENTIONS) | names_family(mention), "family").otherwise("other")
 
 
 def family_members(mentions: DataFrame, members: DataFrame) -> DataFrame:

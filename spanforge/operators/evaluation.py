@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.candidates import candidate_at, first_index
+from spanforge.functions.text import alnum_key
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -128,20 +129,30 @@ def seen_split(test: DataFrame, train: DataFrame, gold: str) -> DataFrame:
     return test.join(hits, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
+def _term_hits(mention: Column, terms: Column, context: Column) -> Column:
+    """Per usable term: the term, and whether it is the mention, stands in the context, or shares a part with it. All
+    are compared by their letters and digits, Greek letters spelled out."""
+    m, c = alnum_key(mention), alnum_key(context)
+    keyed = F.filter(F.transform(terms, lambda t: F.struct(t.alias("term"), alnum_key(t).alias("key"))), lambda t: F.length(t["key"]) >= 2)
+    hit = lambda t: F.struct(
+        t["term"].alias("term"), (t["key"] == m).alias("exact"), c.contains(t["key"]).alias("inside"), (m.contains(t["key"]) | t["key"].contains(m)).alias("part"),
+    )
+    return F.transform(keyed, hit)
+
+
 def lexical_features(mention: Column, terms: Column, context: Column) -> Column:
-    """exact: a term is the mention; appears: a term stands in the context; overlap: up to ten of them, sorted."""
-    low, text = F.lower(mention), F.lower(context)
-    usable = F.filter(F.transform(terms, lambda t: F.lower(t)), lambda t: F.length(t) >= 2)
-    found = F.array_sort(F.array_distinct(F.filter(usable, lambda t: text.contains(t))))
-    return F.struct(F.exists(usable, lambda t: t == low).alias("exact"), (F.size(found) > 0).alias("appears"), F.slice(found, 1, 10).alias("overlap"))
+    """exact: a term is the mention; appears: a term stands in the context; overlap: up to ten that do either or share a
+    part with the mention, sorted."""
+    hits = _term_hits(mention, terms, context)
+    found = F.array_sort(F.array_distinct(F.transform(F.filter(hits, lambda h: h["exact"] | h["inside"] | h["part"]), lambda h: h["term"])))
+    return F.struct(F.exists(hits, lambda h: h["exact"]).alias("exact"), F.exists(hits, lambda h: h["inside"]).alias("appears"), F.slice(found, 1, 10).alias("overlap"))
 
 
 def lexical_bonus(mention: Column, terms: Column, context: Column) -> Column:
-    """1 for an equal term, 0.6 for one in the context, 0.3 for each that shares a part with the mention; at most 2."""
-    features = lexical_features(mention, terms, context)
-    low = F.lower(mention)
-    partial = F.size(F.filter(F.transform(terms, lambda t: F.lower(t)), lambda t: (F.length(t) >= 2) & (t != low) & (low.contains(t) | t.contains(low))))
-    return F.least(F.when(features["exact"], 1.0).otherwise(0.0) + F.when(features["appears"], 0.6).otherwise(0.0) + partial * 0.3, F.lit(2.0))
+    """For each term 1 if it is the mention, 0.6 if it stands in the context, 0.3 if it shares a part; at most 2."""
+    worth = lambda flag, x: F.when(flag, F.lit(x)).otherwise(F.lit(0.0))
+    added = F.aggregate(_term_hits(mention, terms, context), F.lit(0.0), lambda s, h: s + worth(h["exact"], 1.0) + worth(h["inside"], 0.6) + worth(h["part"], 0.3))
+    return F.least(added, F.lit(2.0))
 
 
 def training_pairs(positive: DataFrame, pool: DataFrame, negatives: int, surface: str, order: str) -> DataFrame:

@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import species_priority
+
+#: Steps of each cascade: column and name of the mode.
+CASCADES = {
+    "species": [("exact_gene", "species"), ("only_gene", "unique_global"), ("human_gene", "human_fallback"), ("first_gene", "first_fallback")],
+    "named": [("exact_gene", "species"), ("only_gene", "unique_global"), ("prior_gene", "prior_tax"), ("common_gene", "count_fallback")],
+    "prior": [("only_gene", "unique_global"), ("prior_gene", "prior_tax"), ("common_gene", "count_fallback")],
+    "global": [("last_gene", "global")],
+}
+
 
 def _per_term(dictionary: DataFrame) -> DataFrame:
-    """What a term means without its species: the only gene, the human one, the most frequent, the first."""
-    prior = F.when(F.col("tax_id").isin("9606", "10090", "10116"), F.struct("n_count", "gene_id"))
+    """What a term means without its species: the only gene; the human one; that of the first of human, mouse and rat;
+    the most frequent; the first and the last in the order of species."""
+    frequent = F.struct((-F.col("n_count")).alias("less"), "tax_id", "gene_id")
+    prior = F.when(species_priority(F.col("tax_id")) < 99, F.struct(species_priority(F.col("tax_id")).alias("p"), (-F.col("n_count")).alias("less"), "gene_id"))
     return dictionary.groupBy("term").agg(
         F.when(F.min("gene_id") == F.max("gene_id"), F.min("gene_id")).alias("only_gene"),
         F.min(F.when(F.col("tax_id") == "9606", F.col("gene_id"))).alias("human_gene"),
-        F.max(prior)["gene_id"].alias("prior_gene"),
-        F.max(F.struct("n_count", "gene_id"))["gene_id"].alias("common_gene"),
-        F.min_by("gene_id", F.struct("tax_id", "gene_id")).alias("first_gene"),
+        F.min(prior)["gene_id"].alias("prior_gene"),
+        F.min(frequent)["gene_id"].alias("common_gene"),
+        F.min(F.struct("tax_id", "gene_id"))["gene_id"].alias("first_gene"),
+        F.max(F.struct("tax_id", "gene_id"))["gene_id"].alias("last_gene"),
     )
 
 
@@ -22,19 +35,14 @@ def ground(asked: DataFrame, dictionary: DataFrame, cascade: str = "species") ->
     """asked (id, term, tax_id) with gene_id and the mode that found it.
 
     'species': term and species, then the only gene of the term, then the human one, then the first. 'prior': the only
-    gene, then the most frequent of human, mouse and rat, then the most frequent. 'named': term and species, then as
-    'prior'. 'global': the most frequent gene whatever the species.
+    gene, then that of the first of human, mouse and rat, then the most frequent. 'named': term and species, then as
+    'prior'. 'global': the last gene whatever the species.
     """
     exact = dictionary.groupBy("term", "tax_id").agg(F.max(F.struct("n_count", "gene_id"))["gene_id"].alias("exact_gene"))
     met = asked.join(_per_term(dictionary), "term", "left")
     if cascade in ("species", "named"):
         met = met.join(exact, ["term", "tax_id"], "left")
-    steps = {
-        "species": [("exact_gene", "exact"), ("only_gene", "unique"), ("human_gene", "human"), ("first_gene", "first")],
-        "named": [("exact_gene", "exact"), ("only_gene", "unique"), ("prior_gene", "prior"), ("common_gene", "common")],
-        "prior": [("only_gene", "unique"), ("prior_gene", "prior"), ("common_gene", "common")],
-        "global": [("common_gene", "global")],
-    }[cascade]
+    steps = CASCADES[cascade]
     mode = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(m)) for c, m in steps), F.lit("unmapped"))
     return met.select(*asked.columns, F.coalesce(*(F.col(c) for c, _ in steps)).alias("gene_id"), mode.alias("mode"))
 

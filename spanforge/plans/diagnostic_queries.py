@@ -8,7 +8,7 @@ from spanforge.functions.candidates import gold_set
 from spanforge.functions.text import window_context
 from spanforge.operators import contexts, diagnostics, evaluation, ordering
 from spanforge.plans import linking_queries as q
-from spanforge.plans.linking_sql import CANDS, GOLD, LINES, SPANS, _digits, _gold
+from spanforge.plans.linking_sql import CANDS, GOLD, LINES, SPANS, _alnum, _digits, _gold
 from spanforge.session import table
 
 
@@ -120,15 +120,9 @@ QUERIES = {f.__name__: f for f in (
 _FAMILY = f"(length(mention) > 2 AND regexp_matches(lower(mention), '{'|'.join(diagnostics.FAMILY_WORDS)}'))"
 
 
-def _alnum(x: str) -> str:
-    from spanforge.plans.linking_sql import _greek
-
-    return f"trim(regexp_replace({_greek(f'lower({x})')}, '[^a-z0-9]+', '', 'g'))"
-
-
 _WORDS = "regexp_split_to_array(lower({0}), '\\s+')"
 SQL = {
-    "error_kinds": f"SELECT CASE WHEN len({_gold('gold_geneid')}) > 1 THEN 'multi_gold' WHEN {_FAMILY} THEN 'family' ELSE 'other' END AS kind, count(*) AS n FROM bioelqa_dev_mentions WHERE mention IS NOT NULL GROUP BY kind",
+    "error_kinds": f"SELECT CASE WHEN len({_gold('gold_geneid')}) > 1 THEN 'multi_gold' WHEN {_FAMILY} OR upper(mention) IN {diagnostics.FAMILY_MENTIONS} THEN 'family' ELSE 'other' END AS kind, count(*) AS n FROM bioelqa_dev_mentions WHERE mention IS NOT NULL GROUP BY kind",
     "missed_gold": f"WITH {SPANS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(start_pos AS BIGINT) AS start_pos, CAST(end_pos AS BIGINT) AS end_pos FROM gspan g ANTI JOIN pspan p USING (doc_id, start_pos, end_pos)",
     "oracle_wrong": f"""WITH {CANDS}, l AS (SELECT row_id, list(gene_id ORDER BY pos) AS ids FROM cands GROUP BY row_id)
 SELECT row_id FROM l JOIN bioelqa_dev_mentions m USING (row_id) WHERE list_has_any(ids, {_gold('gold_geneid')}) AND NOT list_contains({_gold('gold_geneid')}, ids[1])""",
@@ -154,7 +148,7 @@ SELECT 'direct_case_' || k AS case_id, mention, replace(substring(text, greatest
     "family_genes": f"""WITH {LINES}, w AS (SELECT {_WORDS.format('term')} AS w, gene_id FROM lines), f AS (SELECT DISTINCT w[1] || ' ' || w[2] AS family, gene_id FROM w WHERE len(w) >= 2),
 m AS (SELECT row_id AS id, {_WORDS.format('mention')} AS w FROM bioelqa_dev_mentions WHERE mention IS NOT NULL AND {_FAMILY})
 SELECT id, family, count(*) AS n_genes FROM (SELECT id, w[1] || ' ' || w[2] AS family FROM m WHERE len(w) >= 2) JOIN f USING (family) GROUP BY ALL""",
-    "pair_examples": f"""WITH {CANDS}, m AS (SELECT row_id, lower(mention) AS low, lower(context) AS ctx, {_gold('gold_geneid')} AS gold FROM bioelqa_dev_mentions WHERE context IS NOT NULL)
-SELECT row_id, CAST(pos - 1 AS INTEGER) AS pos, gene_id, length(term) >= 2 AND lower(term) = low AS exact, length(term) >= 2 AND contains(ctx, lower(term)) AS appears, CAST(list_contains(gold, gene_id) AS INTEGER) AS label
+    "pair_examples": f"""WITH {CANDS}, m AS (SELECT row_id, {_alnum('mention')} AS low, {_alnum('context')} AS ctx, {_gold('gold_geneid')} AS gold FROM bioelqa_dev_mentions WHERE context IS NOT NULL)
+SELECT row_id, CAST(pos - 1 AS INTEGER) AS pos, gene_id, length({_alnum('term')}) >= 2 AND {_alnum('term')} = low AS exact, length({_alnum('term')}) >= 2 AND contains(ctx, {_alnum('term')}) AS appears, CAST(list_contains(gold, gene_id) AS INTEGER) AS label
 FROM cands JOIN m USING (row_id)""",
 }

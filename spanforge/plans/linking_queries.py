@@ -58,7 +58,7 @@ def kb_entity_first_terms(spark, d):
 
 
 def kb_gene_like(spark, d):
-    rows = _lines(spark, d).where(text.gene_like(F.col("term")) & ~F.lower("term").isin("unnamedlocus", "gene", "protein"))
+    rows = _lines(spark, d).where(text.gene_like(F.col("term")) & ~text.stopped(F.col("term")))
     return rows.groupBy("tax_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("term").alias("n_terms"))
 
 

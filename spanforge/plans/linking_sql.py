@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spanforge.functions.text import GREEK, SPECIES_NAMES, SPECIES_PRIORITY, SUFFIXES
+from spanforge.functions.text import GREEK, SPECIES_NAMES, SPECIES_PRIORITY, SPECIES_WORDS, STOP_TERMS, SUFFIXES, SYMBOL_EDGE
+from spanforge.operators.grounding import CASCADES
 
 
 def _strip(x: str) -> str:
@@ -21,6 +22,7 @@ def _gold(x: str) -> str:
     return f"list_sort(list_distinct(list_filter(list_transform(string_split(coalesce({x}, ''), '|'), lambda g: trim(g)), lambda g: g <> '')))"
 
 
+_STOPPED = ", ".join(f"'{' '.join(t.replace('-', '').split())}'" for t in STOP_TERMS)
 _SPECIES, _PRIORITY = _case("tax_id", SPECIES_NAMES, "'taxid:' || tax_id"), _case("tax_id", SPECIES_PRIORITY, "99")
 
 LINES = f"""lines AS (SELECT * FROM (
@@ -65,12 +67,16 @@ def _greek(x: str) -> str:
     return x
 
 
+def _alnum(x: str) -> str:
+    return f"trim(regexp_replace({_greek(f'lower({x})')}, '[^a-z0-9]+', '', 'g'))"
+
+
 _ENTITY_GOLD = """SELECT rec_id, document_id AS doc_id, i - 1 AS ent_no, entities[i].text[1] AS mention, entities[i].offsets[1][1] AS start_pos, entities[i].offsets[1][2] AS end_pos,
-    upper(entities[i].kind) AS kind, array_to_string(list_sort(list_distinct(list_transform(list_filter(entities[i].normalized, lambda n: n IS NOT NULL AND n.db_id <> '' {0}),
+    entities[i].kind AS kind, array_to_string(list_sort(list_distinct(list_transform(list_filter(entities[i].normalized, lambda n: n IS NOT NULL AND n.db_id <> '' {0}),
       lambda n: regexp_replace(n.db_id, '^(NCBI ?Gene:|GeneID:)', '')))), '|') AS gold_geneid
   FROM (SELECT *, unnest(range(1, len(entities) + 1)) AS i FROM nlm_gene_train)"""
 GOLD_ALL = f"SELECT * FROM ({_ENTITY_GOLD.format('')}) WHERE start_pos IS NOT NULL AND gold_geneid <> ''"
-GOLD = f"SELECT * FROM ({_ENTITY_GOLD.format(chr(65) + 'ND n.db_name = ' + chr(39) + 'NCBIGene' + chr(39))}) WHERE start_pos IS NOT NULL AND gold_geneid <> '' AND kind IN ('GENE', 'GENERIF', 'STARGENE')"
+GOLD = f"SELECT * FROM ({_ENTITY_GOLD.format(chr(65) + 'ND n.db_name = ' + chr(39) + 'NCBIGene' + chr(39))}) WHERE start_pos IS NOT NULL AND gold_geneid <> '' AND kind IN ('Gene', 'GENERIF', 'STARGENE')"
 _DIGITS = "nullif(regexp_extract(doc_id, '([1-9][0-9]{7})', 1), '')"
 def _digits() -> str:
     return _DIGITS
@@ -95,15 +101,16 @@ def _grams(t: str) -> str:
 
 
 def _symbol(x: str) -> str:
-    return f"upper(trim(regexp_replace({x}, '(gene )?symbol:', '', 'gi'), ' .,;:()[]{{}}''\"' || chr(9) || chr(10)))"
+    edge = SYMBOL_EDGE.replace("'", "''")
+    return f"upper(trim({_strip('replace(' + _strip('replace(' + _strip(x) + ', ' + chr(39) + 'Gene Symbol:' + chr(39) + ', ' + chr(39) * 2 + ')') + ', ' + chr(39) + 'Symbol:' + chr(39) + ', ' + chr(39) * 2 + ')')}, '{edge}'))"
 
 
 _TAX8 = "[" + ", ".join(f"'{t}'" for t in SPECIES_NAMES) + "]"
 ASKED = f"""{DICT}, asked AS (SELECT row_id, {_symbol('mention')} AS term, {_TAX8}[row_id % 8 + 1] AS tax_id FROM bioelqa_dev_mentions),
 exact AS (SELECT term, tax_id, arg_max(gene_id, (n_count, gene_id)) AS exact_gene FROM dict GROUP BY ALL),
 per_term AS (SELECT term, CASE WHEN min(gene_id) = max(gene_id) THEN min(gene_id) END AS only_gene, min(gene_id) FILTER (tax_id = '9606') AS human_gene,
-  arg_max(gene_id, (n_count, gene_id)) FILTER (tax_id IN ('9606', '10090', '10116')) AS prior_gene, arg_max(gene_id, (n_count, gene_id)) AS common_gene,
-  arg_min(gene_id, (tax_id, gene_id)) AS first_gene FROM dict GROUP BY ALL),
+  arg_min(gene_id, ({_PRIORITY}, -n_count, gene_id)) FILTER (tax_id IN ('9606', '10090', '10116')) AS prior_gene, arg_min(gene_id, (-n_count, tax_id, gene_id)) AS common_gene,
+  arg_min(gene_id, (tax_id, gene_id)) AS first_gene, arg_max(gene_id, (tax_id, gene_id)) AS last_gene FROM dict GROUP BY ALL),
 met AS (SELECT row_id, exact_gene, p.* EXCLUDE (term) FROM asked a LEFT JOIN exact USING (term, tax_id) LEFT JOIN per_term p ON a.term = p.term)"""
 
 
@@ -112,7 +119,7 @@ def _grounded(steps: list[tuple[str, str]]) -> str:
     return f"SELECT row_id, coalesce({', '.join(c for c, _ in steps)}, NULL) AS gene_id, {mode} AS mode FROM met"
 
 
-_BY_SPECIES = _grounded([("exact_gene", "exact"), ("only_gene", "unique"), ("human_gene", "human"), ("first_gene", "first")])
+_BY_SPECIES = _grounded(CASCADES["species"])
 DOMINANT = f"""pairs AS (SELECT lower(mention) AS key, unnest({_gold('gold_geneid')}) AS gene FROM bioelqa_dev_mentions WHERE gold_geneid IS NOT NULL AND mention IS NOT NULL),
 counted AS (SELECT key, gene, count(*) AS n FROM pairs GROUP BY ALL),
 dominant AS (SELECT key, sum(n)::BIGINT AS freq, list(gene ORDER BY n DESC, gene) AS gs, list(n ORDER BY n DESC, gene) AS ns FROM counted GROUP BY key),
@@ -141,7 +148,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY gene_id, tax_id ORDER BY ord) AS
 SELECT gene_id, tax_id, string_agg(term, '; ' ORDER BY pos) AS terms FROM r WHERE pos <= 8 GROUP BY gene_id, tax_id""",
     "kb_gene_like": f"""WITH {LINES} SELECT tax_id, count(*) AS n_rows, count(DISTINCT term) AS n_terms FROM lines
 WHERE length(term) BETWEEN 2 AND 60 AND len(regexp_extract_all(term, '[0-9]')) <= 15 AND len(regexp_split_to_array(trim(term), '\\s+')) <= 8
-  AND regexp_matches(term, '[a-zA-Z]') AND lower(term) NOT IN ('unnamedlocus', 'gene', 'protein') GROUP BY tax_id""",
+  AND regexp_matches(term, '[a-zA-Z]') AND trim(regexp_replace(replace(lower(term), '-', ''), '[\\s\\v]+', ' ', 'g')) NOT IN ({_STOPPED}) GROUP BY tax_id""",
     "kb_species": f"WITH {LINES} SELECT DISTINCT tax_id, {_SPECIES} AS species, {_PRIORITY} AS priority FROM lines",
     "kb_most_common_terms": f"WITH {LINES} SELECT term, n FROM (SELECT term, count(*) AS n, min(ord) AS s FROM lines GROUP BY term) ORDER BY n DESC, s LIMIT 25",
     "kb_first_and_last": f"WITH {LINES} SELECT term, arg_min(gene_id, ord) AS first_gene, arg_max(gene_id, ord) AS last_gene FROM lines GROUP BY term",
@@ -170,11 +177,12 @@ ew AS (SELECT id, gram, count(*) * any_value(idf) AS w FROM (SELECT id, unnest({
 qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM qw GROUP BY id), en AS (SELECT id, sqrt(sum(w * w)) AS n FROM ew GROUP BY id),
 s AS (SELECT a.id AS query_id, b.id AS entry_id, round(sum(a.w / qn.n * (b.w / en.n)), 6) AS score FROM qw a JOIN ew b USING (gram) JOIN qn ON qn.id = a.id JOIN en ON en.id = b.id GROUP BY ALL)
 SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS pos FROM s QUALIFY pos <= 5""",
-    "lexical_scores": f"""WITH terms AS (SELECT gene_id, list(DISTINCT lower(term)) AS ts, list(DISTINCT term) AS raw FROM bioelqa_dev_candidates_sapbert_genelevel_top20 WHERE term IS NOT NULL GROUP BY gene_id),
-m AS (SELECT row_id, lower(mention) AS low, lower(context) AS ctx, unnest({_gold('gold_geneid')}) AS gene_id FROM bioelqa_dev_mentions WHERE gold_geneid IS NOT NULL AND mention IS NOT NULL AND context IS NOT NULL),
-f AS (SELECT row_id, gene_id, list_contains(list_filter(ts, lambda t: length(t) >= 2), low) AS exact, len(list_filter(ts, lambda t: length(t) >= 2 AND contains(ctx, t))) > 0 AS appears,
-  len(list_filter(raw, lambda r: length(r) >= 2 AND lower(r) <> low AND (contains(low, lower(r)) OR contains(lower(r), low)))) AS parts FROM m JOIN terms USING (gene_id))
-SELECT row_id, gene_id, exact, appears, round(least(CASE WHEN exact THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN appears THEN 0.6::DOUBLE ELSE 0 END + parts * 0.3::DOUBLE, 2.0), 6) AS bonus FROM f""",
+    "lexical_scores": f"""WITH terms AS (SELECT gene_id, list_filter(list_transform(list(DISTINCT term), lambda r: {_alnum('r')}), lambda t: length(t) >= 2) AS ts
+  FROM bioelqa_dev_candidates_sapbert_genelevel_top20 WHERE term IS NOT NULL GROUP BY gene_id),
+m AS (SELECT row_id, {_alnum('mention')} AS low, {_alnum('context')} AS ctx, unnest({_gold('gold_geneid')}) AS gene_id FROM bioelqa_dev_mentions WHERE gold_geneid IS NOT NULL AND mention IS NOT NULL AND context IS NOT NULL)
+SELECT row_id, gene_id, len(list_filter(ts, lambda t: t = low)) > 0 AS exact, len(list_filter(ts, lambda t: contains(ctx, t))) > 0 AS appears,
+  round(least(len(list_filter(ts, lambda t: t = low)) * 1.0::DOUBLE + len(list_filter(ts, lambda t: contains(ctx, t))) * 0.6::DOUBLE
+    + len(list_filter(ts, lambda t: contains(low, t) OR contains(t, low))) * 0.3::DOUBLE, 2.0), 6) AS bonus FROM m JOIN terms USING (gene_id)""",
     "context_attached": """WITH u AS (SELECT * FROM bioelqa_dev_mentions_contexts QUALIFY row_number() OVER (PARTITION BY doc_id, mention, start_pos, end_pos, gold_geneid ORDER BY row_id) = 1)
 SELECT m.row_id, u.ctx_mention, u.ctx_sentence FROM bioelqa_dev_mentions m LEFT JOIN u ON m.doc_id IS NOT DISTINCT FROM u.doc_id AND m.mention IS NOT DISTINCT FROM u.mention
   AND m.start_pos IS NOT DISTINCT FROM u.start_pos AND m.end_pos IS NOT DISTINCT FROM u.end_pos AND m.gold_geneid IS NOT DISTINCT FROM u.gold_geneid""",
@@ -190,8 +198,8 @@ near AS (SELECT h.row_id, string_agg(text, ' ' ORDER BY n.i) AS three, max(text)
 SELECT m.row_id, coalesce(one, {_strip(WINDOW.format(120))}) AS sentence, coalesce(three, {_strip(WINDOW.format(250))}) AS three_sentences FROM m LEFT JOIN near ON m.row_id = near.row_id""",
     "offset_sanity": f"""WITH c AS (SELECT lower(substring(ctx_document, start_pos + 1, end_pos - start_pos)) AS cut, lower(mention) AS m FROM bioelqa_dev_mentions_contexts WHERE ctx_document <> '' AND mention <> '')
 SELECT count(*) AS n, {_rate("count(*) FILTER (cut <> '' AND (contains(cut, m) OR contains(m, cut)))", 'count(*)')} AS sane FROM c""",
-    "context_species": """SELECT tax, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(c, 'mouse|mice|murine') THEN '10090' WHEN contains(c, 'rat') THEN '10116'
-  WHEN regexp_matches(c, 'human|patient') THEN '9606' END AS tax FROM (SELECT lower(context) AS c FROM bioelqa_dev_mentions)) GROUP BY tax""",
+    "context_species": "SELECT tax, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {' OR '.join(f"contains(c, '{w}')" for w in words)} THEN '{t}'" for t, words in SPECIES_WORDS.items())
+    + " END AS tax FROM (SELECT lower(context) AS c FROM bioelqa_dev_mentions)) GROUP BY tax",
     "text_lengths": """WITH t AS (SELECT DISTINCT doc_id, ctx_abstract AS a FROM bioelqa_dev_mentions_contexts WHERE ctx_abstract <> ''), s AS (SELECT len(string_split(a, ' ')) AS w, length(a) AS c FROM t)
 SELECT count(*) AS n, round(avg(w), 6) AS words_mean, median(w) AS words_median, min(w) AS words_min, max(w) AS words_max, round(avg(c), 6) AS chars_mean, median(c) AS chars_median,
   min(c) AS chars_min, max(c) AS chars_max FROM s""",
@@ -224,7 +232,7 @@ c AS (SELECT count(*) AS n, count(*) FILTER (ids IS NULL) AS no_candidate, count
   count(*) FILTER (list_has_any(ids, gold)) AS gold_in_list, count(*) FILTER (list_contains(gold, ids[l + 1])) AS correct FROM r)
 SELECT *, {_rate('gold_in_list', 'n')} AS recall, {_rate('correct', 'gold_in_list')} AS selector_accuracy, {_rate('correct', 'n')} AS final_accuracy FROM c""",
     "option_texts": f"""WITH {CANDS} SELECT row_id, string_agg(chr(CAST(64 + pos AS INTEGER)) || '. GeneID: ' || gene_id || ' | Species: ' || species || ' | Matched term: ' || term, chr(10) ORDER BY pos) AS "full",
-  string_agg(chr(CAST(64 + pos AS INTEGER)) || '. ' || term || ' (' || species || ')', chr(10) ORDER BY pos) AS term_species, string_agg(chr(CAST(64 + pos AS INTEGER)) || '. ' || term, chr(10) ORDER BY pos) AS term_only FROM cands GROUP BY row_id""",
+  string_agg(chr(CAST(64 + pos AS INTEGER)) || '. ' || term || ' ' || species, chr(10) ORDER BY pos) AS term_species, string_agg(chr(CAST(64 + pos AS INTEGER)) || '. ' || term, chr(10) ORDER BY pos) AS term_only FROM cands GROUP BY row_id""",
     "prompt_records": f"""WITH {LISTS}, o AS (SELECT row_id, count(*) AS k, string_agg(chr(CAST(64 + pos AS INTEGER)) || '. GeneID: ' || gene_id || ' | Species: ' || species || ' | Matched term: ' || term, chr(10) ORDER BY pos) AS opts FROM cands GROUP BY row_id)
 SELECT case_id, CASE WHEN opts IS NOT NULL THEN 'Mention: ' || coalesce(mention, '') || chr(10) || 'Context: ' || translate(coalesce(context, ''), chr(9) || chr(10) || chr(13), '   ') || chr(10) || 'Candidates:' || chr(10) || opts
   || chr(10) || 'Give the letter of the gene as Answer: <letter>.' END AS prompt, CASE WHEN opts IS NULL THEN 'empty_candidates' END AS reason, CAST(coalesce(k, 0) AS INTEGER) AS n_options FROM lists LEFT JOIN o USING (row_id)""",
@@ -236,9 +244,9 @@ n AS (SELECT count(*) AS comparable, count(*) FILTER (ia = ib) AS same_id, count
     "mapping_modes": f"""WITH {ASKED}, g AS ({_BY_SPECIES}) SELECT mode, count(*) AS n, count(*) FILTER (list_contains({_gold('gold_geneid')}, gene_id)) AS correct
 FROM g JOIN bioelqa_dev_mentions m USING (row_id) GROUP BY mode""",
     "grounded_species": f"WITH {ASKED} {_BY_SPECIES}",
-    "grounded_named": f"WITH {ASKED} {_grounded([('exact_gene', 'exact'), ('only_gene', 'unique'), ('prior_gene', 'prior'), ('common_gene', 'common')])}",
-    "grounded_prior": f"WITH {ASKED} {_grounded([('only_gene', 'unique'), ('prior_gene', 'prior'), ('common_gene', 'common')])}",
-    "grounded_global": f"WITH {ASKED} {_grounded([('common_gene', 'global')])}",
+    "grounded_named": f"WITH {ASKED} {_grounded(CASCADES['named'])}",
+    "grounded_prior": f"WITH {ASKED} {_grounded(CASCADES['prior'])}",
+    "grounded_global": f"WITH {ASKED} {_grounded(CASCADES['global'])}",
     "dominant_genes": f"WITH {DOMINANT} SELECT * FROM dom",
     "rescued": f"""WITH {CANDS}, {DOMINANT}, b AS (SELECT {_gold('gold_geneid')} AS gold, c.gene_id AS before, coalesce(c.gene_id, d.top_value) AS after FROM bioelqa_dev_mentions m
   LEFT JOIN (SELECT row_id, gene_id FROM cands WHERE pos = 1) c USING (row_id) LEFT JOIN (SELECT * FROM dom WHERE freq >= 2 AND ratio >= 0.8) d ON lower(m.mention) = d.key),

@@ -106,8 +106,9 @@ def test_cascade_modes(spark):
     d = spark.createDataFrame([("A", "9606", "1", 3), ("A", "10090", "2", 5), ("B", "1", "3", 1), ("C", "5", "4", 1), ("C", "6", "5", 2)], "term string, tax_id string, gene_id string, n_count int")
     q = spark.createDataFrame([(1, "A", "10090"), (2, "A", "7"), (3, "B", "7"), (4, "C", "7"), (5, "Z", "7"), (6, None, None)], "id int, term string, tax_id string")
     got = {r.id: (r.gene_id, r.mode) for r in grounding.ground(q, d).collect()}
-    assert got == {1: ("2", "exact"), 2: ("1", "human"), 3: ("3", "unique"), 4: ("4", "first"), 5: (None, "unmapped"), 6: (None, "unmapped")}
-    assert {r.id: r.gene_id for r in grounding.ground(q, d, "prior").collect()}[1] == "2"
+    assert got == {1: ("2", "species"), 2: ("1", "human_fallback"), 3: ("3", "unique_global"), 4: ("4", "first_fallback"), 5: (None, "unmapped"), 6: (None, "unmapped")}
+    assert {r.id: r.gene_id for r in grounding.ground(q, d, "prior").collect()} == {1: "1", 2: "1", 3: "3", 4: "5", 5: None, 6: None}
+    assert {r.id: r.gene_id for r in grounding.ground(q, d, "global").collect()}[4] == "5"
 
 
 def test_order_stability_rejects_other_cases(spark):
