@@ -33,7 +33,7 @@ TUPLES = 5_000
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 _OUTER = r"^[\s\p{Z}\x{FEFF}\x{200B}]+|[\s\p{Z}\x{FEFF}\x{200B}]+$"
-_PMID = r"^(?:(?:https?://)?[a-z0-9.]*pubmed[a-z0-9.]*[/:\s#=-]*|(?:pmid|medline|pm)[/:\s#=_-]*)?0*([1-9][0-9]{7})(?:\.[0-9]+|v[0-9]+)?/?\z"
+_PMID = r"^(?:(?:https?://)?[a-z0-9.]*pubmed[a-z0-9.]*(?:[/:\s#=_-]+id)?[/:\s#=_-]*|(?:pmid|medline|pm)(?:[/:\s#=_-]+id)?[/:\s#=_-]*)?0*([1-9][0-9]{7})(?:\.[0-9]+|v[0-9]+)?/?\z"
 
 
 def article_key(doc_id: Column) -> Column:
