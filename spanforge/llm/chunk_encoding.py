@@ -32,7 +32,7 @@ from spanforge.llm.settings import TOKENIZERS
 
 WINDOW, MASK, LEAST, MOST = 16, 0xFF, 96, 4096
 #: The tokenizer's published split pattern, a fixed value.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SURE = regex.compile(r"(?<=\S)(?=\s)|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
