@@ -1,8 +1,8 @@
 """Token ids of every text by a public byte-level tokenizer, each distinct chunk being encoded once.
 
 Texts are cut where a rolling hash of their last ``WINDOW`` characters says so, hence the same passage gives the same
-chunks in whatever document it stands. Distinct chunks are found by one aggregation on their 128-bit hash, encoded once,
-and joined back to the documents. At the joins of chunks the ids are repaired: the stretch from the last sure word
+chunks in whatever document it stands. Equal chunks are brought together by their 128-bit hash and encoded once; where
+one is so frequent that its rows fill a task, the planner splits them, and each piece encodes it once. At the joins of chunks the ids are repaired: the stretch from the last sure word
 boundary before the join to the first one behind it is encoded again; where a chunk holds no such boundary the stretch
 grows over the next chunk, until it ends at one. Between sure boundaries the tokenizer's own split is the same in the
 chunk as in the whole text, so the result agrees exactly with the encoding of the whole text.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.settings import TOKENIZERS
 
 WINDOW, MASK, LEAST, MOST = 16, 0xFF, 96, 4096
+#: Characters of chunks whose ids a task remembers; beyond, it begins anew.
+KNOWN = 16_000_000
 #: The tokenizer's published split pattern, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SURE = regex.compile(r"(?<=\S)(?=\s)|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])")
@@ -120,10 +122,21 @@ def sure_ends(text: str, ids: list[int], lengths: np.ndarray) -> tuple[int, str,
 def _encoded(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, lengths = encoder(path)
+        known: dict[bytes, tuple] = {}
+        size = 0
         for pdf in batches:
-            ids = [tokens.encode_ordinary(c) for c in pdf["chunk"]]
-            ends = [sure_ends(c, x, lengths) for c, x in zip(pdf["chunk"], ids, strict=True)]
-            yield pd.DataFrame({"hash": pdf["hash"], "ids": ids} | {n: [e[k] for e in ends] for k, n in enumerate(("before", "head", "upto", "tail"))})
+            made = []
+            for key, chunk in zip(pdf["hash"], pdf["chunk"], strict=True):
+                if (got := known.get(key)) is None:
+                    if size > KNOWN:
+                        known.clear()
+                        size = 0
+                    ids = tokens.encode_ordinary(chunk)
+                    got = known[key] = (ids, *sure_ends(chunk, ids, lengths))
+                    size += len(chunk)
+                made.append(got)
+            columns = dict(zip(("ids", "before", "head", "upto", "tail"), zip(*made, strict=True), strict=True)) if made else {}
+            yield pd.DataFrame({"row": pdf["row"], "no": pdf["no"], **columns})
 
     return run
 
@@ -170,8 +183,9 @@ def encode_corpus(documents: DataFrame, tokenizers: str = TOKENIZERS, name: str
     row = F.struct("doc_id", F.monotonically_increasing_id().alias("at"))
     filled = texts.where("text <> ''").select(row.alias("row"), "text")
     chunks = filled.mapInPandas(_chunked, "row struct<doc_id: bigint, at: bigint>, no int, hash binary, chunk string")
-    distinct = chunks.groupBy("hash").agg(F.first("chunk").alias("chunk"))
-    encoded = distinct.mapInPandas(_encoded(path), "hash binary, ids array<int>, before int, head string, upto int, tail string")
-    parts = chunks.select("row", "no", "hash").join(encoded, "hash").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids", "before", "head", "upto", "tail"))).alias("parts"))
+    # Equal chunks come to one task, unless they are so many that the planner splits them: then to a few.
+    placed = chunks.hint("rebalance", F.col("hash"))
+    encoded = placed.mapInPandas(_encoded(path), "row struct<doc_id: bigint, at: bigint>, no int, ids array<int>, before int, head string, upto int, tail string")
+    parts = encoded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids", "before", "head", "upto", "tail"))).alias("parts"))
     repaired = parts.select("row.doc_id", "parts").mapInPandas(_repaired(path), "doc_id bigint, ids array<int>")
     return repaired.unionByName(empty)
