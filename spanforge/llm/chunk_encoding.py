@@ -98,7 +98,7 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": rows, "no": nos, "hash": hashes, "chunk": chunks})
 
 
-def sure_ends(text: str, ids: list[int], lengths: np.ndarray) -> tuple[int, str, int, str]:
+def sure_ends(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[int, str, int, str]:
     """First and last sure boundary within a chunk: how many tokens stand before the first and the text they encode, how
     many before the last and the text behind it. -1 where the chunk has none."""
     first = SURE.search(text, 1)
@@ -114,7 +114,7 @@ def sure_ends(text: str, ids: list[int], lengths: np.ndarray) -> tuple[int, str,
         if window == at:
             break
         back *= 4
-    ends = np.cumsum(lengths[np.asarray(ids, np.int64)])
+    ends = np.cumsum(lengths[ids])
     i, j = (int(np.searchsorted(ends, len(text[:p].encode()), side="right")) for p in (at, last))
     return i, text[:at], j, text[last:]
 
@@ -131,7 +131,7 @@ def _encoded(path: str):
                     if size > KNOWN:
                         known.clear()
                         size = 0
-                    ids = tokens.encode_ordinary(chunk)
+                    ids = np.asarray(tokens.encode_ordinary(chunk), np.int32)
                     got = known[key] = (ids, *sure_ends(chunk, ids, lengths))
                     size += len(chunk)
                 made.append(got)
@@ -141,34 +141,40 @@ def _encoded(path: str):
     return run
 
 
-def joined_ids(chunks: list[tuple[list[int], int, str, int, str]], tokens) -> list[int]:
+def joined_ids(chunks: list[tuple[np.ndarray, int, str, int, str]], tokens) -> np.ndarray:
     """Ids of the whole text from its chunks in order: (ids, tokens before the first sure boundary, their text, tokens
     before the last one, the text behind it)."""
     if len(chunks) == 1:
-        return list(chunks[0][0])
-    out: list[int] = []
+        return chunks[0][0]
+    out: list[np.ndarray] = []
     pending = ""
+
+    def again(text: str) -> None:
+        if text:
+            out.append(np.asarray(tokens.encode_ordinary(text), np.int32))
+
     for n, (ids, before, head, upto, tail) in enumerate(chunks):
         if n and SURE.search(pending[-1:] + head[:1]):  # the join itself is a sure boundary
-            out += tokens.encode_ordinary(pending)
+            again(pending)
             pending = ""
         if before < 0:
             pending += head
             continue
         if pending:
-            out += tokens.encode_ordinary(pending + head)
-            out += ids[before:upto]
+            again(pending + head)
+            out.append(ids[before:upto])
         else:
-            out += ids[:upto]
+            out.append(ids[:upto])
         pending = tail
-    return out + tokens.encode_ordinary(pending)
+    again(pending)
+    return np.concatenate(out)
 
 
 def _repaired(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, _ = encoder(path)
         for pdf in batches:
-            made = [joined_ids([(list(p["ids"]), p["before"], p["head"], p["upto"], p["tail"]) for p in parts], tokens) for parts in pdf["parts"]]
+            made = [joined_ids([(np.asarray(p["ids"], np.int32), p["before"], p["head"], p["upto"], p["tail"]) for p in parts], tokens) for parts in pdf["parts"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": made})
 
     return run
