@@ -10,7 +10,7 @@ counts in how many documents each shingle of an item occurs, over all documents:
 four words, so at least one of its 4k + 1 rarest; only these prefix shingles are indexed (for letters, where nothing may
 change, the one rarest shingle of each window). (4) A second scan joins the document's shingles with the prefix index,
 keeps items whose shingles meet in one diagonal band often enough (length and positional bounds), and verifies each by
-aligning the item with its window of the document.
+chaining the matching words of the band with the fewest edits.
 
 A document holds an item when it has the whole passage, or at least ``WORDS`` consecutive words of it, with at most one
 word in eight changed, added or missing; or ``LETTERS`` consecutive letters or digits unchanged. A stretch in which one
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.look_alikes import visual_form
 
 WORDS, LETTERS, EIGHTH, BLOCK = 15, 40, 8, 5_000
+EDITS = 4
 SHINGLE, LETTER_SHINGLE = 4, 12
 _TAG = regex.compile(r"</?[\p{L}!][^<>]{0,200}>|<\|[^<>|]{1,40}\|>|[*_`#~]+")
 _BROKEN = regex.compile(r"(?<=\p{Ll})[-‐]\s*\n\s*(?=\p{Ll})")
@@ -212,10 +213,60 @@ def _swapped(a: str, b: str) -> bool:
     return a != b and bool(_DIGIT.search(a)) and bool(_DIGIT.search(b))
 
 
-def holds(item: list[str], doc: list[str], offset: int) -> bool:
-    """Whether the document has, around this diagonal, enough of the item."""
+def stretches(item: list[str], doc: list[str], low: int, high: int) -> bool:
+    """Whether any stretch of the item between two matches on these diagonals (document minus item position) is long
+    enough and has at most one edit in eight words; exact, as each match keeps its earliest start for each number of edits.
+
+    Up to ``EDITS`` edits suffice: of a qualifying stretch of 36 words or more one half qualifies too. A gap between two
+    matches costs its longer side, and none may have a symbol or number on one side and another on the other side.
+    """
     n = len(item)
-    steps = align(item, doc, offset, max(3, n // EIGHTH + 2))
+    least, most = min(WORDS, n), min(EDITS, n // EIGHTH)
+    places: dict[str, list[int]] = defaultdict(list)
+    for j in range(max(0, low), min(len(doc), n + high)):
+        places[doc[j]].append(j)
+    rows: list[dict[int, tuple[int, list[int]]]] = []
+    for i, word in enumerate(item):
+        row: dict[int, tuple[int, list[int]]] = {}
+        for j in places.get(word, ()):
+            if not low <= j - i <= high:
+                continue
+            run, starts = 1, [n] * (most + 1)
+            if not _swap_near(item, doc, i, j, -1):
+                starts[0] = i
+            for p in range(min(most, i - 1) + 1 if i else 0):
+                for j2, (length, old) in rows[i - 1 - p].items():
+                    q = j - 1 - j2
+                    if not 0 <= q <= most:
+                        continue
+                    cost = max(p, q)
+                    if not cost:
+                        run = length + 1
+                    elif p and q and any(_swapped(a, b) for a in item[i - p : i] for b in doc[j - q : j]):
+                        continue
+                    for e in range(most + 1 - cost):
+                        starts[e + cost] = min(starts[e + cost], old[e])
+            outside = n - 1 - i
+            if run >= least or (i + 1 - run + outside) * EIGHTH <= n:
+                return True
+            for e, start in enumerate(starts):
+                if start < n and (e + start + outside) * EIGHTH <= n:
+                    return True
+                length = i - start + 1
+                if length >= least and e * EIGHTH <= length and not _swap_near(item, doc, i, j, 1):
+                    return True
+            row[j] = run, starts
+        rows.append(row)
+    return False
+
+
+def holds(item: list[str], doc: list[str], offset: int, reach: int = 0) -> bool:
+    """Whether the document has, around this diagonal and up to ``reach`` beside it, enough of the item."""
+    n = len(item)
+    band = max(3, n // EIGHTH + 2)
+    if stretches(item, doc, offset - band - reach, offset + band + reach):
+        return True
+    steps = align(item, doc, offset, band)
     if not steps:
         return False
     least = min(WORDS, n)
@@ -244,11 +295,14 @@ def holds(item: list[str], doc: list[str], offset: int) -> bool:
 
 def _beside_swap(item: list[str], doc: list[str], steps: list[tuple[str, int, int]], k: int, m: int) -> bool:
     """Whether right before or behind the stretch, up to three words on, the same build goes on with another symbol."""
-    for (_, i, j), way in ((steps[k], -1), (steps[m], 1)):
-        for d in (1, 2, 3):
-            a, b = i + way * d, j + way * d
-            if 0 <= a < len(item) and 0 <= b < len(doc) and _swapped(item[a], doc[b]):
-                return True
+    return _swap_near(item, doc, *steps[k][1:], -1) or _swap_near(item, doc, *steps[m][1:], 1)
+
+
+def _swap_near(item: list[str], doc: list[str], i: int, j: int, way: int) -> bool:
+    for d in (1, 2, 3):
+        a, b = i + way * d, j + way * d
+        if 0 <= a < len(item) and 0 <= b < len(doc) and _swapped(item[a], doc[b]):
+            return True
     return False
 
 
@@ -303,7 +357,8 @@ def leaked_items(text: str, index: Index, full: Index) -> set[int]:
                 if len({i for _, i in hits}) < need:
                     continue
                 for offset, group in _bands(hits, 3):
-                    if len({i for _, i in group}) >= need and _dense(group, need) and holds(passage, words, offset):
+                    reach = (group[-1][0] - group[-1][1] - group[0][0] + group[0][1] + 1) // 2
+                    if len({i for _, i in group}) >= need and _dense(group, need) and holds(passage, words, offset, reach):
                         found.add(item)
                         break
     return found

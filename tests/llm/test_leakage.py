@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -76,3 +77,53 @@ def test_prefix_join_loses_nothing(seed):
         words = k.words_of(k.plain(text))
         brute = {i for i, ws in full.words.items() if any(k.holds(ws, words, o) for o in range(-len(ws), len(words), 3))}
         assert k.leaked_items(text, index, full) == brute
+
+
+def found(item, doc):
+    full = k.Index([(1, " ".join(item))])
+    return bool(k.leaked_items(" ".join(doc), k.Index([(1, " ".join(item))], {c: 1 for c in full.places}), full))
+
+
+@pytest.mark.parametrize("length", [15, 16, 18, 20, 24])
+def test_changes_near_the_ends(length):
+    """A stretch with one word in eight replaced counts wherever they stand, its first and last word kept."""
+    words = [f"v{i}x" for i in range(length + 20)]
+    item = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words]
+    around = [f"z{c}" for c in "abcdefgh"]
+    for at in itertools.combinations(range(1, length - 1), length // 8):
+        part = [("other" if i in at else w) for i, w in enumerate(item[10 : 10 + length])]
+        assert found(item, around + part + around), at
+    part = [("other" if i in (1, 4, 7, 10, 13) else w) for i, w in enumerate(item[10 : 10 + length])]
+    assert not found(item, around + part[:14] + around)
+
+
+def brute(item, doc):
+    """Edit distances of every pair of stretches, one start after another."""
+    n = len(item)
+    for x, y in itertools.product(range(n), range(len(doc))):
+        if item[x] != doc[y]:
+            continue
+        row = list(range(len(doc) - y + 1))
+        for i in range(x, n):
+            last, row = row, [row[0] + 1]
+            for b in range(1, len(doc) - y + 1):
+                same = item[i] == doc[y + b - 1]
+                row.append(min(last[b - 1] + (not same), last[b] + 1, row[b - 1] + 1))
+                length = i - x + 1
+                if same and (length >= min(15, n) and row[b] * 8 <= length or (row[b] + x + n - 1 - i) * 8 <= n):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_against_edit_distances(seed):
+    rng = random.Random(seed)
+    item = [rng.choice(WORDS) for _ in range(rng.randrange(10, 45))]
+    n = rng.randrange(min(12, len(item)), len(item) + 1)
+    a = rng.randrange(len(item) - n + 1)
+    part = item[a : a + n]
+    for _ in range(n // 8 + rng.randrange(2)):
+        at = rng.randrange(len(part))
+        part[at : at + 1] = rng.choice([[], ["new"], [part[at], "new"]])
+    doc = [rng.choice(WORDS) for _ in range(8)] + part + [rng.choice(WORDS) for _ in range(8)]
+    assert found(item, doc) == brute(item, doc)
