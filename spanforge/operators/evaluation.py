@@ -166,6 +166,42 @@ def training_pairs(positive: DataFrame, pool: DataFrame, negatives: int, surface
     return positive.select("id", "gene_id", F.lit(1).alias("label")).unionByName(bad)
 
 
+def training_examples(positive: DataFrame, pool: DataFrame, negatives: int, surface: str, order: str) -> DataFrame:
+    """(id, gold_id, gene_id, label): each gold gene of each mention as a positive, with exactly ``negatives`` genes that
+    aren't gold for the mention: first others of its surface in the given order, then genes in hash order.
+
+    positive has id, surface and golds (array); pool has each gene of a surface once. A mention meets its surface as one
+    list, cut to what can be needed. Filling walks the genes by md5 from a place given by id and gold gene, past as many
+    as may be excluded, so it falls short only where the pool has too few genes.
+    """
+    need = positive.groupBy(surface).agg((F.max(F.size("golds")) + negatives).alias("_need"))
+    window = Window.partitionBy(surface).orderBy(order, "gene_id")
+    few = pool.join(need, surface).withColumn("_n", F.row_number().over(window)).where("_n <= _need")
+    ranked = F.array_sort(F.collect_list(F.struct("_n", "gene_id")))
+    lists = few.groupBy(surface).agg(F.transform(ranked, lambda s: s["gene_id"]).alias("others"))
+    others = F.array_except(F.coalesce("others", F.array().cast("array<string>")), F.col("golds"))
+    rows = positive.join(lists, surface, "left").select("id", "golds", F.slice(others, 1, negatives).alias("hard"), F.explode("golds").alias("gold_id"))
+    label = lambda c, n: F.struct(c.alias("gene_id"), F.lit(n).alias("label"))
+    sure = rows.select("id", "gold_id", F.inline(F.concat(F.array(label(F.col("gold_id"), 1)), F.transform("hard", lambda g: label(g, 0)))))
+    genes = pool.select("gene_id").distinct().withColumn("_h", F.md5("gene_id"))
+    n = genes.count()
+    if not n:
+        return sure
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), "gold_id")), 1, 8), 16, 10).cast("bigint")
+    steps = F.sequence(F.lit(0), F.least(F.lit(n), F.size("golds") + negatives) - 1)
+    short = rows.where(F.size("hard") < negatives).select("*", F.posexplode(F.transform(steps, lambda i: F.pmod(start + i, F.lit(n)))).alias("_k", "_at"))
+    # Numbered by buckets of the hash (4,096 at most), not by partitions: those needn't be the same in two branches of a plan.
+    placed = genes.withColumn("_b", F.substring("_h", 1, 3))
+    sizes = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
+    numbers = placed.withColumn("_no", within).join(F.broadcast(before), "_b").select("gene_id", (F.col("_no") + F.col("_before") - 1).alias("_at"))
+    met = short.join(numbers, "_at").where("NOT array_contains(golds, gene_id) AND NOT array_contains(hard, gene_id)")
+    first = F.row_number().over(Window.partitionBy("id", "gold_id").orderBy("_k"))
+    filled = met.withColumn("_f", first).where(F.col("_f") + F.size("hard") <= negatives).select("id", "gold_id", "gene_id", F.lit(0).alias("label"))
+    return sure.unionByName(filled)
+
+
 def arithmetic_split(df: DataFrame, key: Column, held_out: int = 2, of: int = 10) -> DataFrame:
     """A part per key, the same on any cluster: key mod ``of``."""
     return df.withColumn("part", F.when(F.pmod(key, F.lit(of)) < held_out, "dev").otherwise("train"))

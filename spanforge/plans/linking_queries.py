@@ -361,6 +361,12 @@ def training_pairs(spark, d):
     return evaluation.training_pairs(rows.where("surface IS NOT NULL"), pool, 2, "surface", "ord")
 
 
+def training_examples(spark, d):
+    pool = _lines(spark, d).groupBy(text.compact_key(F.col("term")).alias("surface"), "gene_id").agg(F.min("ord").alias("ord"))
+    rows = table(spark, d, MENTIONS).select(F.col("row_id").alias("id"), text.compact_key(F.col("mention")).alias("surface"), candidates.gold_set(F.col("gold_geneid")).alias("golds"))
+    return evaluation.training_examples(rows.where("surface IS NOT NULL AND size(golds) > 0"), pool, 3, "surface", "ord")
+
+
 def unanswered(spark, d):
     rows = table(spark, d, MENTIONS).select("row_id", "case_id")
     return rows.join(table(spark, d, CONTEXTS).select("row_id"), "row_id", "left_anti")
@@ -396,6 +402,6 @@ QUERIES = {f.__name__: f for f in (
     dictionary_candidates, dictionary_recall, candidate_strings, dense_candidates, dense_genes, dense_recall, ngram_candidates, lexical_scores, context_attached,
     context_windows, plain_sentences, sentence_contexts, offset_sanity, context_species, text_lengths, gold_mentions, gene_mentions, document_texts, document_canvas,
     span_accuracy, tuple_scores, span_scores, span_overlaps, error_stages, gold_cardinality, item_options, parsed_answers, selector_scores, option_texts, prompt_records,
-    position_map, order_stability, mapping_modes, dominant_genes, rescued, seen_genes, document_split, occurrence_pairs, training_pairs, unanswered, token_spans,
+    position_map, order_stability, mapping_modes, dominant_genes, rescued, seen_genes, document_split, occurrence_pairs, training_pairs, training_examples, unanswered, token_spans,
     event_props, event_spread, order_lines,
 )} | {f"grounded_{c}": _ground(c) for c in ("species", "prior", "named", "global")}

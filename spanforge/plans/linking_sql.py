@@ -263,6 +263,16 @@ few AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY o, gene_id) A
 p AS (SELECT row_id AS id, {_compact('mention')} AS surface, {_gold('gold_geneid')}[1] AS gene_id FROM bioelqa_dev_mentions WHERE gold_geneid IS NOT NULL AND mention IS NOT NULL),
 neg AS (SELECT id, f.gene_id, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM p JOIN few f ON p.surface = f.surface AND f.gene_id <> p.gene_id QUALIFY k <= 2)
 SELECT id, gene_id, 1 AS label FROM p UNION ALL SELECT id, gene_id, 0 FROM neg""",
+    "training_examples": f"""WITH {LINES}, pool AS (SELECT {_compact('term')} AS surface, gene_id, min(ord) AS o FROM lines GROUP BY ALL),
+m AS (SELECT row_id AS id, {_compact('mention')} AS surface, {_gold('gold_geneid')} AS golds FROM bioelqa_dev_mentions WHERE mention IS NOT NULL),
+p AS (SELECT *, unnest(golds) AS gold_id FROM m),
+hard AS (SELECT id, gold_id, gene_id FROM p JOIN pool USING (surface) WHERE NOT list_contains(golds, gene_id) QUALIFY row_number() OVER (PARTITION BY id, gold_id ORDER BY o, gene_id) <= 3),
+ring AS (SELECT gene_id, row_number() OVER (ORDER BY md5(gene_id)) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT gene_id FROM lines)),
+num AS (SELECT p.*, (SELECT count(*) FROM hard h WHERE h.id = p.id AND h.gold_id = p.gold_id) AS h, CAST('0x' || substring(md5(id || '|' || gold_id), 1, 8) AS BIGINT) AS start FROM p),
+fill AS (SELECT id, gold_id, r.gene_id, h FROM num JOIN ring r ON (r.at - start % r.n + r.n) % r.n < len(golds) + 3
+  WHERE h < 3 AND NOT list_contains(golds, r.gene_id) AND NOT EXISTS (SELECT 1 FROM hard x WHERE x.id = num.id AND x.gold_id = num.gold_id AND x.gene_id = r.gene_id)
+  QUALIFY row_number() OVER (PARTITION BY id, gold_id ORDER BY (r.at - start % r.n + r.n) % r.n) + h <= 3)
+SELECT id, gold_id, gold_id AS gene_id, 1 AS label FROM p UNION ALL SELECT id, gold_id, gene_id, 0 FROM hard UNION ALL SELECT id, gold_id, gene_id, 0 FROM fill""",
     "unanswered": "SELECT row_id, case_id FROM bioelqa_dev_mentions WHERE row_id NOT IN (SELECT row_id FROM bioelqa_dev_mentions_contexts WHERE row_id IS NOT NULL)",
     "token_spans": """WITH m AS (SELECT row_id, start_pos AS a, end_pos AS b, regexp_extract_all(context, '\\s*\\S+') AS ws FROM bioelqa_dev_mentions WHERE context IS NOT NULL AND start_pos IS NOT NULL AND end_pos > start_pos),
 w AS (SELECT row_id, a, b, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM m),

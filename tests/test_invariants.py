@@ -52,6 +52,11 @@ def test_position_map_is_a_permutation(spark):
     assert rows.where(F.col("a") != F.col("b")).count() == 0
 
 
+def test_every_positive_has_its_negatives(spark):
+    made = q.training_examples(spark, SF).groupBy("id", "gold_id").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"), F.countDistinct("gene_id").alias("g"))
+    assert made.count() > 0 and made.where("p <> 1 OR n <> 3 OR g <> 4").count() == 0
+
+
 def test_splits_share_no_document(spark):
     parts = q.document_split(spark, SF)
     assert parts.groupBy("doc").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0

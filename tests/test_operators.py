@@ -233,3 +233,17 @@ def test_resume(spark, tmp_path):
         (tmp_path / "in" / f"{n}.json").write_text(rows)
         resume.run_stream(spark, str(tmp_path / "in"), "case_id string", answer, path, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.case_id for r in spark.read.parquet(path).collect()) == ["1", "2", "3", "4", "5"]
+
+
+def test_training_examples_are_filled(spark):
+    pool = spark.createDataFrame([("a", g, i) for i, g in enumerate("123456")] + [("b", "7", 9), ("c", "8", 10), ("c", "9", 11)], "surface string, gene_id string, ord int")
+    rows = spark.createDataFrame([(1, "a", ["1", "3"]), (2, "b", ["7"]), (3, "none", ["x"]), (4, "c", ["9"])], "id int, surface string, golds array<string>")
+    made = {}
+    for r in evaluation.training_examples(rows, pool, 3, "surface", "ord").collect():
+        made.setdefault((r.id, r.gold_id), ([], []))[r.label].append(r.gene_id)
+    assert {key: positive for key, (_, positive) in made.items()} == {(1, "1"): ["1"], (1, "3"): ["3"], (2, "7"): ["7"], (3, "x"): ["x"], (4, "9"): ["9"]}
+    golds = {1: {"1", "3"}, 2: {"7"}, 3: {"x"}, 4: {"9"}}
+    assert all(len(negative) == len(set(negative)) == 3 and not golds[i] & set(negative) for (i, _), (negative, _) in made.items())
+    assert sorted(made[1, "1"][0]) == sorted(made[1, "3"][0]) == ["2", "4", "5"] and "8" in made[4, "9"][0]
+    few = pool.where("surface <> 'a'")
+    assert evaluation.training_examples(rows.where("id = 2"), few, 3, "surface", "ord").where("label = 0").count() == 2
