@@ -120,6 +120,25 @@ def ngram_top(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
+def ngram_genes(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """query_id, gene_id, pos: the genes among the k best entries of each query, each once.
+
+    queries: id and text; entries: id, gene_id and text. An entry is a term of a gene (its least id). Distinct texts are
+    scored; then every gene of a term, and every query of a text, is joined back. The k best entries lie within the k best
+    terms, at most k of each.
+    """
+    pairs = entries.where("text IS NOT NULL AND gene_id IS NOT NULL").groupBy("text", "gene_id").agg(F.min("id").alias("id"))
+    known = pairs.groupBy("text").agg(F.min("id").alias("id"))
+    asked = queries.where("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("id"))
+    few = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("text").orderBy("id"))).where(F.col("_n") <= k)
+    genes = few.join(known.withColumnRenamed("id", "entry_id"), "text").select("entry_id", F.col("id").alias("pair"), "gene_id")
+    met = ngram_top(asked, known, k).drop("pos").join(genes, "entry_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pair")
+    best = one_per_gene(met.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k), k)
+    texts = asked.withColumnRenamed("id", "query_id").join(queries.withColumnRenamed("id", "row"), "text").select("query_id", "row")
+    return best.join(texts, "query_id").select(F.col("row").alias("query_id"), "gene_id", "pos")
+
+
 def encode_texts(df: DataFrame, encoder, text: str = "text", id_col: str = "id", batch: int = 128) -> DataFrame:
     """id and unit vector of each text. ``encoder()`` is called once per task and returns texts -> matrix."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -136,6 +136,12 @@ def ngram_candidates(spark, d):
     return retrieval.ngram_top(asked, known, 5)
 
 
+def ngram_genes(spark, d):
+    asked = table(spark, d, VECTORS).select(F.col("row_id").alias("id"), F.col("mention").alias("text"))
+    known = table(spark, d, ENTITIES).select(F.col("entity_id").alias("id"), "gene_id", F.col("term").alias("text"))
+    return retrieval.ngram_genes(asked, known, 20)
+
+
 def lexical_scores(spark, d):
     genes = table(spark, d, ENTITIES).where("term IS NOT NULL").groupBy("gene_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     rows = table(spark, d, MENTIONS).where("gold_geneid IS NOT NULL AND mention IS NOT NULL AND context IS NOT NULL")
@@ -399,7 +405,7 @@ def order_lines(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     kb_symbols, kb_symbols_global, kb_entity_terms, kb_entity_first_terms, kb_gene_like, kb_species, kb_most_common_terms, kb_first_and_last, term_keys, mention_mode,
-    dictionary_candidates, dictionary_recall, candidate_strings, dense_candidates, dense_genes, dense_recall, ngram_candidates, lexical_scores, context_attached,
+    dictionary_candidates, dictionary_recall, candidate_strings, dense_candidates, dense_genes, dense_recall, ngram_candidates, ngram_genes, lexical_scores, context_attached,
     context_windows, plain_sentences, sentence_contexts, offset_sanity, context_species, text_lengths, gold_mentions, gene_mentions, document_texts, document_canvas,
     span_accuracy, tuple_scores, span_scores, span_overlaps, error_stages, gold_cardinality, item_options, parsed_answers, selector_scores, option_texts, prompt_records,
     position_map, order_stability, mapping_modes, dominant_genes, rescued, seen_genes, document_split, occurrence_pairs, training_pairs, training_examples, unanswered, token_spans,

@@ -177,6 +177,18 @@ ew AS (SELECT id, gram, count(*) * any_value(idf) AS w FROM (SELECT id, unnest({
 qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM qw GROUP BY id), en AS (SELECT id, sqrt(sum(w * w)) AS n FROM ew GROUP BY id),
 s AS (SELECT a.id AS query_id, b.id AS entry_id, round(sum(a.w / qn.n * (b.w / en.n)), 6) AS score FROM qw a JOIN ew b USING (gram) JOIN qn ON qn.id = a.id JOIN en ON en.id = b.id GROUP BY ALL)
 SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS pos FROM s QUALIFY pos <= 5""",
+    "ngram_genes": f"""WITH q AS (SELECT mention AS text, min(row_id) AS id FROM bioelqa_dev_mention_vectors WHERE mention IS NOT NULL GROUP BY ALL),
+e AS (SELECT term AS text, min(entity_id) AS id FROM bioelqa_dev_candidates_sapbert_genelevel_top20 WHERE term IS NOT NULL AND gene_id IS NOT NULL GROUP BY ALL),
+idf AS (SELECT gram, ln((1.0 + (SELECT count(*) FROM e)) / (1 + count(*))) + 1 AS idf FROM (SELECT DISTINCT id, unnest({_grams('text')}) AS gram FROM e) GROUP BY gram),
+qw AS (SELECT id, gram, count(*) * any_value(idf) AS w FROM (SELECT id, unnest({_grams('text')}) AS gram FROM q) JOIN idf USING (gram) GROUP BY ALL),
+ew AS (SELECT id, gram, count(*) * any_value(idf) AS w FROM (SELECT id, unnest({_grams('text')}) AS gram FROM e) JOIN idf USING (gram) GROUP BY ALL),
+qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM qw GROUP BY id), en AS (SELECT id, sqrt(sum(w * w)) AS n FROM ew GROUP BY id),
+s AS (SELECT a.id AS query_id, b.id AS entry_id, round(sum(a.w / qn.n * (b.w / en.n)), 6) AS score FROM qw a JOIN ew b USING (gram) JOIN qn ON qn.id = a.id JOIN en ON en.id = b.id GROUP BY ALL),
+pairs AS (SELECT term AS text, gene_id, min(entity_id) AS pair FROM bioelqa_dev_candidates_sapbert_genelevel_top20 WHERE term IS NOT NULL AND gene_id IS NOT NULL GROUP BY ALL),
+best AS (SELECT s.query_id, gene_id, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, pair) AS r FROM s JOIN e ON e.id = s.entry_id JOIN pairs USING (text) QUALIFY r <= 20),
+once AS (SELECT query_id, gene_id, min(r) AS r FROM best GROUP BY ALL)
+SELECT v.row_id AS query_id, gene_id, CAST(row_number() OVER (PARTITION BY v.row_id ORDER BY r) AS INTEGER) AS pos
+FROM once JOIN q ON q.id = once.query_id JOIN bioelqa_dev_mention_vectors v ON v.mention = q.text""",
     "lexical_scores": f"""WITH terms AS (SELECT gene_id, list_filter(list_transform(list(DISTINCT term), lambda r: {_alnum('r')}), lambda t: length(t) >= 2) AS ts
   FROM bioelqa_dev_candidates_sapbert_genelevel_top20 WHERE term IS NOT NULL GROUP BY gene_id),
 m AS (SELECT row_id, {_alnum('mention')} AS low, {_alnum('context')} AS ctx, unnest({_gold('gold_geneid')}) AS gene_id FROM bioelqa_dev_mentions WHERE gold_geneid IS NOT NULL AND mention IS NOT NULL AND context IS NOT NULL)

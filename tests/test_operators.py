@@ -247,3 +247,11 @@ def test_training_examples_are_filled(spark):
     assert sorted(made[1, "1"][0]) == sorted(made[1, "3"][0]) == ["2", "4", "5"] and "8" in made[4, "9"][0]
     few = pool.where("surface <> 'a'")
     assert evaluation.training_examples(rows.where("id = 2"), few, 3, "surface", "ord").where("label = 0").count() == 2
+
+
+def test_ngram_genes_keep_all_rows_and_genes(spark):
+    queries = spark.createDataFrame([(1, "abc1"), (2, "abc1"), (3, None), (4, "xyz")], "id int, text string")
+    entries = spark.createDataFrame([(10, "g1", "abc1"), (11, "g2", "abc1"), (12, "g1", "abc12"), (13, "g3", "abc1"), (14, "g2", "abc1"), (15, None, "abc1")], "id int, gene_id string, text string")
+    got = sorted(tuple(r) for r in retrieval.ngram_genes(queries, entries, 20).collect())
+    assert got == [(q, g, p) for q in (1, 2) for p, g in enumerate(("g1", "g2", "g3"), 1)]
+    assert retrieval.ngram_genes(queries, entries, 2).where("pos > 2 OR gene_id = 'g3'").count() == 0
