@@ -1,16 +1,18 @@
 """The k most similar vectors by multi-index hashing.
 
 (1) Codes: ``ROTATIONS`` rotations of the unit vectors are learned on a bounded sample (iterative quantisation: rotate so
-that the signs lose least), each giving one bit per dimension. (2) Index: the code is split into substrings of ``SUB``
-bits, each with a direct-address table from value to rows. (3) Probing: a code within Hamming radius r agrees with the
-query up to r // m bits in one of m substrings, so the tables are probed with all values within that many flips, and
-every code within r is found. The rows met first give the k-th best cosine so far; the radius that holds nearly all
-vectors at least as similar follows from it (angle per bit, plus ``SURE`` standard deviations). If that radius needs more
-probes than there are codes, all occupied buckets would be visited, and the codes are compared one after another
-instead; both ways give every code within the radius. (4) The codes found are ranked by their floats, in doubles.
+that the signs lose least), each giving one bit per dimension. (2) Index: the code is split into substrings of about
+log2(codes) bits, so that a bucket holds about one code whatever the block's size; each substring has a direct-address
+table from value to rows. (3) Probing, progressively: the tables are probed with all values one flip further away in
+each round, ``GROUP`` tables at a time. By the pigeonhole principle m tables probed with t flips retrieve every code within
+Hamming radius m (t + 1) - 1. The codes met are compared whole, and those that can still hold one of the k best are ranked
+by their floats, in doubles. (4) Stop: a query is done when a vector as similar as its k-th best so far would have been
+met with probability 1 - ``MISS`` at least (the chance that a bit differs is the angle over pi); a query without near
+neighbours goes on until it has met all codes. Every row returned comes from a probe; there is no other search.
 
 Scale: entities and queries are cut into blocks, and each pair of blocks is one task, so no side is broadcast and
-nothing is collected but the sample for the rotations (at most ``SAMPLE`` vectors).
+nothing is collected but the sample for the rotations (at most ``SAMPLE`` vectors). What is moved is entities x blocks
+of queries + queries x blocks of entities. Blocks are large, and queries are cut further only to keep the cores busy.
 
 Defined results: null, empty, wrongly sized and all-zero vectors, and ones with a null or NaN in them, take no part.
 Ties go to the smaller id. Fewer than k entities give fewer rows. No sampling of rows, and no cap on the candidates.
@@ -21,17 +23,17 @@ from __future__ import annotations
 import functools
 import math
 from itertools import combinations
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROTATIONS, SUB, PROBE, SURE = 4, 16, 1, 0.5
-SAMPLE, STEPS = 20_000, 25
-QUERIES, TILE = 64, 4096
-ENTITY_BLOCK, LEAST_QUERIES, MOST_QUERIES, QUERY_BLOCKS, MOST_CELLS = 50_000, 2_000, 20_000, 24, 2_000
+ROTATIONS, SAMPLE, STEPS = 4, 20_000, 25
+#: Probability of missing a vector as similar as the k-th best, and standard deviations of its code's distance.
+MISS, SURE = 0.05, 1.5
+QUERIES, GROUP = 128, 4
+ENTITY_BLOCK, QUERY_BLOCK, LEAST_QUERIES = 100_000, 100_000, 2_000
 
 
 def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, steps: int = STEPS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -49,69 +51,61 @@ def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, steps: int =
     return mean, np.concatenate(parts, axis=1)
 
 
-def codes_of(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+def bits_of(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    return (x - mean) @ rotation > 0
+
+
+def words_of(bits: np.ndarray) -> np.ndarray:
     """Codes as rows of 64-bit words."""
-    bits = np.packbits((x - mean) @ rotation > 0, axis=1)
-    pad = -bits.shape[1] % 8
-    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, pad)))).view(np.uint64)
+    packed = np.packbits(bits, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
+@functools.cache
+def ring(flips: int, bits: int) -> np.ndarray:
+    """All masks with exactly so many of the bits."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(bits), flips)], np.int64)
 
 
 @functools.cache
-def flips(radius: int, bits: int = SUB) -> np.ndarray:
-    """All masks with at most ``radius`` bits."""
-    return np.array([sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(bits), n)], np.uint16)
+def chances(bits: int) -> np.ndarray:
+    """[t, i]: the chance that fewer than t of the bits differ, where each does with probability i / 1000."""
+    p = np.arange(1001) / 1000
+    terms = [math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(bits + 1)]
+    return np.concatenate([np.zeros((1, 1001)), np.cumsum(terms, axis=0)])
 
 
 class MultiIndex:
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.words = np.ascontiguousarray(codes.T)
-        self.subs = codes.view(np.uint16)
+    """Codes with a table for each of their substrings; bits that fill no substring are only compared."""
+
+    def __init__(self, bits: np.ndarray, sub: int | None = None):
+        n, width = bits.shape
+        self.sub = min(width, 20, max(8, round(math.log2(max(2, n))))) if sub is None else sub
+        self.codes = words_of(bits)
         self.tables = []
-        for j in range(self.subs.shape[1]):
-            order = np.argsort(self.subs[:, j], kind="stable").astype(np.int32)
-            starts = np.zeros((1 << SUB) + 1, np.int64)
-            np.cumsum(np.bincount(self.subs[:, j], minlength=1 << SUB), out=starts[1:])
-            self.tables.append((order, starts))
-
-    def probe(self, queries: np.ndarray, flipped: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of every code that agrees with the query up to ``flipped`` bits in a substring."""
-        masks, found = flips(flipped), []
-        values = queries.view(np.uint16)
-        for j, (order, starts) in enumerate(self.tables):
-            v = (values[:, j, None] ^ masks[None, :]).astype(np.int64)
-            a, n = starts[v], starts[v + 1] - starts[v]
-            total = int(n.sum())
-            if total:
-                flat = n.ravel()
-                at = np.repeat(a.ravel() - np.cumsum(flat) + flat, flat) + np.arange(total)
-                found.append(np.repeat(np.repeat(np.arange(len(queries)), len(masks)), flat) * len(self.codes) + order[at])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pairs // len(self.codes), pairs % len(self.codes)
-
-    def cheap(self, radius: int) -> bool:
-        """Whether probing within the radius visits fewer buckets than there are codes."""
-        flipped = radius // len(self.tables)
-        return flipped <= 3 and len(flips(flipped)) * len(self.tables) < len(self.codes) // 4
-
-    def within(self, queries: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of every code within the query's radius, by probing."""
-        q, r = self.probe(queries, int(radius.max(initial=0)) // len(self.tables))
-        near = np.bitwise_count(queries[q] ^ self.codes[r]).sum(axis=1) <= radius[q]
-        return q[near], r[near]
-
-    def distances(self, queries: np.ndarray) -> np.ndarray:
-        """Hamming distance of every query to every code, in tiles that stay in the cache. A distance of 256 shows as 0,
-        which only adds a candidate."""
-        out = np.zeros((len(queries), len(self.codes)), np.uint8 if self.subs.shape[1] * SUB <= 256 else np.uint16)
-        for a in range(0, len(self.codes), TILE):
-            words, d = self.words[:, a : a + TILE], out[:, a : a + TILE]
-            mixed, count = np.empty(d.shape, np.uint64), np.empty(d.shape, np.uint8)
-            for w, row in enumerate(words):
-                np.bitwise_xor(queries[:, w, None], row[None], out=mixed)
-                np.bitwise_count(mixed, out=count)
-                d += count
-        return out
+        for values in self.substrings(bits).T:
+            starts = np.zeros((1 << self.sub) + 1, np.int64)
+            np.cumsum(np.bincount(values, minlength=1 << self.sub), out=starts[1:])
+            self.tables.append((np.argsort(values, kind="stable"), starts))
+
+    def substrings(self, bits: np.ndarray) -> np.ndarray:
+        """Values of the substrings, one column each."""
+        weight = 1 << np.arange(self.sub)
+        return np.stack([bits[:, j : j + self.sub] @ weight for j in range(0, bits.shape[1] - self.sub + 1, self.sub)], axis=1)
+
+    def probe(self, values: np.ndarray, flips: int, tables: range) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the codes that differ from the query in exactly so many bits of one of these substrings."""
+        masks, found_q, found_r = ring(flips, self.sub), [], []
+        for j in tables:
+            rows, starts = self.tables[j]
+            v = (values[:, j, None] ^ masks[None, :]).ravel()
+            a = starts[v]
+            n = starts[v + 1] - a
+            met = np.nonzero(n)[0]
+            a, n = a[met], n[met]
+            found_r.append(rows[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+            found_q.append(np.repeat(met // len(masks), n))
+        return np.concatenate(found_q), np.concatenate(found_r)
 
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # query, row, cosine
@@ -134,12 +128,6 @@ def _best(so_far: Found, q: np.ndarray, r: np.ndarray, x: np.ndarray, y: np.ndar
     return q[keep], r[keep], score[keep]
 
 
-def _radius(score: np.ndarray, bits: int) -> np.ndarray:
-    """The radius that holds nearly all vectors of at least this cosine."""
-    share = np.arccos(np.clip(score, -1, 1)) / math.pi
-    return np.minimum(bits, np.ceil(bits * share + SURE * np.sqrt(bits * share * (1 - share)))).astype(np.int64)
-
-
 def _kth(found: Found, n: int, k: int) -> np.ndarray:
     """The k-th best cosine of each query so far, -1 for less than k."""
     q, _, score = found
@@ -148,36 +136,42 @@ def _kth(found: Found, n: int, k: int) -> np.ndarray:
     return np.where(np.bincount(q, minlength=n) >= k, low, -1.0)
 
 
-def search(x: np.ndarray, y: np.ndarray, ids: np.ndarray, mean: np.ndarray, rotation: np.ndarray, k: int) -> Found:
-    """(query, row, cosine) of the k most similar unit vectors of y for each of x."""
-    index = MultiIndex(codes_of(y, mean, rotation))
-    asked, bits = codes_of(x, mean, rotation), rotation.shape[1]
-    # A first radius that some 4 k codes meet by chance: what lies in it tells the radius that is needed.
-    chance = NormalDist().inv_cdf(min(0.5, max(1e-12, 4 * k / max(1, len(y)))))
-    start = max(0, int(bits / 2 + chance * math.sqrt(bits) / 2))
-    out = []
-    for a in range(0, len(x), QUERIES):
-        own, vectors = asked[a : a + QUERIES], x[a : a + QUERIES]
-
-        rank = functools.partial(_best, x=vectors, y=y, ids=ids, k=k)
-        found = rank(NONE, *index.probe(own, PROBE))
-        radius = _radius(_kth(found, len(own), k), bits)
-        if index.cheap(int(radius.max(initial=0))):
-            found = rank(found, *index.within(own, radius))
-        else:
-            d = index.distances(own)
-            first = np.minimum(radius, start)
-            found = rank(found, *np.nonzero(d <= first[:, None].astype(d.dtype)))
-            radius = np.minimum(radius, _radius(_kth(found, len(own), k), bits))
-            rest = np.nonzero(radius > first)[0]
-            if len(rest):
-                wide = d[rest]
-                top = np.minimum(radius[rest], np.iinfo(d.dtype).max)[:, None].astype(d.dtype)
-                row, col = np.nonzero((wide <= top) & (wide > first[rest, None].astype(d.dtype)))
-                found = rank(found, rest[row], col)
-        q, r, score = found
-        out.append((q + a, r, score))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else NONE
+def search(x: np.ndarray, y: np.ndarray, ids: np.ndarray, mean: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, cosine) of the k most similar unit vectors of y for each of x, and how many pairs were visited."""
+    index = MultiIndex(bits_of(y, mean, rotation))
+    asked = bits_of(x, mean, rotation)
+    codes, values, width = words_of(asked), index.substrings(asked), asked.shape[1]
+    m, n, below = len(index.tables), len(y), chances(index.sub)
+    out, visited = [], 0
+    for first in range(0, len(x), QUERIES):
+        own, vectors = codes[first : first + QUERIES], x[first : first + QUERIES]
+        size = len(own)
+        seen = np.zeros(size * n, bool)
+        found, kth, active = NONE, np.full(size, -1.0), np.arange(size)
+        for flips in range(index.sub + 1):
+            for table in range(0, m, GROUP):
+                upto = min(m, table + GROUP)
+                q, r = index.probe(values[first + active], flips, range(table, upto))
+                pair = active[q] * n + r
+                pair = pair[~seen[pair]]
+                seen[pair] = True
+                q, r = pair // n, pair % n
+                share = np.arccos(np.clip(kth, -1, 1)) / math.pi
+                radius = width * share + SURE * np.sqrt(width * share * (1 - share))
+                near = np.bitwise_count(own[q] ^ index.codes[r]).sum(axis=1) <= radius[q]
+                if near.any():
+                    found = _best(found, q[near], r[near], vectors, y, ids, k)
+                    kth = _kth(found, size, k)
+                at = np.rint(np.arccos(np.clip(kth[active], -1, 1)) / math.pi * 1000).astype(int)
+                miss = (1 - below[flips + 1, at]) ** upto * (1 - below[flips, at]) ** (m - upto)
+                active = active[miss > MISS]
+                if not len(active):
+                    break
+            if not len(active):
+                break
+        visited += int(np.count_nonzero(seen))
+        out.append((found[0] + first, *found[1:]))
+    return (*(np.concatenate(c) for c in zip(*out, strict=True)), visited) if out else (*NONE, 0)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -192,15 +186,6 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & sound)
 
 
-def _own_partitions(spark: SparkSession, n: int, number: Column) -> Column:
-    """A value for each block pair that hash partitioning sends to partition ``number``: as many tasks as pairs, and
-    none that gets two while another gets none. Tries 30 n small integers on the driver."""
-    tried = spark.range(30 * n + 100).select(F.col("id").cast("int").alias("i"))
-    first = tried.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i").alias("i"))
-    values = {r["p"]: r["i"] for r in first.collect()}
-    return F.element_at(F.array(*(F.lit(values.get(p, p)) for p in range(n))), number.cast("int") + 1)
-
-
 def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, cosine): the k most similar entities of each query. Both sides have the columns id and v."""
     spark = queries.sparkSession
@@ -216,7 +201,9 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.count()
     if not asked:
         return spark.createDataFrame([], schema)
-    query_blocks = max(1, math.ceil(asked / min(MOST_QUERIES, max(LEAST_QUERIES, asked // QUERY_BLOCKS))))
+    # Each query is searched by itself: how many share a block changes no result.
+    spread_over = min(math.ceil(2 * spark.sparkContext.defaultParallelism / entity_blocks), math.ceil(asked / LEAST_QUERIES))
+    query_blocks = max(math.ceil(asked / QUERY_BLOCK), spread_over)
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("id", "v", place(query_blocks).alias("qb"), every(entity_blocks).alias("eb"))
@@ -226,15 +213,14 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
         ids = b["id"].to_numpy()
-        q, r, score = search(_unit(a["asked"]), _unit(b["v"]), ids, mean, rotation, k)
+        q, r, score, _ = search(_unit(a["asked"]), _unit(b["v"]), ids, mean, rotation, k)
         return pd.DataFrame({"query_id": a["query_id"].to_numpy()[q], "id": ids[r], "cosine": score})
 
     # New names on one side: both may stem from the same frame.
     cells = query_blocks * entity_blocks
-    number = F.col("qb") * entity_blocks + F.col("eb")
-    cell = (_own_partitions(spark, cells, number) if cells <= MOST_CELLS else number).alias("cell")
+    cell = (F.col("qb") * entity_blocks + F.col("eb")).alias("cell")
     left, right = left.select(F.col("id").alias("query_id"), F.col("v").alias("asked"), cell), right.select("id", "v", cell)
-    spread = [df.repartition(min(cells, MOST_CELLS), "cell") for df in (left, right)]
+    spread = [df.repartitionById(cells, "cell") for df in (left, right)]
     met = spread[0].groupBy("cell").cogroup(spread[1].groupBy("cell")).applyInPandas(pair, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.col("id"))
     if entity_blocks == 1:

@@ -19,18 +19,40 @@ def exact(q, e, k):
     return out
 
 
-def test_within_radius_by_both_ways():
+def test_pigeonhole():
+    """m tables probed with up to t flips give every code within m (t + 1) - 1, each exactly as far in some substring."""
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 2**63, (3000, 4)).astype(np.uint64)
-    near = codes[:40].copy()
-    near[:, 0] ^= np.uint64(0b1011)
-    index = v.MultiIndex(np.concatenate([codes, near]))
-    queries = codes[:50]
-    d = np.bitwise_count(queries[:, None] ^ index.codes[None]).sum(axis=2)
-    assert (index.distances(queries) == d.astype(np.uint8)).all()
-    for r in (0, 7, 20, 47, 63):
-        q, c = index.within(queries, np.full(50, r))
-        assert sorted(zip(q.tolist(), c.tolist(), strict=True)) == [tuple(x) for x in np.argwhere(d <= r).tolist()]
+    bits = rng.random((3000, 96)) < 0.5
+    near = bits[:40].copy()
+    near[:, :5] ^= True
+    index = v.MultiIndex(np.concatenate([bits, near]), 12)
+    queries = bits[:50]
+    values, codes, m = index.substrings(queries), v.words_of(queries), len(index.tables)
+    d = np.bitwise_count(codes[:, None] ^ index.codes[None]).sum(axis=2)
+    met = set()
+    for t in range(4):
+        q, r = index.probe(values, t, range(m))
+        met |= set(zip(q.tolist(), r.tolist(), strict=True))
+        within = {tuple(x) for x in np.argwhere(d <= m * (t + 1) - 1).tolist()}
+        assert within <= met
+    assert len(met) < d.size / 2
+
+
+def test_probing_gives_the_rows():
+    """Without near neighbours the search goes on until it has met enough; pairs visited stay below rows x rows."""
+    rng = np.random.default_rng(5)
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    y = unit(rng.standard_normal((4000, 64)))
+    x = unit(y[:300] + 0.08 * rng.standard_normal((300, 64)))
+    mean, rotation = v.learn_rotations(y)
+    q, r, _, visited = v.search(x, y, np.arange(4000), mean, rotation, 1)
+    assert (r == q).mean() > 0.98 and visited < 0.1 * len(x) * len(y)
+    far = unit(rng.standard_normal((40, 64)))
+    q, r, _, _ = v.search(far, y, np.arange(4000), mean, rotation, 10)
+    want = np.argsort(-(far @ y.T), axis=1)[:, :10]
+    assert np.mean([b in want[a] for a, b in zip(q, r, strict=True)]) > 0.95
+    few = v.search(far, y[:7], np.arange(7), mean, rotation, 10)
+    assert len(few[0]) == 7 * 40
 
 
 def test_hard_cases(spark):
