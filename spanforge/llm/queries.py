@@ -9,7 +9,7 @@ from spanforge.llm.chunk_encoding import encode_corpus
 from spanforge.llm.format_variants import collapse_records, copies_beyond_first, record_keys
 from spanforge.llm.grouped_splits import split_related
 from spanforge.llm.leakage import leaks
-from spanforge.llm.look_alikes import look_alike_pairs, visual_forms
+from spanforge.llm.look_alikes import look_alike_classes, look_alike_pairs, visual_forms
 from spanforge.llm.nearest_vectors import nearest, usable
 from spanforge.llm.sentences import sentence_units
 from spanforge.session import table
@@ -63,6 +63,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_classes(table(spark, sf_dir, "documents"))
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_forms(table(spark, sf_dir, "documents")).select("doc_id", "form")
 
@@ -77,6 +81,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
+    "p8_classes": p8_classes,
     "p8_forms": p8_forms,
 }
 
