@@ -1,21 +1,23 @@
 """Held-out passages that stand, wholly or partly, in the documents of a corpus.
 
-A prefix-filtered set join. Items are a stated, small query set: they are read in blocks of ``BLOCK`` items, and each
-block's index (a bounded table) is broadcast, so that the corpus is only scanned, never shuffled.
-
-(1) Texts are brought to words: markup, look-alikes, case and punctuation are dropped, words are what white space
-parts. Texts of scripts that don't space words (Chinese, Japanese) are read as letters and digits. (2) A first scan
-counts in how many documents each shingle of an item occurs, over all documents: partial counts per batch, one sum.
-(3) Shingles of an item are ordered by rarity. A stretch of L words with k changes keeps all but 4k of its shingles of
-four words, so at least one of its 4k + 1 rarest; only these prefix shingles are indexed (for letters, where nothing may
-change, the one rarest shingle of each window). (4) A second scan joins the document's shingles with the prefix index,
-keeps items whose shingles meet in one diagonal band often enough (length and positional bounds), and verifies each by
-chaining the matching words of the band with the fewest edits.
+A prefix-filtered set join, with both sides as tables.
+
+(1) One scan brings every document to words: markup is dropped, words are what white space parts, and each is folded once
+(look-alikes, case, punctuation) and kept as a 64-bit code. Texts of scripts that don't space words (Chinese, Japanese)
+are read as letters and digits. The scan makes the shingles (four words, or twelve letters) and keeps, for the documents
+that hold enough of the items' shingles to qualify, one narrow row: its units and these shingles. A bitmap of the items'
+shingles, at most ``MOST_BITS`` bits whatever their number, is all that is broadcast; it only spares rows, as the join
+is by the shingles themselves. (2) Shingles are counted by document and ordered by rarity. (3) A stretch of L words with
+k changes keeps all but 4k of its shingles, so at least one of its 4k + 1 rarest: only these prefix shingles of an item
+are joined with the documents' (for letters, where nothing may change, the rarest of each window). (4) The pairs that
+meet are verified on the coded words: enough shared shingles in one diagonal band (length and positional bounds), and then
+a chain of matching words with the fewest edits. No item, shingle or document is collected.
 
 A document holds an item when it has the whole passage, or at least ``WORDS`` consecutive words of it, with at most one
-word in eight changed, added or missing; or ``LETTERS`` consecutive letters or digits unchanged. A stretch in which one
-symbol or number stands for another is a sentence of the same build about something else and doesn't count, nor does
-one with changes whose neighbours are swapped like that.
+word in eight changed, added or missing; or ``LETTERS`` consecutive letters or digits unchanged. A changed number is a
+change like any other. A stretch with changes in which the item's symbols (words with a capital behind their first letter, or
+with letters and digits) are replaced throughout, also up to three words beside it, and none is kept, is a sentence of the
+same build about something else and doesn't count.
 
 Defined results: null or empty texts and passages hold nothing. Items with the same passage all count. Repeated
 documents give a row each per doc_id. An item shorter than the least stretch must be there as a whole.
@@ -24,8 +26,9 @@ documents give a row each per doc_id. An item shorter than the least stretch mus
 from __future__ import annotations
 
 import html
+import math
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,205 +38,149 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.look_alikes import visual_form
+from spanforge.llm.look_alikes import casefold_shape, main_script, word_form
+from spanforge.session import cut
 
-WORDS, LETTERS, EIGHTH, BLOCK = 15, 40, 8, 5_000
+WORDS, LETTERS, EIGHTH = 15, 40, 8
 EDITS = 4
 SHINGLE, LETTER_SHINGLE = 4, 12
-_TAG = regex.compile(r"</?[\p{L}!][^<>]{0,200}>|<\|[^<>|]{1,40}\|>|[*_`#~]+")
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Units of a scan that are worked on together, and folded words that a task remembers.
+UNITS, KNOWN = 1_000_000, 500_000
+_TAG = regex.compile(r"""</?\p{L}[\w:-]*+(?:\s++[\w:-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+)*+\s*+/?>|<![^<>]*+>|<\|[^<>|]*+\|>""")
 _BROKEN = regex.compile(r"(?<=\p{Ll})[-‐]\s*\n\s*(?=\p{Ll})")
 _OUT = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-_DIGIT = regex.compile(r"\d")
+_SYMBOL = regex.compile(r"\w\p{Lu}|\p{L}[^\s\p{L}]*\d|\d[^\s\p{L}]*\p{L}")
 
 
-def plain(text: str) -> str:
+def without_markup(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
-    return visual_form(_TAG.sub(" ", _BROKEN.sub("", text))).casefold()
+    if "\n" in text and ("-" in text or "‐" in text):
+        text = _BROKEN.sub("", text)
+    return _TAG.sub(" ", text) if "<" in text else text
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a text made plain: what white space parts, letters and digits only."""
-    return [w if w.isalnum() else x for w in text.split() if w.isalnum() or (x := _OUT.sub("", w))]
+class _Codes(dict):
+    """Code of each word as it is written: its folded form's hash, the lowest bit telling a symbol; 0 for what holds no
+    letter or digit."""
+
+    def __init__(self, main: str):
+        self.main = main
+
+    def __missing__(self, word: str) -> int:
+        form = _OUT.sub("", word_form(word, self.main).casefold())
+        code = (xxhash.xxh3_64_intdigest(form.encode()) | 1) ^ (not _SYMBOL.search(word)) if form else 0
+        self[word] = code
+        return code
+
+
+class _Letters(dict):
+    """Letters and digits of each character, folded."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = form = _OUT.sub("", casefold_shape(chr(c)))
+        return form
+
+
+_CODES: dict[str, _Codes] = {}
+_LETTERS = _Letters()
+
+
+def words_of(text: str) -> np.ndarray:
+    """Codes of a text's words."""
+    main = main_script(text)
+    known = _CODES.get(main)
+    if known is None or len(known) > KNOWN:
+        known = _CODES[main] = _Codes(main)
+    words = text.split()
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return codes[codes != 0]
 
 
 def letters_of(text: str) -> str:
-    return _OUT.sub("", text)
+    return text.translate(_LETTERS)
 
 
 def is_unspaced(text: str) -> bool:
-    n = len(_UNSPACED.findall(text))
-    return n * 4 > sum(c.isalpha() for c in text)
+    return not text.isascii() and len(_UNSPACED.findall(text)) * 4 > sum(c.isalpha() for c in text)
 
 
-def _code(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode())
+def _points(run: str) -> np.ndarray:
+    return np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _shingles(codes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit code of each n consecutive units."""
-    if len(codes) < n:
+def shingles(units: np.ndarray, size: int) -> np.ndarray:
+    """A code of each ``size`` consecutive units."""
+    if len(units) < size:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(codes) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - n + 1 + i]
+    out = np.full(len(units) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + units[i : len(units) - size + 1 + i]
         out ^= out >> np.uint64(31)
     return out
 
 
-def _within(codes: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Positions of the codes that a sorted index has."""
-    if not len(codes) or not len(index):
-        return np.zeros(0, int)
-    return np.nonzero(index[np.minimum(np.searchsorted(index, codes), len(index) - 1)] == codes)[0]
+def _bare(codes: np.ndarray) -> np.ndarray:
+    return codes >> np.uint64(1)
+
+
+def item_units(passage: str) -> tuple[str, int, np.ndarray]:
+    """Kind ('w' words, 'l' letters), size of the shingles and units of an item. Short items are one shingle."""
+    text = without_markup(passage)
+    if is_unspaced(text):
+        units = _points(letters_of(text))
+        return "l", min(LETTER_SHINGLE, len(units)), units
+    units = words_of(text)
+    return "w", min(SHINGLE, len(units)), units
 
 
-def _prefixes(shingles: list[int], rarity: dict[int, int], unspaced: bool, units: int) -> set[int]:
-    """Positions of the item's shingles that any qualifying stretch must share one of."""
-    n = len(shingles)
-    if not n:
-        return set()
-    rank = sorted(range(n), key=lambda i: (rarity.get(shingles[i], 0), shingles[i], i))
-    place = [0] * n
-    for r, i in enumerate(rank):
-        place[i] = r
+def needed(kind: str, n: int) -> int:
+    """Shingles that the item and a document that holds it share at least."""
+    if kind == "l":
+        return max(1, min(LETTERS, n) - LETTER_SHINGLE + 1)
+    return min(SHINGLE + 1, max(1, n - SHINGLE + 1 - SHINGLE * (n // EIGHTH)))
+
+
+def prefix_places(rank: list, kind: str, units: int) -> set[int]:
+    """Places of the item's shingles that any qualifying stretch must share one of; ``rank`` orders them by rarity."""
+    n = len(rank)
     chosen: set[int] = set()
-    stretches = [(min(LETTERS, units), 1)] if unspaced else [
+    stretches = [(min(LETTERS, units), 1)] if kind == "l" else [
         (length, SHINGLE * (length // EIGHTH) + 1) for length in sorted({min(units, x) for x in (WORDS, 16, 24, 32)} | {units})
     ]
-    size = LETTER_SHINGLE if unspaced else SHINGLE
+    size = LETTER_SHINGLE if kind == "l" else SHINGLE
     for length, prefix in stretches:
         span = max(1, length - size + 1)
         for a in range(max(1, n - span + 1)):
             window = range(a, min(n, a + span))
-            chosen.update(window if len(window) <= prefix else sorted(window, key=place.__getitem__)[:prefix])
+            chosen.update(window if len(window) <= prefix else sorted(window, key=rank.__getitem__)[:prefix])
     return chosen
 
 
-class Index:
-    """Items of a block: their units, and the prefix shingles with their places."""
-
-    def __init__(self, items: list[tuple[int, str]], rarity: dict[int, int] | None = None):
-        self.words: dict[int, list[str]] = {}
-        self.letters: dict[int, str] = {}
-        self.vocabulary: dict[str, int] = {}
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.letter_places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: list[tuple[int, list[str]]] = []
-        self.short_letters: list[tuple[int, str]] = []
-        rarity = rarity or {}
-        for item, passage in items:
-            text = plain(passage)
-            if is_unspaced(text):
-                run = letters_of(text)
-                if len(run) < LETTER_SHINGLE:
-                    if run:
-                        self.short_letters.append((item, run))
-                    continue
-                self.letters[item] = run
-                codes = _shingles(np.frombuffer(run.encode("utf-32-le"), np.uint32).astype(np.uint64), LETTER_SHINGLE).tolist()
-                for i in _prefixes(codes, rarity, True, len(run)) if rarity else range(len(codes)):
-                    self.letter_places[codes[i]].append((item, i))
-            else:
-                ws = words_of(text)
-                for w in ws:
-                    self.vocabulary.setdefault(w, _code(w))
-                if len(ws) < SHINGLE:
-                    if ws:
-                        self.short.append((item, ws))
-                    continue
-                self.words[item] = ws
-                codes = _shingles(np.array([self.vocabulary[w] for w in ws], np.uint64), SHINGLE).tolist()
-                for i in _prefixes(codes, rarity, False, len(ws)) if rarity else range(len(codes)):
-                    self.places[codes[i]].append((item, i))
-        self.codes = np.array(sorted(self.places), np.uint64)
-        self.letter_codes = np.array(sorted(self.letter_places), np.uint64)
-
-    def word_hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and codes of the document's shingles that are in the index."""
-        get = self.vocabulary.get
-        known = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        codes = _shingles(known, SHINGLE)
-        at = _within(codes, self.codes)
-        return at, codes[at]
-
-    def letter_hits(self, run: str) -> tuple[np.ndarray, np.ndarray]:
-        codes = _shingles(np.frombuffer(run.encode("utf-32-le"), np.uint32).astype(np.uint64), LETTER_SHINGLE)
-        at = _within(codes, self.letter_codes)
-        return at, codes[at]
-
-
-def align(item: list[str], doc: list[str], offset: int, band: int) -> list[tuple[str, int, int]]:
-    """Best local alignment in the band of diagonals around ``offset`` (document minus item position): the steps
-    (match, swap, lost item word, added document word) from its first match to its last."""
-    n, width = len(item), 2 * band + 1
-    best, end = 0, None
-    previous, back = [0] * width, []
-    for i in range(n):
-        row, trace, w = [0] * width, bytearray(width), item[i]
-        for b in range(width):
-            j = i + offset + b - band
-            if j < 0 or j >= len(doc):
-                continue
-            if w == doc[j]:
-                score, step = previous[b] + 1, 1
-            else:
-                score, step = previous[b] - 3, 2
-            if b + 1 < width and previous[b + 1] - 3 > score:
-                score, step = previous[b + 1] - 3, 3
-            if b and row[b - 1] - 3 > score:
-                score, step = row[b - 1] - 3, 4
-            if score > 0:
-                row[b], trace[b] = score, step
-                if score > best:
-                    best, end = score, (i, b)
-        previous = row
-        back.append(trace)
-    steps: list[tuple[str, int, int]] = []
-    if end is None:
-        return steps
-    i, b = end
-    while i >= 0 and 0 <= b < width and (step := back[i][b]):
-        j = i + offset + b - band
-        steps.append((" msda"[step], i, j))
-        if step == 4:
-            b -= 1
-        else:
-            i -= 1
-            b += step == 3
-    steps.reverse()
-    while steps and steps[0][0] != "m":
-        steps.pop(0)
-    return steps
-
-
-def _swapped(a: str, b: str) -> bool:
-    """Whether one symbol or number stands for another."""
-    return a != b and bool(_DIGIT.search(a)) and bool(_DIGIT.search(b))
-
-
-def stretches(item: list[str], doc: list[str], low: int, high: int) -> bool:
+def stretches(item: list[int], doc: list[int], low: int, high: int) -> bool:
     """Whether any stretch of the item between two matches on these diagonals (document minus item position) is long
-    enough and has at most one edit in eight words; exact, as each match keeps its earliest start for each number of edits.
+    enough and has at most one edit in eight words; exact, as each match keeps, for each number of edits, its earliest
+    start without symbols (0), with swapped ones only (1) and with a kept one (2).
 
     Up to ``EDITS`` edits suffice: of a qualifying stretch of 36 words or more one half qualifies too. A gap between two
-    matches costs its longer side, and none may have a symbol or number on one side and another on the other side.
+    matches costs its longer side.
     """
     n = len(item)
     least, most = min(WORDS, n), min(EDITS, n // EIGHTH)
-    places: dict[str, list[int]] = defaultdict(list)
+    places: dict[int, list[int]] = defaultdict(list)
     for j in range(max(0, low), min(len(doc), n + high)):
-        places[doc[j]].append(j)
-    rows: list[dict[int, tuple[int, list[int]]]] = []
+        places[doc[j] >> 1].append(j)
+    rows: list[dict[int, tuple[int, list[list[int]]]]] = []
     for i, word in enumerate(item):
-        row: dict[int, tuple[int, list[int]]] = {}
-        for j in places.get(word, ()):
+        row: dict[int, tuple[int, list[list[int]]]] = {}
+        for j in places.get(word >> 1, ()):
             if not low <= j - i <= high:
                 continue
-            run, starts = 1, [n] * (most + 1)
-            if not _swap_near(item, doc, i, j, -1):
-                starts[0] = i
+            run, starts = 1, [[n] * (most + 1) for _ in range(3)]
+            own = 2 if word & 1 else 0
+            starts[own if own else 1 if _swap_near(item, doc, i, j, -1) else 0][0] = i
             for p in range(min(most, i - 1) + 1 if i else 0):
                 for j2, (length, old) in rows[i - 1 - p].items():
                     q = j - 1 - j2
@@ -242,170 +189,226 @@ def stretches(item: list[str], doc: list[str], low: int, high: int) -> bool:
                     cost = max(p, q)
                     if not cost:
                         run = length + 1
-                    elif p and q and any(_swapped(a, b) for a in item[i - p : i] for b in doc[j - q : j]):
-                        continue
-                    for e in range(most + 1 - cost):
-                        starts[e + cost] = min(starts[e + cost], old[e])
+                    swap = bool(p and q) and any(a & 1 for a in item[i - p : i])
+                    for s in range(3):
+                        to = starts[max(s, own, int(swap))]
+                        for e in range(most + 1 - cost):
+                            to[e + cost] = min(to[e + cost], old[s][e])
             outside = n - 1 - i
             if run >= least or (i + 1 - run + outside) * EIGHTH <= n:
                 return True
-            for e, start in enumerate(starts):
-                if start < n and (e + start + outside) * EIGHTH <= n:
-                    return True
-                length = i - start + 1
-                if length >= least and e * EIGHTH <= length and not _swap_near(item, doc, i, j, 1):
-                    return True
+            after = _swap_near(item, doc, i, j, 1)
+            for s in (0, 2):
+                if s == 0 and after:
+                    continue
+                for e, start in enumerate(starts[s]):
+                    length = i - start + 1
+                    if start < n and ((e + start + outside) * EIGHTH <= n or length >= least and e * EIGHTH <= length):
+                        return True
             row[j] = run, starts
         rows.append(row)
     return False
 
 
-def holds(item: list[str], doc: list[str], offset: int, reach: int = 0) -> bool:
-    """Whether the document has, around this diagonal and up to ``reach`` beside it, enough of the item."""
-    n = len(item)
-    band = max(3, n // EIGHTH + 2)
-    if stretches(item, doc, offset - band - reach, offset + band + reach):
-        return True
-    steps = align(item, doc, offset, band)
-    if not steps:
-        return False
-    least = min(WORDS, n)
-    edits, swaps, matches = [0], [0], []
-    for k, (kind, i, j) in enumerate(steps):
-        edits.append(edits[-1] + (kind != "m"))
-        swaps.append(swaps[-1] + (kind == "s" and _swapped(item[i], doc[j])))
-        if kind == "m":
-            matches.append(k)
-    first, last = steps[0], steps[-1]
-    outside = first[1] + n - 1 - last[1]
-    if (edits[-1] + outside) * EIGHTH <= n and swaps[-1] == 0:
-        return True
-    for x, k in enumerate(matches):
-        for m in reversed(matches[x:]):
-            length = steps[m][1] - steps[k][1] + 1
-            if length < least:
-                break
-            inner = edits[m + 1] - edits[k]
-            if inner * EIGHTH > length or swaps[m + 1] - swaps[k]:
-                continue
-            if not inner or not _beside_swap(item, doc, steps, k, m):
-                return True
-    return False
-
-
-def _beside_swap(item: list[str], doc: list[str], steps: list[tuple[str, int, int]], k: int, m: int) -> bool:
-    """Whether right before or behind the stretch, up to three words on, the same build goes on with another symbol."""
-    return _swap_near(item, doc, *steps[k][1:], -1) or _swap_near(item, doc, *steps[m][1:], 1)
-
-
-def _swap_near(item: list[str], doc: list[str], i: int, j: int, way: int) -> bool:
+def _swap_near(item: list[int], doc: list[int], i: int, j: int, way: int) -> bool:
+    """Whether up to three words beside a match another symbol, or another word with the same build behind it, stands for
+    a symbol."""
+    same = lambda d: 0 <= i + way * d < len(item) and 0 <= j + way * d < len(doc) and item[i + way * d] >> 1 == doc[j + way * d] >> 1
     for d in (1, 2, 3):
         a, b = i + way * d, j + way * d
-        if 0 <= a < len(item) and 0 <= b < len(doc) and _swapped(item[a], doc[b]):
+        if not (0 <= a < len(item) and 0 <= b < len(doc)):
+            return False
+        if item[a] & 1 and not same(d) and (doc[b] & 1 or same(d + 1) or same(d + 2)):
             return True
     return False
 
 
-def _bands(hits: list[tuple[int, int]], slack: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Groups of (document, item) positions whose diagonals lie close together."""
+def _bands(hits: list[tuple[int, int]], slack: int) -> Iterator[list[tuple[int, int]]]:
+    """Groups of (document, item) places whose diagonals lie close together."""
     hits.sort(key=lambda h: (h[0] - h[1], h[0]))
     start = 0
     for x in range(1, len(hits) + 1):
         if x == len(hits) or (hits[x][0] - hits[x][1]) - (hits[x - 1][0] - hits[x - 1][1]) > slack:
-            group = hits[start:x]
-            yield (group[0][0] - group[0][1] + group[-1][0] - group[-1][1]) // 2, group
+            yield hits[start:x]
             start = x
 
 
-def leaked_items(text: str, index: Index, full: Index) -> set[int]:
-    """The items of the block that the text holds. ``full`` indexes every shingle, for the count bound."""
-    found: set[int] = set()
-    made = plain(text)
-    if (index.letters or index.short_letters) and _UNSPACED.search(made):
-        run = letters_of(made)
-        found.update(i for i, s in index.short_letters if s in run)
-        at, codes = index.letter_hits(run)
-        for p, c in zip(at.tolist(), codes.tolist(), strict=True):
-            for item, i in index.letter_places[c]:
-                if item in found:
-                    continue
-                passage = index.letters[item]
-                a, b, x, y = i, i, p, p
-                while a and x and passage[a - 1] == run[x - 1]:
-                    a, x = a - 1, x - 1
-                while b < len(passage) and y < len(run) and passage[b] == run[y]:
-                    b, y = b + 1, y + 1
-                if b - a >= min(LETTERS, len(passage)):
-                    found.add(item)
-    if index.words or index.short:
-        words = words_of(made)
-        for item, ws in index.short:
-            if any(words[k : k + len(ws)] == ws for k in range(len(words) - len(ws) + 1)):
-                found.add(item)
-        at, codes = index.word_hits(words)
-        if len(at):
-            candidates = {item for c in set(codes.tolist()) for item, _ in index.places[c]}
-            met: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            at, codes = full.word_hits(words)
-            for p, c in zip(at.tolist(), codes.tolist(), strict=True):
-                for item, i in full.places[c]:
-                    if item in candidates:
-                        met[item].append((p, i))
-            for item, hits in met.items():
-                passage = index.words[item]
-                need = min(SHINGLE + 1, max(1, len(passage) - SHINGLE + 1 - SHINGLE * (len(passage) // EIGHTH)))
-                if len({i for _, i in hits}) < need:
-                    continue
-                for offset, group in _bands(hits, 3):
-                    reach = (group[-1][0] - group[-1][1] - group[0][0] + group[0][1] + 1) // 2
-                    if len({i for _, i in group}) >= need and _dense(group, need) and holds(passage, words, offset, reach):
-                        found.add(item)
-                        break
-    return found
-
-
 def _dense(group: list[tuple[int, int]], need: int) -> bool:
     """Whether ``need`` shingles lie within a stretch of 32 words of the item."""
     places = sorted({i for _, i in group})
     return any(bisect_left(places, places[k] + 32) - k >= need for k in range(len(places)))
 
 
-def _counted(items: list[tuple[int, str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(items)
-        for pdf in batches:
-            counts: Counter = Counter()
-            for text in pdf["text"]:
-                made = plain(text)
-                if index.letters and _UNSPACED.search(made):
-                    counts.update(set(index.letter_hits(letters_of(made))[1].tolist()))
-                counts.update(set(index.word_hits(words_of(made))[1].tolist()))
-            keys = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
-            yield pd.DataFrame({"code": keys, "n": np.fromiter(counts.values(), np.int64, len(counts))})
+class Document:
+    """Units of a document with the places of its shingles of each size."""
+
+    def __init__(self, kind: str, units: np.ndarray):
+        self.kind, self.units, self.places = kind, units, {}
+        self.bare = _bare(units) if kind == "w" else units
+        self.words = units.tolist() if kind == "w" else None
+
+    def at(self, size: int) -> dict[int, list[int]]:
+        if size not in self.places:
+            made: dict[int, list[int]] = defaultdict(list)
+            for p, c in enumerate(shingles(self.bare, size).tolist()):
+                made[c].append(p)
+            self.places[size] = made
+        return self.places[size]
+
+    def holds(self, size: int, units: np.ndarray) -> bool:
+        """Whether the document has enough of an item of its kind."""
+        n, places = len(units), self.at(size)
+        bare = _bare(units) if self.kind == "w" else units
+        hits = [(p, i) for i, c in enumerate(shingles(bare, size).tolist()) for p in places.get(c, ())]
+        if not hits:
+            return False
+        if size == n:
+            return True
+        need = needed(self.kind, n)
+        if self.kind == "l":
+            # Consecutive shingles on one diagonal are a run of equal letters.
+            hits.sort(key=lambda h: (h[0] - h[1], h[0]))
+            run = 1
+            for a, b in zip(hits, hits[1:], strict=False):
+                if run >= need:
+                    break
+                run = run + 1 if b[0] - a[0] == 1 == b[1] - a[1] else 1
+            return run >= need
+        if len({i for _, i in hits}) < need:
+            return False
+        item, band = units.tolist(), max(3, n // EIGHTH + 2)
+        for group in _bands(hits, 3):
+            if len({i for _, i in group}) >= need and _dense(group, need):
+                low, high = group[0][0] - group[0][1], group[-1][0] - group[-1][1]
+                if stretches(item, self.words, low - band, high + band):
+                    return True
+        return False
 
-    return run
 
+def _signed(codes: np.ndarray) -> np.ndarray:
+    return codes.view(np.int64)
+
+
+def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        made = [item_units(p) for p in pdf["passage"]]
+        rows = pd.DataFrame({
+            "item": pdf["item"], "kind": [k for k, _, _ in made], "size": [s for _, s, _ in made], "units": [_signed(u) for _, _, u in made],
+            "need": [needed(k, len(u)) for k, _, u in made], "codes": [_signed(shingles(_bare(u) if k == "w" else u, s)) if s else _signed(u) for k, s, u in made],
+        })
+        if len(rows := rows[rows["size"] > 0]):
+            yield rows
+
+
+def _scanned(sizes: dict[str, list[int]], least: dict[str, int], bitmap):
+    """Rows of the documents that hold enough of the items' shingles: units and the shingles, for each kind."""
+    def kept(kind: str, rows: list, units: list[np.ndarray]) -> pd.DataFrame:
+        lengths = np.array([len(u) for u in units])
+        joint = np.concatenate(units)
+        owner = np.repeat(np.arange(len(units)), lengths)
+        ends = np.cumsum(lengths)[owner]
+        bits = bitmap.value
+        bare = _bare(joint) if kind == "w" else joint
+        owners, codes = [], []
+        for size in sizes[kind]:
+            made = shingles(bare, size)
+            at = np.nonzero(bits[(made & np.uint64(len(bits) * 8 - 1)) >> np.uint64(3)] >> (made & np.uint64(7)).astype(np.uint8) & 1)[0]
+            at = at[at + size <= ends[at]]  # none reaches into the next document
+            owners.append(owner[at])
+            codes.append(made[at])
+        owners, codes = np.concatenate(owners), np.concatenate(codes)
+        met = np.nonzero(np.bincount(owners, minlength=len(units)) >= least[kind])[0]
+        order = np.argsort(owners, kind="stable")
+        owners, codes = owners[order], codes[order]
+        a, b = np.searchsorted(owners, met), np.searchsorted(owners, met, side="right")
+        return pd.DataFrame({
+            "doc_id": [rows[m][0] for m in met], "at": [rows[m][1] for m in met], "kind": kind, "units": [_signed(units[m]) for m in met],
+            "codes": [_signed(np.unique(codes[x:y])) for x, y in zip(a, b, strict=True)],
+        })
 
-def _scanned(items: list[tuple[int, str]], rarity: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, full = Index(items, rarity), Index(items)
         for pdf in batches:
-            rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i in sorted(leaked_items(t, index, full))]
-            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "item_id": [r[1] for r in rows]}, dtype="int64")
+            held: dict[str, tuple[list, list]] = {k: ([], []) for k in sizes}
+            size = 0
+            for doc, at, raw in zip(pdf["doc_id"], pdf["at"], pdf["text"], strict=True):
+                text = without_markup(raw)
+                for kind, (rows, units) in held.items():
+                    if kind == "w" or not text.isascii() and _UNSPACED.search(text):
+                        made = words_of(text) if kind == "w" else _points(letters_of(text))
+                        if len(made) >= sizes[kind][0]:
+                            rows.append((doc, at))
+                            units.append(made)
+                            size += len(made)
+                if size > UNITS:
+                    yield from (out for k, x in held.items() if x[0] and len(out := kept(k, *x)))
+                    held, size = {k: ([], []) for k in sizes}, 0
+            yield from (out for k, x in held.items() if x[0] and len(out := kept(k, *x)))
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+def _prefixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        items, codes = [], []
+        for item, kind, n, met in zip(pdf["item"], pdf["kind"], pdf["n"], pdf["met"], strict=True):
+            # Ties in rarity go by the code: the same order for every item.
+            for i in prefix_places([(m["df"], m["code"], m["pos"]) for m in met], kind, n):
+                items.append(item)
+                codes.append(met[i]["code"])
+        yield pd.DataFrame({"item": items, "code": codes}, dtype="int64").drop_duplicates()
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last, document = None, None
+    for pdf in batches:
+        right = []
+        for at, kind, units, size, item in zip(pdf["at"], pdf["kind"], pdf["units"], pdf["size"], pdf["item_units"], strict=True):
+            key = (at, kind)
+            if key != last:
+                last, document = key, Document(kind, np.asarray(units, np.int64).view(np.uint64))
+            right.append(document.holds(size, np.asarray(item, np.int64).view(np.uint64)))
+        yield pdf.loc[np.array(right, bool), ["doc_id", "item"]]
+
+
+def _bitmap(codes: DataFrame, shingles_in_items: int) -> np.ndarray:
+    """Bits of the items' shingles, 16 for each up to ``MOST_BITS``: what reaches the driver has that bound."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(16 * max(1, shingles_in_items)))))
+    place = F.col("code").bitwiseAND(F.lit(size - 1))
+    bytes_ = codes.groupBy(F.shiftright(place, 3).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, CAST((code & {size - 1}) & 7 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(size // 8, np.uint8)
+    out[bytes_["at"].to_numpy(np.int64)] = bytes_["bits"].to_numpy(np.uint8)
+    return out
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): one row for each document and each item that it holds."""
+    spark = documents.sparkSession
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text <> ''")
-    wanted = items.select(F.col("item_id"), F.col("passage")).where("item_id IS NOT NULL AND passage <> ''").distinct()
-    found = None
-    bounds = [r[0] for r in wanted.select("item_id").orderBy("item_id").collect()]
-    for k in range(0, len(bounds), block):
-        own = [tuple(r) for r in wanted.where(F.col("item_id").between(bounds[k], bounds[min(k + block, len(bounds)) - 1])).collect()]
-        counts = texts.select("text").mapInPandas(_counted(own), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-        rarity = {r["code"] & (2**64 - 1): r["n"] for r in counts.collect()}  # as many as the block's shingles at most
-        part = texts.mapInPandas(_scanned(own, rarity or {0: 0}), "doc_id bigint, item_id bigint").distinct()
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else texts.select("doc_id", F.lit(0).cast("bigint").alias("item_id")).where("false")
+    wanted = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage <> ''").distinct()
+    passages = wanted.groupBy("passage").agg(F.min("item_id").alias("item"))
+    units = "item bigint, kind string, size int, units array<bigint>, need int, codes array<bigint>"
+    known = cut(passages.select("item", "passage").mapInPandas(_item_rows, units))
+    # At most as many rows as there are sizes of shingles.
+    kinds = known.groupBy("kind", "size").agg(F.min("need").alias("need"), F.sum(F.size("codes")).alias("n")).collect()
+    empty = texts.select("doc_id", F.lit(0).cast("bigint").alias("item_id")).where("false")
+    if not kinds:
+        return empty
+    sizes = {k: sorted({r["size"] for r in kinds if r["kind"] == k}) for k in sorted({r["kind"] for r in kinds})}
+    least = {k: min(r["need"] for r in kinds if r["kind"] == k) for k in sizes}
+    each = known.select("item", "kind", F.size("units").alias("n"), F.posexplode("codes").alias("pos", "code"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(each, sum(r["n"] for r in kinds)))
+    schema = "doc_id bigint, at bigint, kind string, units array<bigint>, codes array<bigint>"
+    # Read three times below: the corpus is scanned once, and the rows that can matter are written.
+    held = cut(texts.select("doc_id", F.monotonically_increasing_id().alias("at"), "text").mapInPandas(_scanned(sizes, least, bitmap), schema))
+    hits = held.select("at", "kind", F.explode("codes").alias("code"))
+    rarity = hits.groupBy("kind", "code").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(rarity, ["kind", "code"], "left").groupBy("item", "kind", "n").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "code", F.coalesce("df", F.lit(0)).alias("df")))).alias("met"))
+    index = ranked.mapInPandas(_prefixed, "item bigint, code bigint")
+    pairs = hits.join(index, "code").select("at", "kind", "item").distinct()
+    wanted_units = known.select("item", "kind", "size", F.col("units").alias("item_units"))
+    met = pairs.join(wanted_units, ["item", "kind"]).join(held.select("at", "kind", "doc_id", "units"), ["at", "kind"])
+    sorted_ = met.select("doc_id", "at", "kind", "units", "size", "item_units", "item").sortWithinPartitions("at", "kind")
+    found = sorted_.mapInPandas(_verified, "doc_id bigint, item bigint").distinct()
+    same = wanted.join(passages, "passage").select("item", "item_id")
+    return found.join(same, "item").select("doc_id", "item_id")
