@@ -50,6 +50,42 @@ def test_spans_cover_the_text(text):
     assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
+LISTS = [
+    ["The steps are: 1. Wash the plate.", "2. Dry it.", "3. Store it."],
+    ["1. Cells were grown.", "a. They were washed.", "b. They were dried.", "i. Twice in water.", "ii. Once in ethanol.", "c. They were stored.", "2. Mice were fed.", "3. The end came."],
+    ["1.1. Aims were set.", "1.2. Methods were tried.", "1.2.1. Assays followed.", "2.1. Results came."],
+    ["(i) Cells grew.", "(ii) Mice ate.", "(a) Some ate more.", "(iii) Rats slept."],
+    ["A. The first part.", "B. The second part.", "I. The inner part.", "II. Another inner part.", "C. The third part."],
+    ["Rats fell into group 1.", "The others fell into group 2.", "It was vitamin A.", "Then came II.", "All died."],
+]
+WHOLE = [
+    "We met Gen. Smith there.", "It was led by Assoc. Prof. Jones.", "At 5 p.m. Monday it began.", "See Chap. 3 for more.", "See Sec. 4 for more.", "Two Ph.D. students left.",
+    "The U.S. Food and Drug Administration agreed.", "Capt. Cook sailed.", "It lies in Washington D.C. near the river.",
+]
+
+
+@pytest.mark.parametrize("units", LISTS)
+@pytest.mark.parametrize("gap", [" ", "\n"])
+def test_list_levels(units, gap):
+    text = gap.join(units)
+    assert [text[a:b] for a, b in sentences(text)] == units
+
+
+@pytest.mark.parametrize("text", WHOLE)
+def test_abbreviations_go_on(text):
+    joint = text + " Then it ended."
+    assert [joint[a:b] for a, b in sentences(joint)] == [text, "Then it ended."]
+
+
+def test_unclosed_brackets_are_linear():
+    import time
+
+    start = time.process_time()
+    assert len(sentences("It fell (again. " * 100_000)) == 100_000
+    sentences("([„" * 50_000 + "))]“" * 20_000)
+    assert time.process_time() - start < 4
+
+
 def test_long_text_is_linear():
     assert len(sentences("It fell by 3.4 (Fig. 2). " * 40_000)) == 40_000
 
