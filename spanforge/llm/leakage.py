@@ -9,9 +9,9 @@ that hold enough of the items' shingles to qualify, one narrow row: its units an
 shingles, at most ``MOST_BITS`` bits whatever their number, is all that is broadcast; it only spares rows, as the join
 is by the shingles themselves. (2) Shingles are counted by document and ordered by rarity. (3) A stretch of L words with
 k changes keeps all but 4k of its shingles, so at least one of its 4k + 1 rarest: only these prefix shingles of an item
-are joined with the documents' (for letters, where nothing may change, the rarest of each window). (4) The pairs that
-meet are verified on the coded words: enough shared shingles in one diagonal band (length and positional bounds), and then
-a chain of matching words with the fewest edits. No item, shingle or document is collected.
+are joined with the documents' (for letters, where nothing may change, the rarest of each window). (4) Pairs that
+meet and share as many shingles as the item's length asks are verified on the coded words: so many of them in one diagonal
+band (positional bound), and then a chain of matching words with the fewest edits. No item, shingle or document is collected.
 
 A document holds an item when it has the whole passage, or at least ``WORDS`` consecutive words of it, with at most one
 word in eight changed, added or missing; or ``LETTERS`` consecutive letters or digits unchanged. A changed number is a
@@ -292,9 +292,13 @@ def _signed(codes: np.ndarray) -> np.ndarray:
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         made = [item_units(p) for p in pdf["passage"]]
+        codes = [_signed(shingles(_bare(u) if k == "w" else u, s)) if s else _signed(u) for k, s, u in made]
+        need = [needed(k, len(u)) for k, _, u in made]
+        # Of the places that must be shared, so many codes are different ones at least.
+        share = [max(1, n - len(c) + len(np.unique(c))) for n, c in zip(need, codes, strict=True)]
         rows = pd.DataFrame({
             "item": pdf["item"], "kind": [k for k, _, _ in made], "size": [s for _, s, _ in made], "units": [_signed(u) for _, _, u in made],
-            "need": [needed(k, len(u)) for k, _, u in made], "codes": [_signed(shingles(_bare(u) if k == "w" else u, s)) if s else _signed(u) for k, s, u in made],
+            "need": need, "share": share, "codes": codes,
         })
         if len(rows := rows[rows["size"] > 0]):
             yield rows
@@ -386,7 +390,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text <> ''")
     wanted = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage <> ''").distinct()
     passages = wanted.groupBy("passage").agg(F.min("item_id").alias("item"))
-    units = "item bigint, kind string, size int, units array<bigint>, need int, codes array<bigint>"
+    units = "item bigint, kind string, size int, units array<bigint>, need int, share int, codes array<bigint>"
     known = cut(passages.select("item", "passage").mapInPandas(_item_rows, units))
     # At most as many rows as there are sizes of shingles.
     kinds = known.groupBy("kind", "size").agg(F.min("need").alias("need"), F.sum(F.size("codes")).alias("n")).collect()
@@ -406,8 +410,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "code", F.coalesce("df", F.lit(0)).alias("df")))).alias("met"))
     index = ranked.mapInPandas(_prefixed, "item bigint, code bigint")
     pairs = hits.join(index, "code").select("at", "kind", "item").distinct()
-    wanted_units = known.select("item", "kind", "size", F.col("units").alias("item_units"))
-    met = pairs.join(wanted_units, ["item", "kind"]).join(held.select("at", "kind", "doc_id", "units"), ["at", "kind"])
+    # The narrow rows first: units are joined to the pairs that share enough.
+    enough = F.size(F.array_intersect("codes", "item_codes")) >= F.col("share")
+    wide = pairs.join(held.select("at", "kind", "codes"), ["at", "kind"]).join(known.select("item", "kind", "share", F.col("codes").alias("item_codes")), ["item", "kind"])
+    close = wide.where(enough).select("at", "kind", "item")
+    met = close.join(held.select("at", "kind", "doc_id", "units"), ["at", "kind"]).join(known.select("item", "kind", "size", F.col("units").alias("item_units")), ["item", "kind"])
     sorted_ = met.select("doc_id", "at", "kind", "units", "size", "item_units", "item").sortWithinPartitions("at", "kind")
     found = sorted_.mapInPandas(_verified, "doc_id bigint, item bigint").distinct()
     same = wanted.join(passages, "passage").select("item", "item_id")

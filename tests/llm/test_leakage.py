@@ -48,6 +48,12 @@ def test_same_build_is_no_leak(spark):
     assert run(spark, [(1, short.replace("TNF", "EGF")), (2, short.replace("pathway", "cascade"))], [(1, short)]) == [(2, 1)]
 
 
+def test_repeated_shingles(spark):
+    p = "wa wb wc wd " * 8 + "we wf"
+    docs = [(1, "x y " + "wa wb wc wd " * 5), (2, "wa wb wc wd " * 3), (3, p)]
+    assert run(spark, docs, [(1, p)]) == [(1, 1), (3, 1)]
+
+
 def test_changed_numbers_count_as_changes(spark):
     rng = random.Random(4)
     words = passage(rng, 40).split()
