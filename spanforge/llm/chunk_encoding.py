@@ -1,11 +1,16 @@
 """Token ids of every text by a public byte-level tokenizer, each distinct chunk being encoded once.
 
 Texts are cut where a rolling hash of their last ``WINDOW`` characters says so, hence the same passage gives the same
-chunks in whatever document it stands. Equal chunks are brought together by their 128-bit hash and encoded once; where
-one is so frequent that its rows fill a task, the planner splits them, and each piece encodes it once. At the joins of chunks the ids are repaired: the stretch from the last sure word
-boundary before the join to the first one behind it is encoded again; where a chunk holds no such boundary the stretch
-grows over the next chunk, until it ends at one. Between sure boundaries the tokenizer's own split is the same in the
-chunk as in the whole text, so the result agrees exactly with the encoding of the whole text.
+chunks in whatever document it stands; a cut moves on to the next sure boundary if there's one within ``SNAP`` characters.
+Equal chunks of a batch are brought into one row with the places they stand at, so that their text travels once from each
+batch; the rows of a chunk meet by its 128-bit hash and it is encoded once. Where one is so frequent that its rows fill a
+task, the planner splits them, and each piece encodes it once.
+
+At cuts that are no sure boundary the ids are repaired: the stretch from the last sure boundary before the join to the
+first one behind it is encoded again; where a chunk holds no such boundary the stretch grows over the next chunk, until it
+ends at one. Between sure boundaries the tokenizer's own split is the same in the chunk as in the whole text, so the
+result agrees exactly with the encoding of the whole text. Joins at sure boundaries need no repair: those documents' ids
+are put together in the JVM.
 
 A boundary is sure behind a non-space before a space, and behind a letter or digit before anything that is neither: no
 piece of the tokenizer's pattern reaches over such a place, whatever stands around it.
@@ -30,9 +35,9 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.settings import TOKENIZERS
 
-WINDOW, MASK, LEAST, MOST = 16, 0xFF, 96, 4096
-#: Characters of chunks whose ids a task remembers; beyond, it begins anew.
-KNOWN = 16_000_000
+WINDOW, MASK, LEAST, MOST, SNAP = 16, 0x1FF, 128, 4096, 64
+#: Characters of texts that are cut together, and of the chunks in either half of a task's memory.
+TOGETHER, KNOWN = 1_000_000, 8_000_000
 #: The tokenizer's published split pattern, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SURE = regex.compile(r"(?<=\S)(?=\s)|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])")
@@ -52,50 +57,87 @@ def encoder(path: str):
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
-def cuts(text: str) -> list[int]:
-    """Ends of the chunks: where the rolling hash of the last WINDOW characters ends in zeros, LEAST to MOST apart."""
-    n = len(text)
-    if n <= LEAST:
-        return [n]
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    mixed = (codes + np.uint64(1)) * _BASE
-    mixed ^= mixed >> np.uint64(29)
-    powers = np.cumprod(np.full(WINDOW, 0x100000001B3, np.uint64))
-    rolled = np.zeros(n - WINDOW + 1, np.uint64)
-    for i in range(WINDOW):
-        rolled += mixed[i : n - WINDOW + 1 + i] * powers[i]
-    at = np.nonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0)[0] + WINDOW
-    ends, last = [], 0
-    for p in at.tolist():
+def _hash_ends(joint: str) -> np.ndarray:
+    """Places behind the windows whose hash ends in zeros; the hash doubles its window in each step."""
+    codes = np.frombuffer(joint.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < WINDOW:
+        return np.zeros(0, np.int64)
+    rolled = (codes + np.uint64(1)) * _BASE
+    rolled ^= rolled >> np.uint64(29)
+    factor, width = 0x100000001B3, 1
+    while width < WINDOW:
+        rolled = rolled[:-width] * np.uint64(factor) + rolled[width:]
+        factor, width = factor * factor % (1 << 64), 2 * width
+    return np.nonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0)[0] + WINDOW
+
+
+def _placed(text: str, at: list[int]) -> tuple[list[int], list[bool]]:
+    """Ends of the chunks, LEAST to MOST + SNAP apart, and whether each is a sure boundary."""
+    n, last = len(text), 0
+    ends, sure = [], []
+
+    def add(p: int) -> None:
+        nonlocal last
+        m = SURE.search(text, p, min(n, p + SNAP + 1))
+        last = m.start() if m else p
+        ends.append(last)
+        sure.append(m is not None)
+
+    for p in at:
         while p - last > MOST:
-            last += MOST
-            ends.append(last)
-        if p - last >= LEAST and p < n:
-            ends.append(p)
-            last = p
+            add(last + MOST)
+        if p - last >= LEAST:
+            add(p)
     while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    return [*ends, n]
+        add(last + MOST)
+    if last < n:
+        ends.append(n)
+        sure.append(True)
+    return ends, sure
+
+
+def cuts(text: str) -> list[int]:
+    """Ends of a text's chunks."""
+    at = _hash_ends(text)
+    return _placed(text, at[at < len(text)].tolist())[0]
+
+
+def _combined(docs: list, texts: list[str]) -> pd.DataFrame:
+    """One row for each distinct chunk with the documents, numbers and open sides (1 left, 2 right) of its places."""
+    marks = _hash_ends("".join(texts))
+    upto = np.cumsum([len(t) for t in texts])
+    a, b = np.searchsorted(marks, upto - [len(t) for t in texts] + WINDOW), np.searchsorted(marks, upto)
+    met: dict[bytes, tuple] = {}
+    for (doc, row), text, begin, x, y in zip(docs, texts, upto.tolist(), a.tolist(), b.tolist(), strict=True):
+        ends, sure = _placed(text, (marks[x:y] - (begin - len(text))).tolist())
+        start, left = 0, True
+        for no, (end, right) in enumerate(zip(ends, sure, strict=True)):
+            chunk = text[start:end]
+            key = xxhash.xxh3_128_digest(chunk.encode())
+            known = met.get(key)
+            if known is None:
+                known = met[key] = (chunk, [], [], [], [])
+            known[1].append(doc)
+            known[2].append(row)
+            known[3].append(no)
+            known[4].append((not left) + 2 * (not right))
+            start, left = end, right
+    columns = dict(zip(("chunk", "docs", "rows", "nos", "open"), zip(*met.values(), strict=True), strict=True))
+    return pd.DataFrame({"hash": list(met), **columns})
 
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows, nos, hashes, chunks, size = [], [], [], [], 0
-        for row, text in zip(pdf["row"], pdf["text"], strict=True):
-            start = 0
-            for no, end in enumerate(cuts(text)):
-                chunk = text[start:end]
-                rows.append(row)
-                nos.append(no)
-                chunks.append(chunk)
-                hashes.append(xxhash.xxh3_128_digest(chunk.encode()))
-                start = end
-                size += len(chunk)
-            if size > 4_000_000:
-                yield pd.DataFrame({"row": rows, "no": nos, "hash": hashes, "chunk": chunks})
-                rows, nos, hashes, chunks, size = [], [], [], [], 0
-        yield pd.DataFrame({"row": rows, "no": nos, "hash": hashes, "chunk": chunks})
+        docs, texts, size = [], [], 0
+        for doc, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"], strict=True):
+            docs.append((doc, row))
+            texts.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield _combined(docs, texts)
+                docs, texts, size = [], [], 0
+        if texts:
+            yield _combined(docs, texts)
 
 
 def sure_ends(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[int, str, int, str]:
@@ -119,33 +161,46 @@ def sure_ends(text: str, ids: np.ndarray, lengths: np.ndarray) -> tuple[int, str
     return i, text[:at], j, text[last:]
 
 
+class _Memory:
+    """Ids of chunks in two halves: when the young one is full it becomes the old one, and what was used meanwhile is in
+    it, so frequent chunks stay."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
+
+    def get(self, key: bytes, size: int, make) -> tuple:
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key) or make()
+            if self.size > self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+            self.young[key] = got
+            self.size += size
+        return got
+
+
+_COLUMNS = ("doc_id", "row", "no", "open", "ids", "before", "head", "upto", "tail")
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, lengths = encoder(path)
-        known: dict[bytes, tuple] = {}
-        size = 0
+        memory = _Memory(KNOWN)
         for pdf in batches:
-            made = []
-            for key, chunk in zip(pdf["hash"], pdf["chunk"], strict=True):
-                if (got := known.get(key)) is None:
-                    if size > KNOWN:
-                        known.clear()
-                        size = 0
-                    ids = np.asarray(tokens.encode_ordinary(chunk), np.int32)
-                    got = known[key] = (ids, *sure_ends(chunk, ids, lengths))
-                    size += len(chunk)
-                made.append(got)
-            columns = dict(zip(("ids", "before", "head", "upto", "tail"), zip(*made, strict=True), strict=True)) if made else {}
-            yield pd.DataFrame({"row": pdf["row"], "no": pdf["no"], **columns})
+            made: list[tuple] = []
+            for key, chunk, docs, rows, nos, opens in zip(*(pdf[c] for c in ("hash", "chunk", "docs", "rows", "nos", "open")), strict=True):
+                ids = memory.get(key, len(chunk), lambda chunk=chunk: (np.asarray(tokens.encode_ordinary(chunk), np.int32),))[0]
+                ends = sure_ends(chunk, ids, lengths) if any(opens) else (None, None, None, None)
+                made += [(doc, row, no, o, ids, *ends) for doc, row, no, o in zip(docs, rows, nos, opens, strict=True)]
+            if made:
+                yield pd.DataFrame(dict(zip(_COLUMNS, zip(*made, strict=True), strict=True)))
 
     return run
 
 
-def joined_ids(chunks: list[tuple[np.ndarray, int, str, int, str]], tokens) -> np.ndarray:
-    """Ids of the whole text from its chunks in order: (ids, tokens before the first sure boundary, their text, tokens
-    before the last one, the text behind it)."""
-    if len(chunks) == 1:
-        return chunks[0][0]
+def joined_ids(chunks: list[tuple], tokens) -> np.ndarray:
+    """Ids of the whole text from its chunks in order: (ids, open sides, tokens before the first sure boundary, their text,
+    tokens before the last one, the text behind it); the last four only where a side is open."""
     out: list[np.ndarray] = []
     pending = ""
 
@@ -153,29 +208,34 @@ def joined_ids(chunks: list[tuple[np.ndarray, int, str, int, str]], tokens) -> n
         if text:
             out.append(np.asarray(tokens.encode_ordinary(text), np.int32))
 
-    for n, (ids, before, head, upto, tail) in enumerate(chunks):
-        if n and SURE.search(pending[-1:] + head[:1]):  # the join itself is a sure boundary
+    for ids, sides, before, head, upto, tail in chunks:
+        left, right = sides & 1, sides & 2
+        if not left:
             again(pending)
             pending = ""
-        if before < 0:
+        if not sides:
+            out.append(ids)
+        elif before < 0:  # no boundary within: all of it joins the stretch
             pending += head
-            continue
-        if pending:
-            again(pending + head)
-            out.append(ids[before:upto])
         else:
-            out.append(ids[:upto])
-        pending = tail
+            if left:
+                again(pending + head)
+                pending = ""
+            out.append(ids[before if left else 0 : upto if right else len(ids)])
+            if right:
+                pending = tail
     again(pending)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
-def _repaired(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _repair(path: str):
+    @F.pandas_udf("array<int>")
+    def run(parts: pd.Series) -> pd.Series:
         tokens, _ = encoder(path)
-        for pdf in batches:
-            made = [joined_ids([(np.asarray(p["ids"], np.int32), p["before"], p["head"], p["upto"], p["tail"]) for p in parts], tokens) for parts in pdf["parts"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": made})
+        # Numbers beside nulls come as floats.
+        whole = lambda x: None if x is None or x != x else int(x)
+        take = lambda p: (np.asarray(p["ids"], np.int32), int(p["open"]), whole(p["before"]), p["head"], whole(p["upto"]), p["tail"])
+        return pd.Series([None if chunks is None else joined_ids([take(p) for p in chunks], tokens) for chunks in parts])
 
     return run
 
@@ -186,12 +246,14 @@ def encode_corpus(documents: DataFrame, tokenizers: str = TOKENIZERS, name: str
     texts = documents.select("doc_id", "text")
     empty = texts.where("text IS NULL OR text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     # Copies of a doc_id need a name of their own: the row's place in its file.
-    row = F.struct("doc_id", F.monotonically_increasing_id().alias("at"))
-    filled = texts.where("text <> ''").select(row.alias("row"), "text")
-    chunks = filled.mapInPandas(_chunked, "row struct<doc_id: bigint, at: bigint>, no int, hash binary, chunk string")
+    filled = texts.where("text <> ''").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    chunks = filled.mapInPandas(_chunked, "hash binary, chunk string, docs array<bigint>, rows array<bigint>, nos array<int>, open array<int>")
     # Equal chunks come to one task, unless they are so many that the planner splits them: then to a few.
     placed = chunks.hint("rebalance", F.col("hash"))
-    encoded = placed.mapInPandas(_encoded(path), "row struct<doc_id: bigint, at: bigint>, no int, ids array<int>, before int, head string, upto int, tail string")
-    parts = encoded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids", "before", "head", "upto", "tail"))).alias("parts"))
-    repaired = parts.select("row.doc_id", "parts").mapInPandas(_repaired(path), "doc_id bigint, ids array<int>")
-    return repaired.unionByName(empty)
+    encoded = placed.mapInPandas(_encoded(path), "doc_id bigint, row bigint, no int, open int, ids array<int>, before int, head string, upto int, tail string")
+    part = F.struct("no", "ids", "open", "before", "head", "upto", "tail")
+    joined = encoded.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(part)).alias("parts"), (F.max("open") > 0).alias("open"))
+    # Only documents with a join to mend go to Python.
+    mended = joined.select("doc_id", "open", "parts", _repair(path)(F.when(F.col("open"), F.col("parts"))).alias("mended"))
+    ids = F.when(F.col("open"), F.col("mended")).otherwise(F.flatten(F.transform("parts", lambda p: p["ids"])))
+    return mended.select("doc_id", ids.alias("ids")).unionByName(empty)

@@ -21,7 +21,11 @@ def test_any_cut_gives_the_whole_texts_ids(pieces, at):
         return
     edges = sorted({0, len(text), *(a for a in at if a < len(text))})
     chunks = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-    made = [(ids := np.array(tokens.encode_ordinary(x), np.int32), *c.sure_ends(x, ids, lengths)) for x in chunks]
+    sure = [True, *(c.SURE.match(text, e) is not None for e in edges[1:-1]), True]
+    made = []
+    for x, left, right in zip(chunks, sure, sure[1:], strict=False):
+        ids, sides = np.array(tokens.encode_ordinary(x), np.int32), (not left) + 2 * (not right)
+        made.append((ids, sides, *(c.sure_ends(x, ids, lengths) if sides else (None,) * 4)))
     assert c.joined_ids(made, tokens).tolist() == tokens.encode_ordinary(text)
 
 
@@ -31,7 +35,7 @@ def test_cuts_cover_the_text(piece, times):
     text = piece * times
     ends = c.cuts(text)
     assert ends[-1] == len(text) and ends == sorted(set(ends))
-    assert all(b - a <= c.MOST for a, b in zip([0, *ends], ends, strict=False))
+    assert all(b - a <= c.MOST + c.SNAP for a, b in zip([0, *ends], ends, strict=False))
 
 
 def test_chunks_are_shared():
@@ -44,11 +48,19 @@ def test_chunks_are_shared():
     assert len(a & b) >= 0.9 * len(a)
 
 
+def test_memory_keeps_frequent_chunks():
+    memory, made = c._Memory(10), []
+    for i in range(50):
+        for key in ("often", f"once {i}"):
+            memory.get(key, 1, lambda key=key: made.append(key) or (key,))
+    assert made.count("often") == 1
+
+
 def test_operator_agrees_with_the_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    texts = [None, "", " ", "<|endoftext|> end", "don't " * 3000, "漢字。" * 5000, "a" * 20_000, "\u0000\r\n\t x", "🧬👩‍🔬" * 900, "same", "same", "ไทย ไทย" * 700]
+    texts = [None, "", " ", "<|endoftext|> end", "don't " * 3000, "漢字。" * 5000, "a" * 20_000, "\u0000\r\n\t x", "🧬👩‍🔬" * 900, "same", "same", "ไทย ไทย" * 700, "".join(f"{i} plain words, " for i in range(900)) + "字" * 9000 + " and so on" * 400]
     df = spark.createDataFrame([(i, x, "clash", 1) for i, x in enumerate(texts)] + [(0, "again", "", 2)], "doc_id bigint, text string, chunk string, row int")
     got = sorted((r.doc_id, list(r.ids)) for r in c.encode_corpus(df).collect())
     want = [(i, t.encode(x or "", add_special_tokens=False).ids) for i, x in [*enumerate(texts), (0, "again")]]
