@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.session import cut
+
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The frame itself, or an error before any job runs."""
@@ -43,14 +45,24 @@ def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: in
 
 
 def numbered(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
-    """Global ordinal from 1 in the given order without a single-task sort: rows are range-partitioned, and each
-    partition starts behind the rows of those before it."""
-    placed = df.repartitionByRange(order).sortWithinPartitions(order)
-    part = placed.withColumn("_p", F.spark_partition_id())
-    counts = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row a partition
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return part.join(F.broadcast(before), "_p").withColumn(name, within + F.col("_before")).drop("_p", "_before")
+    """Global ordinal from 1 in the given order without a single-task sort. The sorted rows are written once, each with
+    its place in its partition: a second evaluation could cut the ranges elsewhere. The partitions' sizes, a few thousand
+    at most, give the offsets."""
+    placed = cut(df.orderBy(order).select("*", F.monotonically_increasing_id().alias("_numbered_at")))
+    part = F.shiftright("_numbered_at", 33)
+    sizes = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    offset = F.element_at(F.array(*(F.lit(b) for b in before)), part.cast("int") + 1) if before else F.lit(0)
+    return placed.withColumn(name, offset.cast("bigint") + F.col("_numbered_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_numbered_at")
+
+
+def zipped(left: DataFrame, right: DataFrame, order: str, suffix: str = "_right") -> DataFrame:
+    """Row i of one side with row i of the other; the longer side's rest has no partner and is left out."""
+    a, b = numbered(left, order, "_row"), numbered(right, order, "_row")
+    return a.join(b.select("_row", *(F.col(c).alias(f"{c}{suffix}") for c in right.columns)), "_row").drop("_row")
 
 
 def nth_occurrence(df: DataFrame, keys: Sequence[str], order: str, name: str = "nth") -> DataFrame:
