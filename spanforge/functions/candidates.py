@@ -65,8 +65,8 @@ def distinct_folded(values: Column, most: int) -> Column:
     return F.slice(kept, 1, most)
 
 
-def option_lines(candidates: Column, style: str = "full", most: int = 26) -> Column:
-    """Lettered options, one per line. More than 26 is an error in the data."""
+def option_lines(candidates: Column, style: str = "full", most: int | None = None) -> Column:
+    """Lettered options, one per line: all, or the first ``most``. More than 26 have no letters and raise."""
     def text(c: Column) -> Column:
         full = F.concat(F.lit("GeneID: "), c["gene_id"], F.lit(" | Species: "), c["species"], F.lit(" | Matched term: "), c["term"])
         return {
@@ -76,9 +76,9 @@ def option_lines(candidates: Column, style: str = "full", most: int = 26) -> Col
             "term_only": c["term"],
         }[style]
 
-    head = F.slice(candidates, 1, most)
-    guarded = F.when(F.size(candidates) > 26, F.raise_error(F.lit("more than 26 options"))).otherwise(head) if most > 26 else head
-    return F.array_join(F.transform(guarded, lambda c, i: F.concat(letter_of(i), F.lit(". "), text(c))), "\n")
+    head = candidates if most is None else F.slice(candidates, 1, most)
+    lines = F.array_join(F.transform(head, lambda c, i: F.concat(letter_of(i), F.lit(". "), text(c))), "\n")
+    return F.when(F.size(head) > 26, F.raise_error(F.lit("more than 26 options"))).otherwise(lines)
 
 
 def permuted(candidates: Column, key) -> Column:

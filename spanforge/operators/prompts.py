@@ -24,12 +24,14 @@ def prompt_text(template: str, mention: Column, context: Column, options: Column
     }[template]
 
 
-def build_prompts(rows: DataFrame, template: str = "candidates", style: str = "full", most: int = 26, parser: str = "maxsplit") -> DataFrame:
+def build_prompts(rows: DataFrame, template: str = "candidates", style: str = "full", most: int | None = None, parser: str = "maxsplit") -> DataFrame:
     """rows (case_id, mention, context, packed candidates) with prompt, reason and n_options. A case without usable
-    candidates has no prompt but a reason; all cases stay, so that the gold table keeps one row each."""
-    listed = rows.withColumn("_c", F.slice(unpack(F.col("candidates"), parser), 1, most))
+    candidates has no prompt but a reason; all cases stay, so that the gold table keeps one row each. ``most`` cuts the
+    lists; a list of more than 26 raises."""
+    every = unpack(F.col("candidates"), parser)
+    listed = rows.withColumn("_c", every if most is None else F.slice(every, 1, most))
     reason = F.when(F.size(entries(F.col("candidates"))) == 0, "empty_candidates").when(F.size("_c") == 0, "bad_candidate_format")
-    prompt = F.when(reason.isNull(), prompt_text(template, F.col("mention"), F.col("context"), option_lines(F.col("_c"), style, most)))
+    prompt = F.when(reason.isNull(), prompt_text(template, F.col("mention"), F.col("context"), option_lines(F.col("_c"), style)))
     return listed.select(*rows.columns, prompt.alias("prompt"), reason.alias("reason"), F.size("_c").alias("n_options")).drop("_c")
 
 
