@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,15 +36,38 @@ SPECIES_WORDS = {
     "10116": ("rat", "rats", "rattus", "sprague-dawley", "wistar", "wk y", "sh r", "f344"),
     "9606": ("human", "humans", "patient", "patients", "clinical", "homo sapiens", "men", "women"),
 }
+#: The names that may stand before a PMID.
+PMID = r"^(?:(?:https?://)?[a-z0-9.]*pubmed[a-z0-9.]*(?:[/:\s#=_-]+id)?[/:\s#=_-]*|(?:pmid|medline|pm)(?:[/:\s#=_-]+id)?[/:\s#=_-]*)?0*([1-9][0-9]{7})(?:\.[0-9]+|v[0-9]+)?/?\z"
+#: Greek letters as a symbol spells them.
+GREEK_UPPER = {"β": "BETA", "α": "ALPHA", "γ": "GAMMA"}
 #: What is stripped from both ends of a symbol.
 SYMBOL_EDGE = "`'\".,;:()[]{}"
 
 
+_OUTER = r"^[\s\p{Z}\x{FEFF}\x{200B}]+|[\s\p{Z}\x{FEFF}\x{200B}]+$"
+
+
 def strip(c: Column) -> Column:
     """Without outer white space of any kind."""
     return F.regexp_replace(c, r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def strip_field(c: Column) -> Column:
+    """``strip`` for a plain column: values that begin and end with a visible ASCII character skip the pattern."""
+    sound = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(sound, c).otherwise(strip(c))
+
+
+def pmid(c: Column) -> Column:
+    """The eight digits of an id that is a PMID whatever stands around it, else null; digits within other ids are none."""
+    return F.nullif(F.regexp_extract(F.lower(F.regexp_replace(c, _OUTER, "")), PMID, 1), F.lit(""))
+
+
+def article_id(c: Column) -> Column:
+    """The PMID, or the id without case and outer white space; null where there's none."""
+    return F.coalesce(pmid(c), F.nullif(F.lower(F.regexp_replace(c, _OUTER, "")), F.lit("")))
+
+
 def compact_key(c: Column) -> Column:
     """Lower case without hyphens, underscores and spaces: the key of the dictionary lookup."""
     return strip(F.translate(F.lower(c), "-_ ", ""))
@@ -64,10 +91,18 @@ def spaced_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "-", ""), r"\s+", " "))
 
 
-def symbol_key(c: Column) -> Column:
-    """A predicted symbol: label and outer punctuation dropped, upper case."""
+def symbol_key(c: Column, greek: bool = False) -> Column:
+    """A predicted symbol: label and outer punctuation dropped, upper case; Greek letters spelled out on demand."""
     bare = strip(F.replace(strip(F.replace(strip(c), F.lit("Gene Symbol:"), F.lit(""))), F.lit("Symbol:"), F.lit("")))
-    return F.upper(F.btrim(bare, F.lit(SYMBOL_EDGE)))
+    bare = F.btrim(bare, F.lit(SYMBOL_EDGE))
+    for letter, name in GREEK_UPPER.items() if greek else ():
+        bare = F.replace(bare, F.lit(letter), F.lit(name))
+    return F.upper(bare)
+
+
+def species_key(c: Column) -> Column:
+    """A predicted species: lower case, label and outer punctuation dropped."""
+    return F.btrim(strip(F.replace(F.lower(strip(c)), F.lit("species:"), F.lit(""))), F.lit(SYMBOL_EDGE))
 
 
 def bare_identifier(c: Column) -> Column:
@@ -85,8 +120,13 @@ def _mapping(pairs: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
 
-def species_name(tax_id: Column) -> Column:
-    return F.coalesce(F.try_element_at(_mapping(SPECIES_NAMES), tax_id), F.concat(F.lit("taxid:"), tax_id))
+def species_name(tax_id: Column, unknown: str = "taxid:") -> Column:
+    return F.coalesce(F.try_element_at(_mapping(SPECIES_NAMES), tax_id), F.concat(F.lit(unknown), tax_id))
+
+
+def listed_species(tax_id: Column) -> Column:
+    """Whether it is one of the species that the dense entities are restricted to."""
+    return tax_id.isin(*SPECIES_NAMES)
 
 
 def species_priority(tax_id: Column) -> Column:
@@ -113,6 +153,12 @@ def without_suffix(mention: Column) -> Column:
     return F.regexp_replace(mention, f"(?i)( ({'|'.join(SUFFIXES)}))+$", "")
 
 
+def span_without_suffix(mention: Column, start: Column) -> Column:
+    """(mention, end): trailing words dropped, and where the rest ends."""
+    bare = without_suffix(mention)
+    return F.struct(bare.alias("mention"), (start + F.length(bare)).alias("end"))
+
+
 def either_contains(a: Column, b: Column) -> Column:
     return F.lower(a).contains(F.lower(b)) | F.lower(b).contains(F.lower(a))
 
@@ -137,29 +183,31 @@ def marked_context(text: Column, start: Column, end: Column, width: int) -> Colu
     return F.concat(part(low, start), F.lit("[MENTION]"), part(start, end), F.lit("[/MENTION]"), part(end, high))
 
 
-_PIECE = r"[^.!?]+(?:[.!?]+|$)"
+_PIECE = re.compile(r"[^.!?]+(?:[.!?]+|$)")
+_WHITE = "\t\n\v\f\r\x85" + "".join(c for c in map(chr, range(0x3001)) if unicodedata.category(c).startswith("Z"))
+
+
+def _sentences_of(text: str) -> list[dict]:
+    out = []
+    for m in _PIECE.finditer(text):
+        body = m.group().strip(_WHITE)
+        if body:
+            start = m.start() + len(m.group()) - len(m.group().lstrip(_WHITE))
+            out.append({"start": start, "end": start + len(body), "text": body})
+    return out
 
 
 def simple_sentences(text: Column) -> Column:
-    """Spans (start, end, text) between end marks, trimmed: the old plain rule, without abbreviations."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    lead = F.length(F.regexp_extract(text, r"^[.!?]*", 0))
-    placed = F.aggregate(
-        pieces,
-        F.struct(lead.alias("at"), F.array().cast("array<struct<start:int,piece:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.array_append(acc["out"], F.struct(acc["at"].alias("start"), p.alias("piece"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    """Spans (start, end, text) between end marks, trimmed: the old plain rule, without abbreviations.
 
-    def trimmed(s: Column) -> Column:
-        body = strip(s["piece"])
-        start = s["start"] + F.length(F.regexp_extract(s["piece"], r"(?U)^[\s\p{Z}]*", 0))
-        return F.struct(start.alias("start"), (start + F.length(body)).alias("end"), body.alias("text"))
+    Offsets are running sums over the pieces; array functions would copy the list for each, so an Arrow batch does it in
+    one pass over the text.
+    """
+    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _sentences_of(t) for t in texts])
 
-    return F.filter(F.transform(placed, trimmed), lambda s: s["text"] != "")
+    return run(text)
 
 
 def span_sentence(sentences: Column, start: Column, end: Column) -> Column:

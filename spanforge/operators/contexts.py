@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,31 +87,28 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str =
     return left.join(unique, on, "left").select(*left.columns, *(F.col(f"_r.{c}").alias(c) for c in named.values()))
 
 
-def with_sentence_contexts(df: DataFrame, text: str, start: str, end: str) -> DataFrame:
-    """df with ``sentence`` and ``three_sentences`` of each span; windows of 120 and 250 where no sentence meets it."""
-    cut = df.withColumn("_s", simple_sentences(F.col(text)))
-    cut = cut.withColumn("_at", span_sentence(F.col("_s"), F.col(start), F.col(end)))
-    own = lambda around, width: sentence_context(F.col(text), F.col("_s"), F.col("_at"), F.col(start), F.col(end), around, width)
-    return cut.withColumns({"sentence": own(0, 120), "three_sentences": own(1, 250)}).drop("_s", "_at")
+def with_sentence_contexts(df: DataFrame, documents: DataFrame, key: str, text: str, start: str, end: str, default: Column | None = None) -> DataFrame:
+    """df with ``sentence`` and ``three_sentences`` of each span; windows of 120 and 250 where no sentence meets it, the
+    default (or '') where the document is missing. Documents are unique by key; each is split once, before the join."""
+    cut = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t"), simple_sentences(F.col(text)).alias("_s"))
+    met = df.join(cut, F.col(key) == F.col("_k"), "left").withColumn("_at", span_sentence(F.col("_s"), F.col(start), F.col(end)))
+    other = F.lit("") if default is None else F.coalesce(default, F.lit(""))
+    own = lambda around, width: F.coalesce(sentence_context(F.col("_t"), F.col("_s"), F.col("_at"), F.col(start), F.col(end), around, width), other)
+    return met.withColumns({"sentence": own(0, 120), "three_sentences": own(1, 250)}).drop("_k", "_t", "_s", "_at")
+
+
+_WORD = re.compile(r"[^ \t\n\v\f\r]+")
 
 
 def tokens(df: DataFrame, text: str) -> DataFrame:
-    """The rows with one token each: tok_no, token, tok_start, tok_end; tokens are what white space parts."""
-    words = F.regexp_extract_all(F.col(text), F.lit(r"\s*\S+"), F.lit(0))
-    placed = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<tok_start:int,tok_end:int,token:string>>").alias("out")),
-        lambda acc, w: F.struct(
-            (acc["at"] + F.length(w)).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + F.length(w) - F.length(F.regexp_replace(w, r"^\s+", ""))).alias("tok_start"),
-                (acc["at"] + F.length(w)).alias("tok_end"),
-                F.regexp_replace(w, r"^\s+", "").alias("token"),
-            )).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return df.select("*", F.posexplode(placed).alias("tok_no", "_t")).select("*", "_t.*").drop("_t")
+    """The rows with one token each: tok_no, token, tok_start, tok_end; tokens are what white space parts. Places come
+    from one pass over the text in Arrow batches."""
+    @F.pandas_udf("array<struct<tok_start:int,tok_end:int,token:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        of = lambda t: [{"tok_start": m.start(), "tok_end": m.end(), "token": m.group()} for m in _WORD.finditer(t)]
+        return pd.Series([None if t is None else of(t) for t in texts])
+
+    return df.select("*", F.posexplode(run(F.col(text))).alias("tok_no", "_t")).select("*", "_t.*").drop("_t")
 
 
 def bio_label(tok_start: Column, tok_end: Column, start: Column, end: Column) -> Column:

@@ -16,6 +16,50 @@ FAMILY_WORDS = ("cytokine", "chemokine", "kinase", "mapk", "erk", "wnt", "tcr",
 #: Mentions that stand for a whole family.
 FAMILY_MENTIONS = ("MAPK", "NF-KAPPAB", "NF-ΚB", "WNT", "WNTS", "AKT", "ERK1/2")
 
+#: Mentions that are looked at as triggers of family errors.
+TRIGGER_MENTIONS = (
+    "MAPK", "MAPK (p38)", "mitogen-activated protein kinase", "mitogen-activated protein kinases", "mitogen activated protein kinase", "NF-kappaB", "NF-κB",
+    "nuclear factor (NF)-κB", "H3", "(H3", "histone", "WNT", "Wnt", "Wnts", "ERK1/2", "chemokines", "chemokine",
+)
+#: Genes of each family.
+FAMILY_GENES = {
+    "mapk": "5594 5595 26413 26416 26417 50689 1432",
+    "mitogenactivatedproteinkinase": "5594 5595 26413 26416 26417 50689 1432",
+    "erk12": "5594 5595 26417",
+    "erk1and2": "5594 5595 26417",
+    "mek12": "5604 5605 26395 26396",
+    "nfkb": "4790 4791 5970 309165 18033 81736",
+    "nfkappab": "4790 4791 5970 309165 18033 81736",
+    "hif1alpha": "3091 29560",
+    "hif1a": "3091 29560",
+    "wnt": "7471 7472 7473 7474 7475 22408 22410 22415",
+    "notch": "4851 4853 18128 18129 18130 18131 30718",
+    "stat": "6772 6773 6774 6775 20848 20850",
+    "akt": "207 208 10000 11651 11652 23797 101910198",
+    "smad": "4086 4087 4088 4089 4090 17125 17126 17127 17128 17129 55994",
+    "mcp1": "6347 24770 20296",
+    "ccl2": "6347 24770 20296",
+    "cxcl9": "17329 4283",
+    "cxcl10": "15945 3627",
+    "cxcl11": "56066",
+    "chemokine": "6347 24770 20296 17329 4283 15945 3627 56066 6352 6387",
+    "chemokines": "6347 24770 20296 17329 4283 15945 3627 56066 6352 6387",
+    "h3": "15268 838577",
+    "histone": "15268 838577 180073 837440",
+    "cd68": "968 12514 287435",
+    "cd44": "960 12505",
+    "cd14": "929 12475 60350",
+    "prc2": "2146 2147 2148",
+    "tric": "6950",
+    "ikbkinase": "3551 3552",
+}
+#: Parts of a key that name a family, and keys that begin with its name.
+FAMILY_PARTS = {
+    "mapk": "mapk", "mitogenactivatedproteinkinase": "mapk", "erk12": "erk12", "erk1and2": "erk12", "mek12": "mek12", "mek1and2": "mek12", "nfkb": "nfkb",
+    "nfkappab": "nfkb", "hif1alpha": "hif1alpha", "hif1a": "hif1alpha",
+}
+FAMILY_STARTS = ("wnt", "stat", "smad", "akt")
+
 
 def names_family(mention: Column) -> Column:
     """Longer than two characters, with a word that names a family."""
@@ -24,15 +68,29 @@ def names_family(mention: Column) -> Column:
 
 
 def error_kind(gold: Column, mention: Column) -> Column:
-    return F.when(F.size(gold) > 1, "multi_gold").when(F.upper(mention).isin(*FAMILY_MENTIONS) | names_family(mention), "family").otherwise("other")
-
-
-def family_members(mentions: DataFrame, members: DataFrame) -> DataFrame:
-    """Mentions (id, mention) with the genes whose term begins with the mention's family: rules as a joinable table
-    (family, gene_id), so that no rule list grows in code."""
-    words = F.split(F.lower("mention"), r"\s+")
-    stem = F.when(names_family(F.col("mention")) & (F.size(words) >= 2), F.array_join(F.slice(words, 1, 2), " "))
-    return mentions.select("id", stem.alias("family")).dropna().join(members, "family")
+    """Kind of a wrong answer: several gold genes, a mention that stands for a family, or another."""
+    return F.when(F.size(gold) > 1, "multi_gold").when(F.upper(mention).isin(*FAMILY_MENTIONS), "family").otherwise("other")
+
+
+def family_candidates(mention: Column) -> Column:
+    """Sorted genes of the families that a mention names: by its key, by what it contains and by how it begins."""
+    key = F.regexp_replace(alnum_key(mention), "[^a-z0-9]", "")
+    genes = lambda name: F.array(*(F.lit(g) for g in FAMILY_GENES[name].split()))
+    none = F.array().cast("array<string>")
+    met = [F.when(key == name, genes(name)).otherwise(none) for name in FAMILY_GENES]
+    met += [F.when(key.contains(part), genes(name)).otherwise(none) for part, name in FAMILY_PARTS.items()]
+    met += [F.when(key.startswith(name), genes(name)).otherwise(none) for name in FAMILY_STARTS]
+    return F.array_sort(F.array_distinct(F.concat(*met)))
+
+
+def trigger_report(rows: DataFrame) -> DataFrame:
+    """rows: mention, right, oracle (the list holds a gold gene). One row: how mentions that stand for many genes fare."""
+    trigger = F.coalesce(F.col("mention").isin(*TRIGGER_MENTIONS), F.lit(False))
+    wrong = F.col("oracle") & ~F.col("right")
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(trigger).alias("trigger_total"), F.count_if(trigger & F.col("right")).alias("trigger_correct"),
+        F.count_if(trigger & wrong).alias("trigger_wrong_oracle"), F.count_if(~trigger).alias("other_total"), F.count_if(~trigger & wrong).alias("other_wrong_oracle"),
+    )
 
 
 def missing_spans(gold: DataFrame, predicted: DataFrame, span: Sequence[str]) -> DataFrame:

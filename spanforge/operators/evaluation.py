@@ -155,17 +155,6 @@ def lexical_bonus(mention: Column, terms: Column, context: Column) -> Column:
     return F.least(added, F.lit(2.0))
 
 
-def training_pairs(positive: DataFrame, pool: DataFrame, negatives: int, surface: str, order: str) -> DataFrame:
-    """Each positive (id, surface, gene_id) with up to ``negatives`` other genes of its surface, in the given order.
-    The pool of a surface is cut before the join, so a surface with many genes doesn't multiply."""
-    window = Window.partitionBy(surface).orderBy(order, "gene_id")
-    few = pool.select(surface, "gene_id", order).distinct().withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= negatives + 1)
-    met = positive.join(few.select(surface, F.col("gene_id").alias("other"), "_n"), surface).where("other <> gene_id")
-    w = Window.partitionBy("id").orderBy("_n")
-    bad = met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= negatives).select("id", F.col("other").alias("gene_id"), F.lit(0).alias("label"))
-    return positive.select("id", "gene_id", F.lit(1).alias("label")).unionByName(bad)
-
-
 def training_examples(positive: DataFrame, pool: DataFrame, negatives: int, surface: str, order: str) -> DataFrame:
     """(id, gold_id, gene_id, label): each gold gene of each mention as a positive, with exactly ``negatives`` genes that
     aren't gold for the mention: first others of its surface in the given order, then genes in hash order.
@@ -202,6 +191,18 @@ def training_examples(positive: DataFrame, pool: DataFrame, negatives: int, surf
     return sure.unionByName(filled)
 
 
-def arithmetic_split(df: DataFrame, key: Column, held_out: int = 2, of: int = 10) -> DataFrame:
-    """A part per key, the same on any cluster: key mod ``of``."""
-    return df.withColumn("part", F.when(F.pmod(key, F.lit(of)) < held_out, "dev").otherwise("train"))
+def hash_split(df: DataFrame, key: Column, seed: int = 42, held_out: int = 20, name: str = "dev") -> DataFrame:
+    """df with a part per key, the same on any cluster: the md5 of seed and key puts ``held_out`` percent in ``name``."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn("part", F.when(F.pmod(place, F.lit(100)) < held_out, name).otherwise("train"))
+
+
+def accuracy_by(rows: DataFrame, stratum: str, right: Column) -> DataFrame:
+    """Rows, right ones and accuracy of each stratum."""
+    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(right, F.lit(False))).alias("correct"))
+    return counts.select("*", rate(F.col("correct"), F.col("n")).alias("accuracy"))
+
+
+def overlap_count(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many distinct rows two sets share."""
+    return a.intersect(b).agg(F.count(F.lit(1)).alias("n_shared"))

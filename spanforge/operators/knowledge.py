@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.candidates import distinct_folded
-from spanforge.functions.text import lenient_int, species_name, strip
-from spanforge.operators.ordering import mode_per_key
+from spanforge.functions.text import lenient_int, listed_species, species_name, strip_field
+from spanforge.operators.ordering import first_wins, mode_per_key
 
 
 def clean_lines(kb: DataFrame, order: str = "kb_id") -> DataFrame:
     """Lines with a term that is no placeholder, and an identifier: ord, term, tax_id, gene_id, n_count."""
-    rows = kb.select(
-        F.col(order).alias("ord"),
-        strip(F.col("term")).alias("term"),
-        strip(F.col("tax_id")).alias("tax_id"),
-        strip(F.col("gene_id")).alias("gene_id"),
-        lenient_int(F.col("n_count")).alias("n_count"),
-    )
-    return rows.where("term <> '' AND term <> '-' AND tax_id <> '' AND gene_id <> ''")
+    named = [strip_field(F.col(c)).alias(c) for c in ("term", "tax_id", "gene_id")]
+    rows = kb.select(F.col(order).alias("ord"), *named, lenient_int(F.col("n_count")).alias("n_count"))
+    sound = "term <> '' AND term <> '-' AND tax_id <> '' AND gene_id <> ''"
+    # An empty array gives no row. A filter would be pushed below the projection and strip every value once more.
+    kept = F.explode(F.when(F.expr(sound), F.array(F.struct("term", "tax_id", "gene_id")))).alias("r")
+    return rows.select("ord", kept, "n_count").select("ord", "r.term", "r.tax_id", "r.gene_id", "n_count")
 
 
 def symbol_dictionary(lines: DataFrame, by_species: bool = True) -> DataFrame:
@@ -28,19 +26,46 @@ def symbol_dictionary(lines: DataFrame, by_species: bool = True) -> DataFrame:
     return mode_per_key(lines.withColumn("term", F.upper("term")), keys, "gene_id", "ord")
 
 
+def _entities(ranked: DataFrame, most: int, unknown: str = "taxid:") -> DataFrame:
+    """gene_id, tax_id, species, term, entity_text of genes from their terms in order (pos, term): the text is what an
+    encoder gets, the terms and the species with spaces between."""
+    few = ranked.where(F.col("pos") <= most)
+    lists = few.groupBy("gene_id", "tax_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]).alias("terms"))
+    species = species_name(F.col("tax_id"), unknown)
+    return lists.select("gene_id", "tax_id", species.alias("species"), F.get("terms", F.lit(0)).alias("term"), F.concat_ws(" ", F.array_join("terms", " "), species).alias("entity_text"))
+
+
 def entity_terms(lines: DataFrame, most: int = 8) -> DataFrame:
-    """Genes with their ``most`` terms of greatest count, ties by term, and the text that stands for them."""
-    best = lines.groupBy("gene_id", "tax_id", "term").agg(F.max("n_count").alias("n_count"))
+    """Genes of the listed species with their ``most`` terms of greatest count, ties by term."""
+    best = lines.where(listed_species(F.col("tax_id"))).groupBy("gene_id", "tax_id", "term").agg(F.max("n_count").alias("n_count"))
     order = Window.partitionBy("gene_id", "tax_id").orderBy(F.desc("n_count"), "term")
-    ranked = best.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most)
-    lists = ranked.groupBy("gene_id", "tax_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]).alias("terms"))
-    text = F.concat_ws(" | ", F.array_join("terms", "; "), species_name(F.col("tax_id")))
-    return lists.select("gene_id", "tax_id", F.get("terms", F.lit(0)).alias("term"), text.alias("entity_text"))
+    return _entities(best.withColumn("pos", F.row_number().over(order)), most)
+
+
+def entity_counted_terms(lines: DataFrame, most: int = 8) -> DataFrame:
+    """Genes of every species with their terms by count, ties in the order of the lines; terms that differ only in case
+    count once, as the first of them in that order is written."""
+    rank = F.struct((-F.col("n_count")).alias("less"), "ord")
+    best = lines.groupBy("gene_id", "tax_id", F.lower("term").alias("folded")).agg(F.min(rank).alias("rank"), F.min_by("term", rank).alias("term"))
+    order = Window.partitionBy("gene_id", "tax_id").orderBy("rank")
+    return _entities(best.withColumn("pos", F.row_number().over(order)), most, "taxid_")
 
 
 def entity_first_terms(lines: DataFrame, most: int = 8) -> DataFrame:
-    """Genes with their first terms in the order of the lines, told apart by more than letter case."""
+    """Genes of the listed species with their first terms in the order of the lines, told apart by more than letter case."""
     # The first line of each folded term bounds the list by the gene's terms, not its lines.
-    first = lines.groupBy("gene_id", "tax_id", F.lower("term").alias("folded")).agg(F.min(F.struct("ord", "term")).alias("f"))
-    lists = first.groupBy("gene_id", "tax_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda s: s["term"]).alias("terms"))
-    return lists.select("gene_id", "tax_id", F.array_join(distinct_folded(F.col("terms"), most), "; ").alias("terms"))
+    listed = lines.where(listed_species(F.col("tax_id")))
+    first = listed.groupBy("gene_id", "tax_id", F.lower("term").alias("folded")).agg(F.min("ord").alias("ord"), F.min_by("term", "ord").alias("term"))
+    order = Window.partitionBy("gene_id", "tax_id").orderBy("ord")
+    return _entities(first.withColumn("pos", F.row_number().over(order)), most)
+
+
+def gene_info_entities(info: DataFrame, most: int = 8) -> DataFrame:
+    """Entities of a gene table (_ord, tax_id, gene_id, symbol, synonyms, description) of the listed species: symbol and
+    synonyms told apart by more than case, species and description; the first row of each gene and species counts."""
+    terms = F.filter(F.transform(F.concat(F.array("symbol"), "synonyms"), lambda t: F.trim(t)), lambda t: (t != "") & (t != "-"))
+    rows = info.where(listed_species(F.col("tax_id")) & F.col("description").isNotNull()).withColumn("terms", distinct_folded(terms, most))
+    first = first_wins(rows.where(F.size("terms") > 0), ["gene_id", "tax_id"], "_ord")
+    species = species_name(F.col("tax_id"))
+    text = F.concat_ws(" ", F.array_join("terms", " "), species, "description")
+    return first.select("gene_id", "tax_id", species.alias("species"), F.get("terms", F.lit(0)).alias("term"), text.alias("entity_text"))

@@ -1,7 +1,7 @@
 """Models behind Arrow batches: the caller gives a factory, called once per task; stubs serve for tests.
 
 Only the data flow is built here; fine-tuning is left to the model's own library, on the examples of
-``evaluation.training_pairs``.
+``evaluation.training_examples``.
 """
 
 from __future__ import annotations
@@ -62,17 +62,20 @@ def score_pairs(pairs: DataFrame, factory: Callable, columns: list[str]) -> Data
 
 
 def with_retries(call: Callable, tries: int = 3, pause: float = 5.0, pace: float = 0.5) -> Callable:
-    """A remote call made again after a pause; None after the last failure."""
+    """A remote call made again after a pause: (answer, None), or (None, reason) after the last failure, so that a broken
+    service doesn't look like an empty answer."""
     def run(text: str):
+        reason = None
         for attempt in range(tries):
             try:
                 answer = call(text)
                 time.sleep(pace)
-                return answer
-            except Exception:
+                return answer, None
+            except Exception as error:
+                reason = f"{type(error).__name__}: {error}"
                 if attempt + 1 < tries:
                     time.sleep(pause)
-        return None
+        return None, reason
 
     return run
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,36 +48,68 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top(queries: DataFrame, entities: DataFrame, k: int, block: int = 20_000, tile: int = 1_000) -> DataFrame:
-    """query_id, entity_id, score: exact cosine of every query with every entity, in blocks of both sides; each block
-    keeps its k best, the blocks' lists are merged. Inputs have id and v; vectors without direction take no part."""
-    sizes = [df.count() for df in (entities, queries)]
-    if not all(sizes):
-        empty = queries.sparkSession.createDataFrame([], "query_id bigint, entity_id bigint, score double, pos int")
-        return empty
-    eb, qb = (math.ceil(n / size) for n, size in zip(sizes, (block, tile), strict=True))
+ENTITY_BLOCK, QUERY_BLOCK, LEAST_QUERIES, SCORES = 50_000, 20_000, 500, 4_000_000
+
+
+def _in_cells(queries: DataFrame, entities: DataFrame, values: Sequence[str], kernel) -> DataFrame:
+    """query_id, entity_id, score of every pair of blocks that ``kernel`` keeps. Both sides have id and ``values``; each
+    pair of blocks is one task, and a query's result depends on the blocks of entities only."""
+    schema = "query_id bigint, entity_id bigint, score double"
+    n_entities, n_queries = entities.count(), queries.count()
+    if not n_entities or not n_queries:
+        return queries.sparkSession.createDataFrame([], schema)
+    eb = math.ceil(n_entities / ENTITY_BLOCK)
+    busy = math.ceil(2 * queries.sparkSession.sparkContext.defaultParallelism / eb)
+    qb = max(math.ceil(n_queries / QUERY_BLOCK), min(busy, math.ceil(n_queries / LEAST_QUERIES)))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col("id").alias("query_id"), normalised(F.col("v")).alias("asked"), place(qb).alias("q"), every(eb).alias("e")).where("asked IS NOT NULL")
-    right = entities.select("id", normalised(F.col("v")).alias("v"), place(eb).alias("e"), every(qb).alias("q")).where("v IS NOT NULL")
+    left = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("id", *values)), place(qb).alias("q"), every(eb).alias("e"))
+    right = entities.select("id", *values, place(eb).alias("e"), every(qb).alias("q"))
+    sides = [df.withColumn("cell", F.col("q") * eb + F.col("e")).drop("q", "e").repartitionById(qb * eb, "cell").groupBy("cell") for df in (left, right)]
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "entity_id": [], "score": []})
-        ids = b["id"].to_numpy()
-        scores = np.round(np.stack(a["asked"].to_numpy()) @ np.stack(b["v"].to_numpy()).T, 9)
-        out = []
-        for q, row in zip(a["query_id"], scores, strict=True):
-            near = np.nonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])[0]
-            near = near[np.lexsort((ids[near], -row[near]))][:k]
-            out.append(pd.DataFrame({"query_id": q, "entity_id": ids[near], "score": row[near]}))
-        return pd.concat(out)
+        q, r, score = kernel(a, b)
+        return pd.DataFrame({"query_id": a["q_id"].to_numpy()[q], "entity_id": b["id"].to_numpy()[r], "score": score})
+
+    return sides[0].cogroup(sides[1]).applyInPandas(cell, schema)
 
-    met = left.groupBy("q", "e").cogroup(right.groupBy("q", "e")).applyInPandas(cell, "query_id bigint, entity_id bigint, score double")
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, ties to the smaller id."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    q, r = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((ids[r], -scores[q, r], q))
+    q, r = q[order], r[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], r[keep]
+
+
+def _k_best(met: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
     return met.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
+def dense_top(queries: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """query_id, entity_id, score, pos: exact cosine of every query with every entity, in blocks of both sides; each block
+    keeps its k best, the blocks' lists are merged. Inputs have id and v; vectors without direction take no part."""
+    unit = lambda v: (x := np.stack(v.to_numpy()).astype(np.float64)) / np.linalg.norm(x, axis=1)[:, None]
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y, ids = unit(a["q_v"]), unit(b["v"]), b["id"].to_numpy()
+        tile, out = max(1, SCORES // len(y)), []
+        for at in range(0, len(x), tile):
+            scores = np.round(x[at : at + tile] @ y.T, 9)
+            q, r = _best(scores, ids, k)
+            out.append((q + at, r, scores[q, r]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    sound = [df.select("id", "v").where(F.exists("v", lambda e: e != 0)) for df in (queries, entities)]
+    return _k_best(_in_cells(*sound, ["v"], kernel), k)
+
+
 def one_per_gene(ranked: DataFrame, k: int) -> DataFrame:
     """The best place of each gene, then the first k; may be fewer."""
     best = ranked.groupBy("query_id", "gene_id").agg(F.min("pos").alias("old_pos"))
@@ -108,16 +140,36 @@ def _weights(texts: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def ngram_top(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """query_id, entry_id, score: cosine of smooth tf-idf vectors of character n-grams, as a sparse inner-product join.
-    Both sides have id and text; callers pass distinct texts, so that copies don't multiply."""
+    """query_id, entry_id, score, pos: cosine of smooth tf-idf vectors of character n-grams. Both sides have id and text;
+    callers pass distinct texts, so that copies don't multiply.
+
+    A join on the n-grams would emit every pair that shares a frequent one, once for each. Here the vectors meet in blocks:
+    a block's entries are inverted, and a query adds up the lists of its n-grams (as 64-bit hashes) in place.
+    """
     n = entries.count()
     grams = entries.select("id", F.explode(F.array_distinct(char_ngrams(F.col("text")))).alias("gram"))
     idf = grams.groupBy("gram").agg((F.log(F.lit(1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    a, b = _weights(queries, idf), _weights(entries, idf)
-    pairs = a.join(b.select(F.col("id").alias("entry_id"), "gram", F.col("w").alias("w2")), "gram")
-    scores = pairs.groupBy(F.col("id").alias("query_id"), "entry_id").agg(F.round(F.sum(F.col("w") * F.col("w2")), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
-    return scores.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+    vectors = lambda df: _weights(df, idf).groupBy("id").agg(F.collect_list(F.xxhash64("gram")).alias("g"), F.collect_list("w").alias("w"))
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes = b["id"].to_numpy(), [len(g) for g in b["g"]]
+        g, w = (np.concatenate(b[c].to_numpy()) for c in ("g", "w"))
+        order = np.argsort(g, kind="stable")
+        g, w, owner = g[order], w[order], np.repeat(np.arange(len(b)), sizes)[order]
+        out = []
+        for i, (own, weight) in enumerate(zip(a["q_g"], a["q_w"], strict=True)):
+            lo = np.searchsorted(g, own)
+            many = np.searchsorted(g, own, side="right") - lo
+            at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            scores = np.round(np.bincount(owner[at], weights=w[at] * np.repeat(weight, many), minlength=len(b)), 6)
+            met = np.unique(owner[at])
+            if len(met):
+                _, r = _best(scores[None, met], ids[met], k)
+                out.append((np.full(len(r), i), met[r], scores[met[r]]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+    met = _in_cells(vectors(queries), vectors(entries), ["g", "w"], kernel)
+    return _k_best(met, k).withColumnRenamed("entity_id", "entry_id")
 
 
 def ngram_genes(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:

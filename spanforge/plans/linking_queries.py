@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import answers, candidates, text
 from spanforge.operators import contexts, evaluation, grounding, knowledge, ordering, prompts, retrieval
-from spanforge.operators.nested import typed_records
+from spanforge.operators.nested import nested_tables
 from spanforge.plans.linking_sql import SQL  # noqa: F401
+from spanforge.plans.nested_queries import all_records
 from spanforge.session import table
 
 KB, MENTIONS, CONTEXTS = "ncbi_symbol_synonym_taxid_kb", "bioelqa_dev_mentions", "bioelqa_dev_mentions_contexts"
@@ -37,10 +38,6 @@ def _letter(expr: str) -> Column:
     return candidates.letter_of(F.expr(f"CAST({expr} AS INT)"))
 
 
-def _digits(c: str) -> Column:
-    return F.nullif(F.regexp_extract(c, "([1-9][0-9]{7})", 1), F.lit(""))
-
-
 def kb_symbols(spark, d):
     return _dictionary(spark, d)
 
@@ -53,6 +50,10 @@ def kb_entity_terms(spark, d):
     return knowledge.entity_terms(_lines(spark, d))
 
 
+def kb_entity_counted_terms(spark, d):
+    return knowledge.entity_counted_terms(_lines(spark, d))
+
+
 def kb_entity_first_terms(spark, d):
     return knowledge.entity_first_terms(_lines(spark, d))
 
@@ -131,9 +132,12 @@ def dense_recall(spark, d):
 
 
 def ngram_candidates(spark, d):
-    asked = table(spark, d, VECTORS).where("mention IS NOT NULL").groupBy(F.col("mention").alias("text")).agg(F.min("row_id").alias("id"))
+    """The five best terms of every mention row, each by its least entity; equal mentions are scored once."""
+    rows = table(spark, d, VECTORS).where("mention IS NOT NULL").select(F.col("mention").alias("text"), "row_id")
     known = table(spark, d, ENTITIES).where("term IS NOT NULL").groupBy(F.col("term").alias("text")).agg(F.min("entity_id").alias("id"))
-    return retrieval.ngram_top(asked, known, 5)
+    asked = rows.groupBy("text").agg(F.min("row_id").alias("id"))
+    best = retrieval.ngram_top(asked, known, 5).join(asked.withColumnRenamed("id", "query_id"), "query_id")
+    return best.join(rows, "text").select("row_id", "entry_id", "score", "pos")
 
 
 def ngram_genes(spark, d):
@@ -169,8 +173,10 @@ def plain_sentences(spark, d):
 
 
 def sentence_contexts(spark, d):
-    rows = table(spark, d, CONTEXTS).where("ctx_document <> ''").select("row_id", "ctx_document", "start_pos", "end_pos")
-    return contexts.with_sentence_contexts(rows, "ctx_document", "start_pos", "end_pos").select("row_id", "sentence", "three_sentences")
+    rows = table(spark, d, CONTEXTS)
+    docs = ordering.first_wins(rows.where("ctx_document <> ''").select("doc_id", "row_id", "ctx_document"), ["doc_id"], "row_id")
+    spans = rows.select("row_id", "doc_id", "start_pos", "end_pos")
+    return contexts.with_sentence_contexts(spans, docs, "doc_id", "ctx_document", "start_pos", "end_pos").select("row_id", "sentence", "three_sentences")
 
 
 def offset_sanity(spark, d):
@@ -193,7 +199,7 @@ def text_lengths(spark, d):
 
 
 def _gold(spark, d, genes_only=True):
-    return contexts.gold_mentions(typed_records(table(spark, d, "nlm_gene_train")), genes_only)
+    return contexts.gold_mentions(all_records(spark, d), genes_only)
 
 
 def gold_mentions(spark, d):
@@ -206,13 +212,13 @@ def gene_mentions(spark, d):
 
 def document_texts(spark, d):
     p = F.col("passages")
-    rows = typed_records(table(spark, d, "nlm_gene_train")).where("passages IS NOT NULL")
+    rows = all_records(spark, d).where("passages IS NOT NULL")
     return rows.select("rec_id", contexts.passage_text(p, "title").alias("title"), contexts.passage_text(p, "abstract").alias("abstract"), contexts.joined_text(p).alias("joined"))
 
 
 def document_canvas(spark, d):
     p = F.col("passages")
-    rows = typed_records(table(spark, d, "nlm_gene_train")).where("passages IS NOT NULL")
+    rows = all_records(spark, d).where("passages IS NOT NULL")
     return rows.select("rec_id", contexts.text_by_offsets(p).alias("canvas"), contexts.text_with_gaps(p).alias("padded"))
 
 
@@ -220,16 +226,39 @@ SPAN = ["doc_id", "start_pos", "end_pos"]
 
 
 def _gold_spans(spark, d):
-    rows = _gold(spark, d).select(*SPAN, "gold_geneid", F.struct("rec_id", "ent_no").alias("ord"))
+    rows = _gold(spark, d).select(text.article_id(F.col("doc_id")).alias("doc_id"), "start_pos", "end_pos", "gold_geneid", F.struct("rec_id", "ent_no").alias("ord"))
     return ordering.last_wins(rows, SPAN, "ord").select(*SPAN, candidates.gold_set(F.col("gold_geneid")).alias("gold"))
 
 
 def _predicted_spans(spark, d):
-    top = _candidates(spark, d, 1).select("row_id", "gene_id")
-    rows = table(spark, d, MENTIONS).select("row_id", _digits("doc_id").alias("doc_id"), "start_pos", "end_pos").dropna()
+    """Spans with the first candidate, if it is a number; ids of every kind keep their rows."""
+    gene = text.bare_identifier(F.col("gene_id"))
+    top = _candidates(spark, d, 1).select("row_id", F.when(gene.rlike("^[0-9]"), gene).alias("gene_id"))
+    rows = table(spark, d, MENTIONS).select("row_id", text.article_id(F.col("doc_id")).alias("doc_id"), "start_pos", "end_pos").dropna()
     return ordering.last_wins(rows.join(top, "row_id", "left"), SPAN, "row_id").select(*SPAN, "gene_id")
 
 
+def _focus(spark, d):
+    """doc, focus_tax: the species that the entities of a document name most often."""
+    records = all_records(spark, d)
+    made = nested_tables(records)
+    named = made["entity_identifiers"].where("db_name = 'Taxonomy'").join(made["documents"], "rec_id")
+    order = F.col("rec_id") * 1_000_000 + F.col("parent_no") * 1000 + F.col("child_no")
+    rows = named.select(text.article_id(F.col("document_id")).alias("doc"), F.col("db_id").alias("focus_tax"), order.alias("ord")).where("doc IS NOT NULL")
+    return ordering.mode_per_key(rows, ["doc"], "focus_tax", "ord").drop("n_count")
+
+
+def _with_focus(spark, d, default="9606"):
+    rows = table(spark, d, MENTIONS).select("row_id", "mention", "context", text.article_id(F.col("doc_id")).alias("doc"))
+    return grounding.focus_species(rows, _focus(spark, d), "doc", default)
+
+
+def focus_species(spark, d):
+    """Species of each mention's document, with the default and without."""
+    bare = _with_focus(spark, d, None).select("row_id", F.coalesce("focus_tax", F.lit("")).alias("known_tax"))
+    return _with_focus(spark, d).select("row_id", "focus_tax").join(bare, "row_id")
+
+
 def span_accuracy(spark, d):
     return evaluation.span_metrics(_gold_spans(spark, d), _predicted_spans(spark, d), SPAN)
 
@@ -309,8 +338,9 @@ def order_stability(spark, d):
 
 
 def _asked(spark, d):
-    tax = F.element_at(F.array(*(F.lit(t) for t in text.SPECIES_NAMES)), (F.col("row_id") % 8 + 1).cast("int"))
-    return table(spark, d, MENTIONS).select("row_id", text.symbol_key(F.col("mention")).alias("term"), tax.alias("tax_id"))
+    """Symbol of each mention, and the species named in its context or else of its document."""
+    tax = F.coalesce(text.species_of_context(F.col("context")), F.col("focus_tax"))
+    return _with_focus(spark, d).select("row_id", text.symbol_key(F.col("mention")).alias("term"), tax.alias("tax_id"))
 
 
 def _ground(cascade):
@@ -342,29 +372,60 @@ def rescued(spark, d):
     return evaluation.gain_hurt(filled, F.array_contains("gold", F.col("before")), F.array_contains("gold", F.col("gene_id")))
 
 
+def _parts(spark, d):
+    """Mention rows with their gold genes and the part of their document."""
+    rows = table(spark, d, MENTIONS).select(F.col("row_id").alias("id"), text.article_id(F.col("doc_id")).alias("doc"), candidates.gold_set(F.col("gold_geneid")).alias("gold")).where("doc IS NOT NULL")
+    return evaluation.hash_split(rows, F.col("doc"))
+
+
+def _seen(spark, d):
+    parts = _parts(spark, d)
+    return evaluation.seen_split(parts.where("part = 'dev'"), parts.where("part = 'train'"), "gold")
+
+
 def seen_genes(spark, d):
-    rows = table(spark, d, MENTIONS).select(F.col("row_id").alias("id"), _digits("doc_id").cast("bigint").alias("doc"), candidates.gold_set(F.col("gold_geneid")).alias("gold")).where("doc IS NOT NULL")
-    parts = evaluation.arithmetic_split(rows, F.col("doc"))
-    made = evaluation.seen_split(parts.where("part = 'dev'"), parts.where("part = 'train'"), "gold")
-    return made.groupBy("seen").agg(F.count(F.lit(1)).alias("n"))
+    return _seen(spark, d).groupBy("seen").agg(F.count(F.lit(1)).alias("n"))
+
+
+def seen_accuracy(spark, d):
+    """Accuracy of the first candidate where a gold gene occurs in the training part, and where none does."""
+    top = _candidates(spark, d, 1).select(F.col("row_id").alias("id"), "gene_id")
+    rows = _seen(spark, d).where(F.size("gold") > 0).join(top, "id", "left")
+    return evaluation.accuracy_by(rows, "seen", F.array_contains("gold", F.col("gene_id")))
+
+
+def split_overlap(spark, d):
+    parts = _parts(spark, d)
+    genes = lambda part: parts.where(F.col("part") == part).select(F.explode("gold").alias("gene_id"))
+    return evaluation.overlap_count(genes("dev"), genes("train"))
 
 
 def document_split(spark, d):
-    docs = table(spark, d, MENTIONS).select(_digits("doc_id").cast("bigint").alias("doc")).dropna().distinct()
-    return evaluation.arithmetic_split(docs, F.col("doc"))
+    docs = table(spark, d, MENTIONS).select(text.article_id(F.col("doc_id")).alias("doc")).dropna().distinct()
+    return evaluation.hash_split(docs, F.col("doc"))
 
 
 def occurrence_pairs(spark, d):
-    rows = table(spark, d, MENTIONS).where("mention IS NOT NULL")
-    a = rows.where("row_id % 2 = 0").select("mention", "row_id")
-    b = rows.where("row_id % 2 = 1").select("mention", "row_id")
+    """The k-th row of a mention with the k-th row of its contexts."""
+    a, b = (table(spark, d, t).where("mention IS NOT NULL").select("mention", "row_id") for t in (MENTIONS, CONTEXTS))
     return ordering.match_occurrences(a, b, ["mention"], "row_id").select("row_id", "row_id_right", F.col("nth").cast("bigint").alias("nth"))
 
 
-def training_pairs(spark, d):
-    pool = _lines(spark, d).groupBy(text.compact_key(F.col("term")).alias("surface"), "gene_id").agg(F.min("ord").alias("ord"))
-    rows = table(spark, d, MENTIONS).where("gold_geneid IS NOT NULL").select(F.col("row_id").alias("id"), text.compact_key(F.col("mention")).alias("surface"), F.get(candidates.gold_set(F.col("gold_geneid")), F.lit(0)).alias("gene_id"))
-    return evaluation.training_pairs(rows.where("surface IS NOT NULL"), pool, 2, "surface", "ord")
+def positional_pairs(spark, d):
+    """Row i of the mentions with row i of their contexts."""
+    a, b = (table(spark, d, t).select("row_id", "mention") for t in (MENTIONS, CONTEXTS))
+    return ordering.zipped(a, b, "row_id")
+
+
+def row_cases(spark, d):
+    made = ordering.numbered(table(spark, d, MENTIONS).select("row_id", "mention"), "row_id")
+    return made.select(F.concat(F.lit("case_"), F.col("ordinal").cast("string")).alias("case_id"), "row_id", "mention")
+
+
+def prompt_cases(spark, d):
+    """Ordinals among the cases that get a prompt."""
+    written = _lists(spark, d).where("size(candidates) > 0").select("row_id", "mention")
+    return ordering.numbered(written, "row_id").select(F.concat(F.lit("prompt_case_"), F.col("ordinal").cast("string")).alias("case_id"), "row_id", "mention")
 
 
 def training_examples(spark, d):
@@ -373,6 +434,12 @@ def training_examples(spark, d):
     return evaluation.training_examples(rows.where("surface IS NOT NULL AND size(golds) > 0"), pool, 3, "surface", "ord")
 
 
+def example_split(spark, d):
+    """Training examples in a hashed order's ten percent and the rest."""
+    rows = training_examples(spark, d)
+    return evaluation.hash_split(rows, F.concat_ws(":", F.col("id").cast("string"), "gold_id", "gene_id"), 7, 10, "validation")
+
+
 def unanswered(spark, d):
     rows = table(spark, d, MENTIONS).select("row_id", "case_id")
     return rows.join(table(spark, d, CONTEXTS).select("row_id"), "row_id", "left_anti")
@@ -404,10 +471,11 @@ def order_lines(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    kb_symbols, kb_symbols_global, kb_entity_terms, kb_entity_first_terms, kb_gene_like, kb_species, kb_most_common_terms, kb_first_and_last, term_keys, mention_mode,
+    kb_symbols, kb_symbols_global, kb_entity_terms, kb_entity_counted_terms, kb_entity_first_terms, kb_gene_like, kb_species, kb_most_common_terms, kb_first_and_last, term_keys, mention_mode,
     dictionary_candidates, dictionary_recall, candidate_strings, dense_candidates, dense_genes, dense_recall, ngram_candidates, ngram_genes, lexical_scores, context_attached,
     context_windows, plain_sentences, sentence_contexts, offset_sanity, context_species, text_lengths, gold_mentions, gene_mentions, document_texts, document_canvas,
     span_accuracy, tuple_scores, span_scores, span_overlaps, error_stages, gold_cardinality, item_options, parsed_answers, selector_scores, option_texts, prompt_records,
-    position_map, order_stability, mapping_modes, dominant_genes, rescued, seen_genes, document_split, occurrence_pairs, training_pairs, training_examples, unanswered, token_spans,
+    position_map, order_stability, mapping_modes, dominant_genes, rescued, focus_species, seen_genes, seen_accuracy, split_overlap, document_split, occurrence_pairs,
+    positional_pairs, row_cases, prompt_cases, training_examples, example_split, unanswered, token_spans,
     event_props, event_spread, order_lines,
 )} | {f"grounded_{c}": _ground(c) for c in ("species", "prior", "named", "global")}

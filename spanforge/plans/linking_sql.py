@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spanforge.functions.text import GREEK, SPECIES_NAMES, SPECIES_PRIORITY, SPECIES_WORDS, STOP_TERMS, SUFFIXES, SYMBOL_EDGE
 from spanforge.operators.grounding import CASCADES
+from spanforge.plans.nested_queries import _RAW, _parent
 
 
 def _strip(x: str) -> str:
@@ -71,21 +72,45 @@ def _alnum(x: str) -> str:
     return f"trim(regexp_replace({_greek(f'lower({x})')}, '[^a-z0-9]+', '', 'g'))"
 
 
-_ENTITY_GOLD = """SELECT rec_id, document_id AS doc_id, i - 1 AS ent_no, entities[i].text[1] AS mention, entities[i].offsets[1][1] AS start_pos, entities[i].offsets[1][2] AS end_pos,
-    entities[i].kind AS kind, array_to_string(list_sort(list_distinct(list_transform(list_filter(entities[i].normalized, lambda n: n IS NOT NULL AND n.db_id <> '' {0}),
-      lambda n: regexp_replace(n.db_id, '^(NCBI ?Gene:|GeneID:)', '')))), '|') AS gold_geneid
-  FROM (SELECT *, unnest(range(1, len(entities) + 1)) AS i FROM nlm_gene_train)"""
-GOLD_ALL = f"SELECT * FROM ({_ENTITY_GOLD.format('')}) WHERE start_pos IS NOT NULL AND gold_geneid <> ''"
-GOLD = f"SELECT * FROM ({_ENTITY_GOLD.format(chr(65) + 'ND n.db_name = ' + chr(39) + 'NCBIGene' + chr(39))}) WHERE start_pos IS NOT NULL AND gold_geneid <> '' AND kind IN ('Gene', 'GENERIF', 'STARGENE')"
-_DIGITS = "nullif(regexp_extract(doc_id, '([1-9][0-9]{7})', 1), '')"
-def _digits() -> str:
-    return _DIGITS
+_NAMED = f"SELECT rec_id, document_id FROM nlm_gene_train UNION ALL SELECT rec_id, coalesce(json_extract_string(j, '$.document_id'), json_extract_string(j, '$.id')) FROM ({_RAW})"
+#: Entities of both tables with their identifiers, read from JSON.
+_ENTITIES = f"""SELECT x.rec_id, n.document_id AS doc_id, parent_no AS ent_no,
+    CASE json_type(e, '$.text') WHEN 'VARCHAR' THEN json_extract_string(e, '$.text') ELSE json_extract_string(e, '$.text[0]') END AS mention,
+    try_cast(json_extract_string(e, '$.offsets[0][0]') AS BIGINT) AS start_pos, try_cast(json_extract_string(e, '$.offsets[0][1]') AS BIGINT) AS end_pos,
+    coalesce(json_extract_string(e, '$.kind'), json_extract_string(e, '$.type')) AS kind,
+    list_transform(range(coalesce(json_array_length(e, '$.normalized'), 0)::BIGINT), lambda k: {{'k': k, 'db': json_extract_string(e, '$.normalized[' || k || '].db_name'),
+      'id': coalesce(json_extract_string(e, '$.normalized[' || k || '].db_id'), json_extract_string(e, '$.normalized[' || k || '].id'))}}) AS ns
+  FROM ({_parent('entities')}) x JOIN ({_NAMED}) n USING (rec_id)"""
+_GOLD_ROWS = """SELECT * FROM (SELECT rec_id, doc_id, ent_no, mention, start_pos, end_pos, kind,
+    array_to_string(list_sort(list_distinct(list_transform(list_filter(ns, lambda n: n.id <> '' {1}), lambda n: regexp_replace(n.id, '^(NCBI ?Gene:|GeneID:)', '')))), '|') AS gold_geneid
+  FROM ({0})) WHERE start_pos IS NOT NULL AND gold_geneid <> ''"""
+GOLD_ALL = _GOLD_ROWS.format(_ENTITIES, "")
+GOLD = _GOLD_ROWS.format(_ENTITIES, "AND n.db = 'NCBIGene'") + " AND kind IN ('Gene', 'GENERIF', 'STARGENE')"
+_BARE_ID = "lower(regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'))"
+#: An article's id: eight digits whatever name, zeros, version or .0 stands around them; else the id without case and outer white space.
+ARTICLE = (
+    f"CASE WHEN regexp_matches({_BARE_ID}, '^((https?://)?[a-z0-9./]*pubmed[^a-z0-9]*|pmid[^a-z0-9]*|medline[^a-z0-9]*)?0*[1-9][0-9]{{{{7}}}}(\\.[0-9]+|v[0-9]+)?$') "
+    f"THEN regexp_extract({_BARE_ID}, '([1-9][0-9]{{{{7}}}})(\\.[0-9]+|v[0-9]+)?$', 1) ELSE nullif({_BARE_ID}, '') END"
+)
+#: rec_id, title, abstract, joined of the records that have passages.
+_TEXTS_OF = f"""p AS (SELECT rec_id, parent_no AS i, lower(coalesce(json_extract_string(e, '$.kind'), json_extract_string(e, '$.type'))) AS kind,
+  CASE json_type(e, '$.text') WHEN 'VARCHAR' THEN [json_extract_string(e, '$.text')] WHEN 'ARRAY' THEN CAST(json_extract(e, '$.text') AS VARCHAR[]) END AS ts FROM ({_parent('passages')})),
+r AS (SELECT rec_id FROM nlm_gene_train WHERE passages IS NOT NULL UNION ALL SELECT rec_id FROM ({_RAW}) WHERE json_type(j, '$.passages') = 'ARRAY')"""
+TEXTS = f"""WITH {_TEXTS_OF}
+SELECT r.rec_id, {_strip("coalesce(string_agg(array_to_string(ts, ' '), ' ' ORDER BY i) FILTER (kind = 'title' AND ts IS NOT NULL), '')")} AS title,
+  {_strip("coalesce(string_agg(array_to_string(ts, ' '), ' ' ORDER BY i) FILTER (kind = 'abstract' AND ts IS NOT NULL), '')")} AS abstract,
+  array_to_string(flatten(coalesce(list(ts ORDER BY i) FILTER (ts IS NOT NULL), [])), ' ') AS joined
+FROM r LEFT JOIN p USING (rec_id) GROUP BY r.rec_id"""
+FOCUS = f"""tax AS (SELECT {ARTICLE.format('doc_id')} AS doc, n.id AS tax, rec_id * 1000000 + ent_no * 1000 + n.k AS ord FROM (SELECT *, unnest(ns) AS n FROM ({_ENTITIES})) WHERE n.db = 'Taxonomy' AND trim(n.id) <> ''),
+focus AS (SELECT doc, tax FROM (SELECT doc, tax, count(*) AS n, min(ord) AS s FROM tax WHERE doc IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, s) = 1),
+with_focus AS (SELECT row_id, mention, context, coalesce(tax, '9606') AS focus_tax, coalesce(tax, '') AS known_tax FROM (SELECT *, {ARTICLE.format('doc_id')} AS doc FROM bioelqa_dev_mentions) LEFT JOIN focus USING (doc))"""
+NAMED_SPECIES = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(context), '{w}')" for w in words)} THEN '{t}'" for t, words in SPECIES_WORDS.items()) + " END"
 
 
 SPANS = f"""{CANDS}, gold AS ({GOLD}),
-gspan AS (SELECT doc_id, start_pos, end_pos, string_split(gold_geneid, '|') AS gold FROM gold QUALIFY row_number() OVER (PARTITION BY doc_id, start_pos, end_pos ORDER BY rec_id DESC, ent_no DESC) = 1),
-pspan AS (SELECT doc_id, start_pos, end_pos, gene_id FROM (SELECT row_id, {_DIGITS} AS doc_id, start_pos, end_pos FROM bioelqa_dev_mentions) m
-  LEFT JOIN (SELECT row_id, gene_id FROM cands WHERE pos = 1) c USING (row_id) WHERE doc_id IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL
+gspan AS (SELECT {ARTICLE.format('doc_id')} AS doc_id, start_pos, end_pos, string_split(gold_geneid, '|') AS gold FROM gold QUALIFY row_number() OVER (PARTITION BY {ARTICLE.format('doc_id')}, start_pos, end_pos ORDER BY rec_id DESC, ent_no DESC) = 1),
+pspan AS (SELECT doc_id, start_pos, end_pos, gene_id FROM (SELECT row_id, {ARTICLE.format('doc_id')} AS doc_id, start_pos, end_pos FROM bioelqa_dev_mentions) m
+  LEFT JOIN (SELECT row_id, CASE WHEN regexp_matches(gene_id, '^[0-9]') THEN gene_id END AS gene_id FROM cands WHERE pos = 1) c USING (row_id) WHERE doc_id IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY doc_id, start_pos, end_pos ORDER BY row_id DESC) = 1)"""
 
 
@@ -105,8 +130,7 @@ def _symbol(x: str) -> str:
     return f"upper(trim({_strip('replace(' + _strip('replace(' + _strip(x) + ', ' + chr(39) + 'Gene Symbol:' + chr(39) + ', ' + chr(39) * 2 + ')') + ', ' + chr(39) + 'Symbol:' + chr(39) + ', ' + chr(39) * 2 + ')')}, '{edge}'))"
 
 
-_TAX8 = "[" + ", ".join(f"'{t}'" for t in SPECIES_NAMES) + "]"
-ASKED = f"""{DICT}, asked AS (SELECT row_id, {_symbol('mention')} AS term, {_TAX8}[row_id % 8 + 1] AS tax_id FROM bioelqa_dev_mentions),
+ASKED = f"""{DICT}, {FOCUS}, asked AS (SELECT row_id, {_symbol('mention')} AS term, coalesce({NAMED_SPECIES}, focus_tax) AS tax_id FROM with_focus),
 exact AS (SELECT term, tax_id, arg_max(gene_id, (n_count, gene_id)) AS exact_gene FROM dict GROUP BY ALL),
 per_term AS (SELECT term, CASE WHEN min(gene_id) = max(gene_id) THEN min(gene_id) END AS only_gene, min(gene_id) FILTER (tax_id = '9606') AS human_gene,
   arg_min(gene_id, ({_PRIORITY}, -n_count, gene_id)) FILTER (tax_id IN ('9606', '10090', '10116')) AS prior_gene, arg_min(gene_id, (-n_count, tax_id, gene_id)) AS common_gene,
@@ -136,16 +160,31 @@ WINDOW = "replace(substring(ctx_document, greatest(start_pos - {0}, 0) + 1, grea
 _SAID = """CASE item_id % 6 WHEN 0 THEN 'Answer: ' || answer WHEN 1 THEN 'answer:' || lower(answer) WHEN 2 THEN 'It is ' || answer || '.' WHEN 3 THEN 'none'
   WHEN 4 THEN 'GeneID: ' || item_id ELSE 'Symbol: ABC-' || item_id || ' x' END"""
 _EDGE, _END = "(?:^|[^\\p{L}\\p{N}_])", "(?:$|[^\\p{L}\\p{N}_])"
+_LISTED = f"tax_id IN ({', '.join(f'{chr(39)}{t}{chr(39)}' for t in SPECIES_NAMES)})"
+
+
+def _entity(species: str) -> str:
+    return f"""SELECT gene_id, tax_id, {species} AS species, first(term ORDER BY pos) AS term, string_agg(term, ' ' ORDER BY pos) || ' ' || {species} AS entity_text
+FROM r WHERE pos <= 8 GROUP BY gene_id, tax_id"""
+
+
+def _part(key: str, seed: int = 42, held_out: int = 20, name: str = "dev") -> str:
+    return f"CASE WHEN CAST('0x' || substring(md5('{seed}|' || {key}), 1, 8) AS BIGINT) % 100 < {held_out} THEN '{name}' ELSE 'train' END"
+
+
+SEEN = f"""r AS (SELECT row_id, doc, {_part('doc')} = 'dev' AS dev, gold FROM (SELECT row_id, {ARTICLE.format('doc_id')} AS doc, {_gold('gold_geneid')} AS gold FROM bioelqa_dev_mentions) WHERE doc IS NOT NULL),
+k AS (SELECT DISTINCT unnest(gold) AS g FROM r WHERE NOT dev), h AS (SELECT DISTINCT row_id FROM (SELECT row_id, unnest(gold) AS g FROM r WHERE dev) JOIN k USING (g)),
+judged AS (SELECT r.row_id, gold, h.row_id IS NOT NULL AS seen FROM r LEFT JOIN h USING (row_id) WHERE dev)"""
 
 SQL = {
     "kb_symbols": f"WITH {DICT} SELECT term, tax_id, gene_id, n_count FROM dict",
     "kb_symbols_global": f"WITH {LINES} {_mode('term', 'gene_id', _UP, 'ord')}",
-    "kb_entity_terms": f"""WITH {LINES}, best AS (SELECT gene_id, tax_id, term, max(n_count) AS n FROM lines GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY gene_id, tax_id ORDER BY n DESC, term) AS pos FROM best)
-SELECT gene_id, tax_id, first(term ORDER BY pos) AS term, string_agg(term, '; ' ORDER BY pos) || ' | ' || {_SPECIES} AS entity_text FROM r WHERE pos <= 8 GROUP BY gene_id, tax_id""",
-    "kb_entity_first_terms": f"""WITH {LINES}, f AS (SELECT gene_id, tax_id, term, ord FROM lines QUALIFY row_number() OVER (PARTITION BY gene_id, tax_id, lower(term) ORDER BY ord) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY gene_id, tax_id ORDER BY ord) AS pos FROM f)
-SELECT gene_id, tax_id, string_agg(term, '; ' ORDER BY pos) AS terms FROM r WHERE pos <= 8 GROUP BY gene_id, tax_id""",
+    "kb_entity_terms": f"""WITH {LINES}, best AS (SELECT gene_id, tax_id, term, max(n_count) AS n FROM lines WHERE {_LISTED} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY gene_id, tax_id ORDER BY n DESC, term) AS pos FROM best) {_entity(_SPECIES)}""",
+    "kb_entity_counted_terms": f"""WITH {LINES}, f AS (SELECT gene_id, tax_id, term, n_count, ord FROM lines QUALIFY row_number() OVER (PARTITION BY gene_id, tax_id, lower(term) ORDER BY n_count DESC, ord) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY gene_id, tax_id ORDER BY n_count DESC, ord) AS pos FROM f) {_entity(_case("tax_id", SPECIES_NAMES, "'taxid_' || tax_id"))}""",
+    "kb_entity_first_terms": f"""WITH {LINES}, f AS (SELECT gene_id, tax_id, term, ord FROM lines WHERE {_LISTED} QUALIFY row_number() OVER (PARTITION BY gene_id, tax_id, lower(term) ORDER BY ord) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY gene_id, tax_id ORDER BY ord) AS pos FROM f) {_entity(_SPECIES)}""",
     "kb_gene_like": f"""WITH {LINES} SELECT tax_id, count(*) AS n_rows, count(DISTINCT term) AS n_terms FROM lines
 WHERE length(term) BETWEEN 2 AND 60 AND len(regexp_extract_all(term, '[0-9]')) <= 15 AND len(regexp_split_to_array(trim(term), '\\s+')) <= 8
   AND regexp_matches(term, '[a-zA-Z]') AND trim(regexp_replace(replace(lower(term), '-', ''), '[\\s\\v]+', ' ', 'g')) NOT IN ({_STOPPED}) GROUP BY tax_id""",
@@ -176,7 +215,8 @@ qw AS (SELECT id, gram, count(*) * any_value(idf) AS w FROM (SELECT id, unnest({
 ew AS (SELECT id, gram, count(*) * any_value(idf) AS w FROM (SELECT id, unnest({_grams('text')}) AS gram FROM e) JOIN idf USING (gram) GROUP BY ALL),
 qn AS (SELECT id, sqrt(sum(w * w)) AS n FROM qw GROUP BY id), en AS (SELECT id, sqrt(sum(w * w)) AS n FROM ew GROUP BY id),
 s AS (SELECT a.id AS query_id, b.id AS entry_id, round(sum(a.w / qn.n * (b.w / en.n)), 6) AS score FROM qw a JOIN ew b USING (gram) JOIN qn ON qn.id = a.id JOIN en ON en.id = b.id GROUP BY ALL)
-SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS pos FROM s QUALIFY pos <= 5""",
+SELECT v.row_id, entry_id, score, pos FROM (SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS pos FROM s QUALIFY pos <= 5)
+JOIN q ON q.id = query_id JOIN bioelqa_dev_mention_vectors v ON v.mention = q.text""",
     "ngram_genes": f"""WITH q AS (SELECT mention AS text, min(row_id) AS id FROM bioelqa_dev_mention_vectors WHERE mention IS NOT NULL GROUP BY ALL),
 e AS (SELECT term AS text, min(entity_id) AS id FROM bioelqa_dev_candidates_sapbert_genelevel_top20 WHERE term IS NOT NULL AND gene_id IS NOT NULL GROUP BY ALL),
 idf AS (SELECT gram, ln((1.0 + (SELECT count(*) FROM e)) / (1 + count(*))) + 1 AS idf FROM (SELECT DISTINCT id, unnest({_grams('text')}) AS gram FROM e) GROUP BY gram),
@@ -204,10 +244,10 @@ SELECT m.row_id, u.ctx_mention, u.ctx_sentence FROM bioelqa_dev_mentions m LEFT
 FROM bioelqa_dev_mentions_contexts WHERE ctx_document <> '' AND start_pos >= 0 AND end_pos >= start_pos""",
     "plain_sentences": f"WITH {PIECES} SELECT doc_id, start, CAST(start + length(text) AS INTEGER) AS \"end\", text FROM sents WHERE text <> ''",
     "sentence_contexts": f"""WITH {PIECES}, numbered AS (SELECT doc_id, start, start + length(text) AS stop, text, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM sents WHERE text <> ''),
-m AS (SELECT row_id, doc_id, start_pos, end_pos, ctx_document FROM bioelqa_dev_mentions_contexts WHERE ctx_document <> ''),
+m AS (SELECT c.row_id, c.doc_id, c.start_pos, c.end_pos, d.t AS ctx_document FROM bioelqa_dev_mentions_contexts c LEFT JOIN docs d USING (doc_id)),
 hit AS (SELECT row_id, m.doc_id, min(i) AS i FROM m JOIN numbered n ON m.doc_id = n.doc_id AND greatest(n.start, start_pos) < least(n.stop, end_pos) GROUP BY ALL),
 near AS (SELECT h.row_id, string_agg(text, ' ' ORDER BY n.i) AS three, max(text) FILTER (n.i = h.i) AS one FROM hit h JOIN numbered n ON h.doc_id = n.doc_id AND n.i BETWEEN h.i - 1 AND h.i + 1 GROUP BY ALL)
-SELECT m.row_id, coalesce(one, {_strip(WINDOW.format(120))}) AS sentence, coalesce(three, {_strip(WINDOW.format(250))}) AS three_sentences FROM m LEFT JOIN near ON m.row_id = near.row_id""",
+SELECT m.row_id, coalesce(one, {_strip(WINDOW.format(120))}, '') AS sentence, coalesce(three, {_strip(WINDOW.format(250))}, '') AS three_sentences FROM m LEFT JOIN near ON m.row_id = near.row_id""",
     "offset_sanity": f"""WITH c AS (SELECT lower(substring(ctx_document, start_pos + 1, end_pos - start_pos)) AS cut, lower(mention) AS m FROM bioelqa_dev_mentions_contexts WHERE ctx_document <> '' AND mention <> '')
 SELECT count(*) AS n, {_rate("count(*) FILTER (cut <> '' AND (contains(cut, m) OR contains(m, cut)))", 'count(*)')} AS sane FROM c""",
     "context_species": "SELECT tax, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {' OR '.join(f"contains(c, '{w}')" for w in words)} THEN '{t}'" for t, words in SPECIES_WORDS.items())
@@ -217,11 +257,7 @@ SELECT count(*) AS n, round(avg(w), 6) AS words_mean, median(w) AS words_median,
   min(c) AS chars_min, max(c) AS chars_max FROM s""",
     "gold_mentions": GOLD_ALL,
     "gene_mentions": GOLD,
-    "document_texts": f"""WITH p AS (SELECT rec_id, i, lower(passages[i].kind) AS kind, passages[i].text AS ts, passages[i] IS NULL AS gone FROM (SELECT *, unnest(range(1, len(passages) + 1)) AS i FROM nlm_gene_train))
-SELECT t.rec_id, {_strip("coalesce(string_agg(array_to_string(ts, ' '), ' ' ORDER BY i) FILTER (kind = 'title' AND ts IS NOT NULL), '')")} AS title,
-  {_strip("coalesce(string_agg(array_to_string(ts, ' '), ' ' ORDER BY i) FILTER (kind = 'abstract' AND ts IS NOT NULL), '')")} AS abstract,
-  array_to_string(flatten(coalesce(list(ts ORDER BY i) FILTER (ts IS NOT NULL), [])), ' ') AS joined
-FROM nlm_gene_train t LEFT JOIN p USING (rec_id) WHERE t.passages IS NOT NULL GROUP BY t.rec_id""",
+    "document_texts": TEXTS,
     "span_accuracy": f"""WITH {SPANS}, j AS (SELECT gold, p.gene_id, p.doc_id IS NOT NULL AS seen FROM gspan g LEFT JOIN pspan p ON g.doc_id = p.doc_id AND g.start_pos = p.start_pos AND g.end_pos = p.end_pos),
 c AS (SELECT count(*) AS n_gold, count(*) FILTER (seen) AS recognised, count(*) FILTER (list_contains(gold, gene_id)) AS correct FROM j)
 SELECT *, {_rate('correct', 'n_gold')} AS accuracy_all, {_rate('correct', 'recognised')} AS accuracy_recognised, {_rate('recognised', 'n_gold')} AS recognition_rate FROM c""",
@@ -264,17 +300,19 @@ FROM g JOIN bioelqa_dev_mentions m USING (row_id) GROUP BY mode""",
   LEFT JOIN (SELECT row_id, gene_id FROM cands WHERE pos = 1) c USING (row_id) LEFT JOIN (SELECT * FROM dom WHERE freq >= 2 AND ratio >= 0.8) d ON lower(m.mention) = d.key),
 f AS (SELECT coalesce(list_contains(gold, before), false) AS x, coalesce(list_contains(gold, after), false) AS y FROM b)
 SELECT count(*) FILTER (NOT x AND y) AS gain, count(*) FILTER (x AND NOT y) AS hurt, count(*) FILTER (NOT x AND y) - count(*) FILTER (x AND NOT y) AS net FROM f""",
-    "seen_genes": f"""WITH r AS (SELECT row_id, {_DIGITS}::BIGINT % 10 < 2 AS dev, {_gold('gold_geneid')} AS gold FROM bioelqa_dev_mentions WHERE {_DIGITS} IS NOT NULL),
-k AS (SELECT DISTINCT unnest(gold) AS g FROM r WHERE NOT dev), h AS (SELECT DISTINCT row_id FROM (SELECT row_id, unnest(gold) AS g FROM r WHERE dev) JOIN k USING (g))
-SELECT h.row_id IS NOT NULL AS seen, count(*) AS n FROM r LEFT JOIN h USING (row_id) WHERE dev GROUP BY seen""",
-    "document_split": f"SELECT doc, CASE WHEN doc % 10 < 2 THEN 'dev' ELSE 'train' END AS part FROM (SELECT DISTINCT {_DIGITS}::BIGINT AS doc FROM bioelqa_dev_mentions) WHERE doc IS NOT NULL",
-    "occurrence_pairs": """WITH n AS (SELECT mention, row_id, row_id % 2 AS side, row_number() OVER (PARTITION BY mention, row_id % 2 ORDER BY row_id) AS nth FROM bioelqa_dev_mentions WHERE mention IS NOT NULL)
-SELECT a.row_id, b.row_id AS row_id_right, a.nth FROM (SELECT * FROM n WHERE side = 0) a LEFT JOIN (SELECT * FROM n WHERE side = 1) b ON a.mention = b.mention AND a.nth = b.nth""",
-    "training_pairs": f"""WITH {LINES}, pool AS (SELECT {_compact('term')} AS surface, gene_id, min(ord) AS o FROM lines GROUP BY ALL),
-few AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY o, gene_id) AS n FROM pool QUALIFY n <= 3),
-p AS (SELECT row_id AS id, {_compact('mention')} AS surface, {_gold('gold_geneid')}[1] AS gene_id FROM bioelqa_dev_mentions WHERE gold_geneid IS NOT NULL AND mention IS NOT NULL),
-neg AS (SELECT id, f.gene_id, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM p JOIN few f ON p.surface = f.surface AND f.gene_id <> p.gene_id QUALIFY k <= 2)
-SELECT id, gene_id, 1 AS label FROM p UNION ALL SELECT id, gene_id, 0 FROM neg""",
+    "focus_species": f"WITH {FOCUS} SELECT row_id, focus_tax, known_tax FROM with_focus",
+    "seen_genes": f"WITH {SEEN} SELECT seen, count(*) AS n FROM judged GROUP BY seen",
+    "seen_accuracy": f"""WITH {CANDS}, {SEEN}, t AS (SELECT seen, coalesce(list_contains(gold, c.gene_id), false) AS ok FROM judged j LEFT JOIN (SELECT row_id, gene_id FROM cands WHERE pos = 1) c USING (row_id) WHERE len(gold) > 0)
+SELECT seen, count(*) AS n, count(*) FILTER (ok) AS correct, {_rate('count(*) FILTER (ok)', 'count(*)')} AS accuracy FROM t GROUP BY seen""",
+    "split_overlap": f"WITH {SEEN} SELECT count(*) AS n_shared FROM (SELECT unnest(gold) AS g FROM r WHERE dev INTERSECT SELECT g FROM k)",
+    "document_split": f"SELECT doc, {_part('doc')} AS part FROM (SELECT DISTINCT {ARTICLE.format('doc_id')} AS doc FROM bioelqa_dev_mentions) WHERE doc IS NOT NULL",
+    "occurrence_pairs": """WITH a AS (SELECT mention, row_id, row_number() OVER (PARTITION BY mention ORDER BY row_id) AS nth FROM bioelqa_dev_mentions WHERE mention IS NOT NULL),
+b AS (SELECT mention, row_id, row_number() OVER (PARTITION BY mention ORDER BY row_id) AS nth FROM bioelqa_dev_mentions_contexts WHERE mention IS NOT NULL)
+SELECT a.row_id, b.row_id AS row_id_right, a.nth FROM a LEFT JOIN b ON a.mention = b.mention AND a.nth = b.nth""",
+    "positional_pairs": """SELECT a.row_id, a.mention, b.row_id AS row_id_right, b.mention AS mention_right FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS k FROM bioelqa_dev_mentions) a
+JOIN (SELECT *, row_number() OVER (ORDER BY row_id) AS k FROM bioelqa_dev_mentions_contexts) b USING (k)""",
+    "row_cases": "SELECT 'case_' || row_number() OVER (ORDER BY row_id) AS case_id, row_id, mention FROM bioelqa_dev_mentions",
+    "prompt_cases": f"WITH {LISTS} SELECT 'prompt_case_' || row_number() OVER (ORDER BY row_id) AS case_id, row_id, mention FROM lists WHERE ids IS NOT NULL",
     "training_examples": f"""WITH {LINES}, pool AS (SELECT {_compact('term')} AS surface, gene_id, min(ord) AS o FROM lines GROUP BY ALL),
 m AS (SELECT row_id AS id, {_compact('mention')} AS surface, {_gold('gold_geneid')} AS golds FROM bioelqa_dev_mentions WHERE mention IS NOT NULL),
 p AS (SELECT *, unnest(golds) AS gold_id FROM m),
@@ -285,6 +323,7 @@ fill AS (SELECT id, gold_id, r.gene_id, h FROM num JOIN ring r ON (r.at - start
   WHERE h < 3 AND NOT list_contains(golds, r.gene_id) AND NOT EXISTS (SELECT 1 FROM hard x WHERE x.id = num.id AND x.gold_id = num.gold_id AND x.gene_id = r.gene_id)
   QUALIFY row_number() OVER (PARTITION BY id, gold_id ORDER BY (r.at - start % r.n + r.n) % r.n) + h <= 3)
 SELECT id, gold_id, gold_id AS gene_id, 1 AS label FROM p UNION ALL SELECT id, gold_id, gene_id, 0 FROM hard UNION ALL SELECT id, gold_id, gene_id, 0 FROM fill""",
+    "example_split": "",
     "unanswered": "SELECT row_id, case_id FROM bioelqa_dev_mentions WHERE row_id NOT IN (SELECT row_id FROM bioelqa_dev_mentions_contexts WHERE row_id IS NOT NULL)",
     "token_spans": """WITH m AS (SELECT row_id, start_pos AS a, end_pos AS b, regexp_extract_all(context, '\\s*\\S+') AS ws FROM bioelqa_dev_mentions WHERE context IS NOT NULL AND start_pos IS NOT NULL AND end_pos > start_pos),
 w AS (SELECT row_id, a, b, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM m),
@@ -298,6 +337,7 @@ SELECT row_id, CAST(min(ts) AS INTEGER) AS span_start, CAST(max(te) AS INTEGER)
     "order_lines": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS a FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderpriority, count(*) AS n_orders, round(sum(a), 2) AS amount FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderpriority""",
 }
+SQL["example_split"] = f"SELECT *, {_part("id || ':' || gold_id || ':' || gene_id", 7, 10, 'validation')} AS part FROM ({SQL['training_examples']})"
 #: Columns whose type DuckDB gives another width than Spark.
 _TYPES = {
     "dictionary_candidates": "pos INTEGER", "candidate_strings": "strict INTEGER, maxsplit INTEGER, unchecked INTEGER", "dense_candidates": "pos INTEGER", "dense_genes": "pos INTEGER",

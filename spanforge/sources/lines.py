@@ -33,10 +33,17 @@ def _at(i: int) -> Column:
     return F.col("f")[i]
 
 
-def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def has_open_lines(spark: SparkSession, path: str) -> bool:
+    """Whether any line holds an odd number of quotes, as where a field goes on over a line break."""
+    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+
+
+def read_tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multiline: bool | None = None) -> DataFrame:
     """A table with a header, all strings: 'NA' stays a text, an empty field is an empty text; quoted fields may hold
-    tabs, doubled quotes and line breaks."""
-    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, nullValue="\u0000", emptyValue="")
+    tabs, doubled quotes and line breaks. Only files with line breaks in fields are read whole by one task; whether there
+    are any is looked up unless it is said."""
+    multiline = has_open_lines(spark, path) if multiline is None else multiline
+    df = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=multiline, nullValue="\u0000", emptyValue="")
     df = df.fillna("")
     return df.select(*columns) if columns else df
 

@@ -1,10 +1,12 @@
+import json
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import answers, candidates, text
-from spanforge.operators import contexts, evaluation, grounding, models, ordering, prompts, retrieval
-from spanforge.sources import arrow_ipc, lines, sinks
+from spanforge.operators import contexts, diagnostics, evaluation, grounding, knowledge, models, ordering, prompts, retrieval
+from spanforge.sources import annotator, arrow_ipc, lines, sinks
 from spanforge.streaming import resume
 
 
@@ -36,9 +38,12 @@ def test_simple_sentences(spark):
 
 
 def test_sentence_context_falls_back(spark):
-    df = spark.createDataFrame([("One. Two here. Three.", 5, 8), ("...", 500, 501)], "t string, a int, b int")
-    got = [(r.sentence, r.three_sentences) for r in contexts.with_sentence_contexts(df, "t", "a", "b").collect()]
-    assert got == [("Two here.", "One. Two here. Three."), ("", "")]
+    df = spark.createDataFrame([(1, "x", 5, 8), (2, "y", 500, 501), (3, "none", 0, 1), (4, None, 0, 1)], "id int, d string, a int, b int")
+    docs = spark.createDataFrame([("x", "One. Two here. Three."), ("y", "..."), ("z", None)], "d string, t string")
+    got = {r.id: (r.sentence, r.three_sentences) for r in contexts.with_sentence_contexts(df, docs, "d", "t", "a", "b").collect()}
+    assert got == {1: ("Two here.", "One. Two here. Three."), 2: ("", ""), 3: ("", ""), 4: ("", "")}
+    own = contexts.with_sentence_contexts(df, docs, "d", "t", "a", "b", default=F.lit("own")).where("id = 3").head()
+    assert (own.sentence, own.three_sentences) == ("own", "own")
 
 
 def test_parsers_disagree_on_purpose(spark):
@@ -63,7 +68,12 @@ def test_answers(spark):
 def test_too_many_options_raise(spark):
     many = F.transform(F.sequence(F.lit(1), F.lit(27)), lambda i: F.struct(*(i.cast("string").alias(f) for f in candidates.FIELDS)))
     with pytest.raises(Exception, match="26"):
-        spark.range(1).select(candidates.option_lines(many, most=27)).collect()
+        spark.range(1).select(candidates.option_lines(many)).collect()
+    assert spark.range(1).select(candidates.option_lines(many, most=26).alias("x")).head().x.count("\n") == 25
+    packed = spark.range(1).select(F.lit("c").alias("case_id"), F.lit("m").alias("mention"), F.lit("t").alias("context"), candidates.pack(many).alias("candidates"))
+    with pytest.raises(Exception, match="26"):
+        prompts.build_prompts(packed).collect()
+    assert prompts.build_prompts(packed, most=5).head().n_options == 5
 
 
 def test_numbering_is_gapless(spark):
@@ -72,6 +82,93 @@ def test_numbering_is_gapless(spark):
     assert all(r.ordinal == r.k + 1 for r in got)
 
 
+@pytest.mark.parametrize("partitions", [4, 200])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_loses_no_row(spark, partitions, adaptive):
+    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": adaptive}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        wide = spark.range(600_000).select((F.col("id") * 7919 % 600_000).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 6).alias("payload")).repartition(7)
+        made = ordering.numbered(wide, "k")
+        row = made.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ordinal").alias("d"), F.count_if(F.col("ordinal") != F.col("k") + 1).alias("wrong")).head()
+        assert tuple(row) == (600_000, 600_000, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_numbering_of_nothing_and_ties(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string")
+    assert sorted(r.ordinal for r in ordering.numbered(df, "k").collect()) == [1, 2, 3]
+    assert ordering.numbered(df.where("false"), "k").count() == 0
+
+
+def test_positional_zip(spark):
+    a = spark.createDataFrame([(5, "x"), (7, "y"), (9, "z")], "k int, v string")
+    b = spark.createDataFrame([(2, "q"), (1, "p")], "k int, v string")
+    assert sorted(tuple(r) for r in ordering.zipped(a, b, "k").collect()) == [(5, "x", 1, "p"), (7, "y", 2, "q")]
+
+
+def test_article_ids(spark):
+    ids = {"PMID: 30000001": "30000001", "pubmed/0030000001": "30000001", "30000001.1": "30000001", " 30000001\u00a0": "30000001", "PMC30000001": None, "10.5555/bxg.30000001": None, "x": None, "": None}
+    df = spark.createDataFrame([(k,) for k in ids], "t string")
+    assert {r.t: r.p for r in df.select("t", text.pmid(F.col("t")).alias("p")).collect()} == ids
+    assert one(spark, text.article_id(F.col("t")), t=" PMC7 ") == "pmc7"
+
+
+def test_symbols_species_and_suffixes(spark):
+    t = F.col("t")
+    assert one(spark, text.symbol_key(t, greek=True), t="tgf-β") == "TGF-BETA"
+    assert one(spark, text.species_key(t), t="Species: 'Mus musculus'.") == "mus musculus"
+    got = one(spark, text.span_without_suffix(t, F.lit(10)), t="p53 protein family")
+    assert (got.mention, got.end) == ("p53", 13)
+    assert one(spark, text.strip_field(t), t="\u00a0 x ") == "x" and one(spark, text.strip_field(t), t="x y") == "x y" and one(spark, text.strip_field(t), t="") == ""
+
+
+def test_families(spark):
+    t = F.col("t")
+    assert one(spark, diagnostics.family_candidates(t), t="WNT3") == sorted(diagnostics.FAMILY_GENES["wnt"].split())
+    assert one(spark, diagnostics.family_candidates(t), t="NF-κB") == sorted(diagnostics.FAMILY_GENES["nfkappab"].split())
+    assert one(spark, diagnostics.family_candidates(t), t="p38 MAPK/Akt1") == sorted(diagnostics.FAMILY_GENES["mapk"].split())
+    assert one(spark, diagnostics.family_candidates(t), t="BRCA1") == []
+    rows = spark.createDataFrame([("WNT", False, True), ("H3", True, True), ("x", False, True), (None, False, False)], "mention string, right boolean, oracle boolean")
+    assert tuple(diagnostics.trigger_report(rows).head()) == (4, 2, 1, 1, 2, 1)
+
+
+def test_gene_table_entities(spark):
+    rows = [(1, "9606", "1", "ABC", ["abc", "Abc2", "-"], "a gene"), (2, "9606", "1", "later", [], "x"), (3, "1", "2", "other", [], "y"), (4, "9606", "3", "-", [], "z"), (5, "10090", "4", "D", ["E"], None)]
+    info = spark.createDataFrame(rows, "_ord int, tax_id string, gene_id string, symbol string, synonyms array<string>, description string")
+    assert [tuple(r) for r in knowledge.gene_info_entities(info).collect()] == [("1", "9606", "human", "ABC", "ABC Abc2 human a gene")]
+
+
+def test_remote_annotations(spark):
+    answer = {"annotations": [
+        {"obj": "gene", "id": ["NCBIGene:7", "x"], "mention": "TP53", "span": {"begin": 0, "end": 4}}, {"obj": "gene", "id": ["other:1", "NCBIGene:9"], "mention": "B", "span": {"begin": 1, "end": 2}},
+        {"obj": "gene", "id": []}, {"obj": "disease", "id": ["NCBIGene:5"], "mention": "flu", "span": {"begin": 3, "end": 5}}]}
+    body = json.dumps(answer)
+
+    def transport():
+        def call(t):
+            if t == "bad":
+                raise TimeoutError("120 s")
+            return "no json" if t == "odd" else body
+
+        return call
+
+    docs = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", "odd"), ("4", None)], "doc_id string, text string")
+    made = annotator.request_annotations(docs, transport, pace=0.0).cache()
+    assert {r.doc_id: r.error for r in made.collect()} == {"1": None, "2": "TimeoutError: 120 s", "3": None}
+    assert [tuple(r) for r in annotator.parse_annotations(made).collect()] == [("1", 0, 4, "TP53", "Gene", "7")]
+
+
+def test_tokens_of_long_texts_are_linear(spark):
+    df = spark.createDataFrame([(1, "word " * 200_000), (2, None), (3, "")], "id int, t string")
+    assert contexts.tokens(df, "t").count() == 200_000
+    assert df.select(F.size(text.simple_sentences(F.repeat(F.lit("One. "), 50_000))).alias("n")).head().n == 50_000
+
+
 def test_first_last_mode_ties(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "y", 3), ("a", "x", 4), ("b", None, 5)], "k string, v string, o int")
     assert {r.k: r.v for r in ordering.first_wins(df, ["k"], "o").collect()} == {"a": "x", "b": None}
@@ -155,7 +252,7 @@ def test_prompts_and_rejects(spark):
 def test_encoder_and_dense(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, None)], "id bigint, text string")
     v = retrieval.encode_texts(df, models.stub_encoder)
-    got = retrieval.dense_top(v, v, 2, block=2, tile=2)
+    got = retrieval.dense_top(v, v, 2)
     assert {(r.query_id, r.pos): r.entity_id for r in got.collect()}[(1, 1)] == 1
 
 
@@ -166,7 +263,8 @@ def test_retries():
         calls.append(x)
         raise OSError
 
-    assert models.with_retries(call, 3, 0, 0)("a") is None
+    assert models.with_retries(call, 3, 0, 0)("a") == (None, "OSError: ")
+    assert models.with_retries(str.upper, 3, 0, 0)("a") == ("A", None)
     assert len(calls) == 3
 
 
@@ -185,6 +283,9 @@ def test_line_formats(spark, tmp_path):
     assert {(r.term, r.n_count) for r in lines.read_dictionary(spark, str(tmp_path / "k")).collect()} == {("A", 5), ("B", 0)}
     (tmp_path / "t").write_text('a\tb\nNA\t"x ""y"""\n\t2\n')
     assert sorted(tuple(r) for r in lines.read_tsv(spark, str(tmp_path / "t")).collect()) == [("", "2"), ("NA", 'x "y"')]
+    assert not lines.has_open_lines(spark, str(tmp_path / "t"))
+    (tmp_path / "o").write_text('a\tb\n1\t"x\ny"\n')
+    assert lines.has_open_lines(spark, str(tmp_path / "o")) and [tuple(r) for r in lines.read_tsv(spark, str(tmp_path / "o")).collect()] == [("1", "x\ny")]
     (tmp_path / "p").write_text("case_id\tanswer\nc1\tAnswer: B\tC\nbroken\n")
     assert [tuple(r)[1:] for r in lines.read_predictions(spark, str(tmp_path / "p")).collect()] == [("c1", "Answer: B\tC")]
     (tmp_path / "j").write_text('{"a": 1}\n\n{"a": 2}\n')
