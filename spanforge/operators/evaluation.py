@@ -24,16 +24,19 @@ def recall_at(rows: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 
 def selector_metrics(rows: DataFrame) -> DataFrame:
-    """rows: gold (array), candidates (array of structs), letter. Missing, invalid and wrong letters are told apart."""
+    """rows: gold (array), candidates (array of structs), letter, and perhaps prompted. Missing, invalid and wrong letters
+    are told apart; an answer is missing where a prompt was written, which is where there are candidates if not said."""
     ids = F.transform("candidates", lambda c: c["gene_id"])
     picked = candidate_at(F.col("candidates"), F.col("letter"))["gene_id"]
     has = F.coalesce(F.size("candidates"), F.lit(0)) > 0
     inside = F.coalesce(F.arrays_overlap(ids, F.col("gold")), F.lit(False))
     right = F.coalesce(F.array_contains("gold", picked), F.lit(False))
-    made = rows.select(has.alias("has"), inside.alias("inside"), right.alias("right"), picked.isNotNull().alias("valid"), F.col("letter").isNotNull().alias("answered"))
+    prompted = F.col("prompted") if "prompted" in rows.columns else has
+    made = rows.select(has.alias("has"), prompted.alias("prompted"), inside.alias("inside"), right.alias("right"), picked.isNotNull().alias("valid"), F.col("letter").isNotNull().alias("answered"))
     n = F.count(F.lit(1))
     counts = made.agg(
-        n.alias("n"), F.count_if(~F.col("has")).alias("no_candidate"), F.count_if("answered").alias("answered"),
+        n.alias("n"), F.count_if(~F.col("has")).alias("no_candidate"), F.count_if("prompted").alias("prompts"), F.count_if("answered").alias("answered"),
+        F.count_if(F.col("prompted") & ~F.col("answered")).alias("missing"),
         F.count_if(F.col("answered") & ~F.col("valid")).alias("invalid"), F.count_if("inside").alias("gold_in_list"), F.count_if("right").alias("correct"),
     )
     c = F.col

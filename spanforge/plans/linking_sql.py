@@ -276,7 +276,7 @@ SELECT item_id, coalesce(nullif(upper(regexp_extract(t, '(?i)Answer:\\s*([A-Z])'
   coalesce(nullif(upper(regexp_extract(t, '(?i)Answer\\s*:\\s*([A-E]){_END}', 1)), ''), nullif(regexp_extract(t, '{_EDGE}([A-E]){_END}', 1), '')) AS option,
   nullif(regexp_extract(t, 'GeneID:\\s*([0-9]+)', 1), '') AS gene, nullif(regexp_extract(t, 'Symbol:\\s*([A-Za-z0-9_.\\-/]+)', 1), '') AS symbol FROM s""",
     "selector_scores": f"""WITH {LISTS}, r AS (SELECT gold, ids, CASE WHEN row_id % 7 <> 0 THEN row_id % 5 END AS l FROM lists WHERE len(gold) > 0),
-c AS (SELECT count(*) AS n, count(*) FILTER (ids IS NULL) AS no_candidate, count(l) AS answered, count(*) FILTER (l IS NOT NULL AND ids[l + 1] IS NULL) AS invalid,
+c AS (SELECT count(*) AS n, count(*) FILTER (ids IS NULL) AS no_candidate, count(*) FILTER (ids IS NOT NULL) AS prompts, count(*) FILTER (ids IS NOT NULL AND l IS NULL) AS missing, count(l) AS answered, count(*) FILTER (l IS NOT NULL AND ids[l + 1] IS NULL) AS invalid,
   count(*) FILTER (list_has_any(ids, gold)) AS gold_in_list, count(*) FILTER (list_contains(gold, ids[l + 1])) AS correct FROM r)
 SELECT *, {_rate('gold_in_list', 'n')} AS recall, {_rate('correct', 'gold_in_list')} AS selector_accuracy, {_rate('correct', 'n')} AS final_accuracy FROM c""",
     "option_texts": f"""WITH {CANDS} SELECT row_id, string_agg(chr(CAST(64 + pos AS INTEGER)) || '. GeneID: ' || gene_id || ' | Species: ' || species || ' | Matched term: ' || term, chr(10) ORDER BY pos) AS "full",
