@@ -258,6 +258,13 @@ SELECT count(*) AS n, round(avg(w), 6) AS words_mean, median(w) AS words_median,
     "gold_mentions": GOLD_ALL,
     "gene_mentions": GOLD,
     "document_texts": TEXTS,
+    "document_canvas": f"""WITH {_TEXTS_OF}, q AS (SELECT rec_id, parent_no AS i, try_cast(json_extract_string(e, '$.offsets[0][0]') AS INTEGER) AS s, try_cast(json_extract_string(e, '$.offsets[0][1]') AS INTEGER) AS n FROM ({_parent('passages')})),
+sp AS (SELECT rec_id, s, n, array_to_string(ts, ' ') AS t FROM p JOIN q USING (rec_id, i) WHERE s IS NOT NULL AND n IS NOT NULL AND ts IS NOT NULL),
+l AS (SELECT rec_id, max(n) AS size, list({{'s': s, 'n': n, 't': t}} ORDER BY s, n, t) AS xs FROM sp GROUP BY rec_id)
+SELECT r.rec_id, coalesce(list_reduce(list_prepend({{'s': 0, 'n': 0, 't': rpad('', size, ' ')}}, xs), lambda a, b: {{'s': 0, 'n': 0,
+    't': substring(a.t, 1, b.s) || substring(b.t, 1, greatest(b.n - b.s, 0)) || substring(a.t, b.s + length(substring(b.t, 1, greatest(b.n - b.s, 0))) + 1)}}).t, '') AS canvas,
+  coalesce(list_reduce(list_prepend({{'s': 0, 'n': 0, 't': ''}}, xs), lambda a, b: {{'s': 0, 'n': 0, 't': rpad(a.t, greatest(length(a.t), b.s)::INTEGER, ' ') || b.t}}).t, '') AS padded
+FROM r LEFT JOIN l USING (rec_id)""",
     "span_accuracy": f"""WITH {SPANS}, j AS (SELECT gold, p.gene_id, p.doc_id IS NOT NULL AS seen FROM gspan g LEFT JOIN pspan p ON g.doc_id = p.doc_id AND g.start_pos = p.start_pos AND g.end_pos = p.end_pos),
 c AS (SELECT count(*) AS n_gold, count(*) FILTER (seen) AS recognised, count(*) FILTER (list_contains(gold, gene_id)) AS correct FROM j)
 SELECT *, {_rate('correct', 'n_gold')} AS accuracy_all, {_rate('correct', 'recognised')} AS accuracy_recognised, {_rate('recognised', 'n_gold')} AS recognition_rate FROM c""",

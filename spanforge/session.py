@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +22,21 @@ def build_session(app: str = "spanforge", cores: int | str = 8, memory: str = "1
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the session names, else a new one (local runs only)."""
+    """The folder for checkpoints: the one the session names, else a new one, gone at exit (local runs only). Files whose
+    frames are gone go with them where spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     context = spark.sparkContext
     configured = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spanforge-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     return configured

@@ -274,6 +274,13 @@ def test_arrow_files(spark, tmp_path):
         with pa.OSFile(str(tmp_path / name), "wb") as f, make(f, table.schema) as w:
             w.write_table(table)
     assert sorted((r.id, r.t) for r in arrow_ipc.read_arrow(spark, str(tmp_path)).collect()) == [(1, ["a"]), (1, ["a"]), (2, None), (2, None)]
+    for path in (f"file://{tmp_path}", str(tmp_path / "*.arrow"), f"file://{tmp_path}/*.arrow"):
+        assert arrow_ipc.read_arrow(spark, path).count() == 4
+    with pa.OSFile(str(tmp_path / "many"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+        for _ in range(arrow_ipc.BATCHES + 5):
+            w.write_table(table)
+    many = arrow_ipc.read_arrow(spark, str(tmp_path / "many"))
+    assert many.count() == 2 * (arrow_ipc.BATCHES + 5) and many.rdd.getNumPartitions() == 2
 
 
 def test_line_formats(spark, tmp_path):
