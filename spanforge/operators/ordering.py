@@ -44,7 +44,7 @@ def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: in
     return ranked.where(F.col(name) <= most)
 
 
-def numbered(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+def numbered(df: DataFrame, order: str | list[Column], name: str = "ordinal") -> DataFrame:
     """Global ordinal from 1 in the given order without a single-task sort. The sorted rows are written once, each with
     its place in its partition: a second evaluation could cut the ranges elsewhere. The partitions' sizes, a few thousand
     at most, give the offsets."""
