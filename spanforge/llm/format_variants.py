@@ -23,7 +23,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.session import shuffle_width
+from spanforge.session import cut, shuffle_width
 
 BUCKETS = 1 << 14
 SALTS = 64
@@ -60,19 +60,21 @@ def record_keys(kb: DataFrame, taxa: DataFrame, id_col: str = "kb_id") -> DataFr
     return kinds.select("id", F.explode(key).alias("key"))
 
 
-def hot_keys(keyed: DataFrame) -> list[str]:
-    """The keys that hold at least rows / (4 x shuffle partitions) rows, found exactly; at most 4 x shuffle partitions."""
+def hot_keys(keyed: DataFrame) -> tuple[list[str], DataFrame]:
+    """The keys that hold at least rows / (4 x shuffle partitions) rows, found exactly; at most 4 x shuffle partitions. And
+    the rows to go on with: where a bucket is full enough they are written, so that the keys are made twice in all."""
     width = shuffle_width(keyed.sparkSession)
     bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
     counts = keyed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     full = counts.select("bucket", "n", F.sum("n").over(Window.partitionBy()).alias("rows"))  # at most BUCKETS rows
     full = full.where(F.col("n") * 4 * width >= F.col("rows")).where(F.col("n") > 1).collect()
     if not full:
-        return []
+        return [], keyed
+    keyed = cut(keyed.select("id", "key"))
     least = full[0]["rows"] / (4 * width)
     within = keyed.where(bucket.isin([r["bucket"] for r in full]))
     exact = within.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("n") > 1))
-    return [r["key"] for r in exact.select("key").collect()]
+    return [r["key"] for r in exact.select("key").collect()], keyed
 
 
 def _split(keyed: DataFrame, hot: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +90,7 @@ def _hot_records(rows: DataFrame) -> DataFrame:
 
 def collapse_records(keyed: DataFrame) -> DataFrame:
     """One row per record: key, representative (the smallest id) and number of copies."""
-    hot = hot_keys(keyed)
+    hot, keyed = hot_keys(keyed)
     if not hot:
         return keyed.groupBy("key").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n"))
     hot_rows, others = _split(keyed, hot)
@@ -98,7 +100,7 @@ def collapse_records(keyed: DataFrame) -> DataFrame:
 def copies_beyond_first(keyed: DataFrame) -> DataFrame:
     """(lo, hi) for each copy beyond the first. Hot rows look their representative up in a broadcast of at most
     4 x shuffle partitions rows; the others meet it in one sorted pass over their shuffle partition."""
-    hot = hot_keys(keyed)
+    hot, keyed = hot_keys(keyed)
     hot_rows, others = _split(keyed, hot) if hot else (None, keyed)
     order = Window.partitionBy("key").orderBy("id")
     ranked = others.select("id", F.first("id").over(order).alias("lo"), F.row_number().over(order).alias("nth"))
