@@ -2,7 +2,7 @@
 
 (1) Document ids are brought to one spelling; ids of one article are linked over any number of alias rows, so the
 groups are the connected components of the alias graph, found by alternating star contractions (each round is a
-minimum per node and a join; rounds grow with the logarithm of the longest chain). (2) Groups are weighed by their rows.
+minimum per node and a join; rounds grow with the logarithm of the longest chain, and end when every component is a star). (2) Groups are weighed by their rows.
 (3) Largest-differencing balance: groups sorted by weight fill tuples of ``BINS`` slots; the two tuples of greatest
 spread are combined again and again, heaviest slot on lightest, until one tuple of nearly equal bins is left. While
 there are more than ``TUPLES`` tuples, all neighbours in the order of spread are combined in parallel, halving their
@@ -26,22 +26,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import article_id, pmid
+from spanforge.operators.ordering import numbered
 from spanforge.session import cut, shuffle_width
 
 BINS = 500
 TUPLES = 5_000
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
-_OUTER = r"^[\s\p{Z}\x{FEFF}\x{200B}]+|[\s\p{Z}\x{FEFF}\x{200B}]+$"
-_PMID = r"^(?:(?:https?://)?[a-z0-9.]*pubmed[a-z0-9.]*(?:[/:\s#=_-]+id)?[/:\s#=_-]*|(?:pmid|medline|pm)(?:[/:\s#=_-]+id)?[/:\s#=_-]*)?0*([1-9][0-9]{7})(?:\.[0-9]+|v[0-9]+)?/?\z"
-
 
 def article_key(doc_id: Column) -> Column:
     """'a' and eight digits for a PMID, 'b' and the folded id for any other, null for a null or blank one: the least
     key of a group is its smallest PMID, if it has one."""
-    folded = F.lower(F.regexp_replace(doc_id, _OUTER, ""))
-    digits = F.regexp_extract(folded, _PMID, 1)
-    return F.when(digits != "", F.concat(F.lit("a"), digits)).when(folded != "", F.concat(F.lit("b"), folded))
+    return F.coalesce(F.concat(F.lit("a"), pmid(doc_id)), F.concat(F.lit("b"), article_id(doc_id)))
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -61,21 +58,25 @@ def _minima(edges: DataFrame) -> DataFrame:
     return of_hubs.unionByName(others)
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether each node points to one root, and no root points on: then every component is one star. One aggregation of
+    narrow rows."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    each = ends.groupBy("node").agg(F.sum("child").alias("children"), F.max("root").alias("root"))
+    return each.where("children > 1 OR (children = 1 AND root = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the least node of its component."""
     pairs = edges.select("u", "v").where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct()
     pairs = cut(pairs)
-    while True:
+    while not _are_stars(pairs):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _minima(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        met = _minima(large)
+        met = _minima(cut(large))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
-        small = cut(small.where("u <> v").distinct())
-        changed = not small.join(pairs, ["u", "v"], "left_anti").isEmpty() or small.count() != pairs.count()
-        pairs = small
-        if not changed:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        pairs = cut(small.where("u <> v").distinct())
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _combine(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,17 +110,8 @@ def difference(tuples: np.ndarray) -> np.ndarray:
 
 
 def _ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """df with its global rank ``r`` from 0 in the given order; one range shuffle, no single task. The counts of the
-    partitions, a few thousand rows at most, make the offsets."""
-    placed = cut(df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_i")))
-    part = F.shiftright("_i", 33)
-    ends = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = [], 0
-    for p in range(max(ends, default=-1) + 1):
-        starts.append(total)
-        total += ends.get(p, 0)
-    offset = F.element_at(F.array(*(F.lit(s) for s in starts)), part.cast("int") + 1) if starts else F.lit(0)
-    return placed.withColumn("r", offset.cast("bigint") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).drop("_i")
+    """df with its global rank ``r`` from 0 in the given order."""
+    return numbered(df, list(order), "r").withColumn("r", F.col("r") - 1)
 
 
 def _combine_pairs(k: int):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.chunk_encoding import encode_corpus
 from spanforge.llm.format_variants import collapse_records, copies_beyond_first, record_keys
-from spanforge.llm.grouped_splits import split_related
+from spanforge.llm.grouped_splits import BINS, PROPORTIONS, split_related
 from spanforge.llm.leakage import leaks
 from spanforge.llm.look_alikes import look_alike_classes, look_alike_pairs, visual_forms
 from spanforge.llm.nearest_vectors import nearest, usable
@@ -45,6 +48,15 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splits(spark, sf_dir).select(F.col("id").alias("row_id"), "split")
 
 
+def p3_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the splits: every row has one, no group has two, and none misses its proportion by more than the
+    heaviest group or an equal bin."""
+    groups = _splits(spark, sf_dir).groupBy("grp").agg(F.count(F.lit(1)).alias("w"), F.countDistinct("split").alias("n"), F.min("split").alias("split"))
+    n, heaviest = F.sum("w"), F.greatest(F.max("w"), F.ceil(F.sum("w") / BINS))
+    off = (F.abs(F.sum(F.when(F.col("split") == s, F.col("w")).otherwise(0)) - p * n) <= heaviest for s, p in PROPORTIONS.items())
+    return groups.agg(n.alias("n_rows"), F.count_if((F.col("n") > 1) | F.col("split").isNull()).alias("torn_groups"), reduce(and_, off).alias("balanced"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = usable(table(spark, sf_dir, "bioelqa_dev_mention_vectors"), "row_id", "embedding")
     entities = usable(table(spark, sf_dir, "bioelqa_dev_candidates_sapbert_genelevel_top20"), "entity_id", "embedding")
@@ -77,6 +89,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p3_invariants": p3_invariants,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
@@ -103,6 +116,7 @@ SQL = {
     "p1_found": f"""{_P1}
 SELECT kb_lo, kb_id AS kb_hi FROM (SELECT kb_id, min(kb_id) OVER (PARTITION BY term, gene, species) AS kb_lo FROM keyed) WHERE kb_id <> kb_lo""",
     "p1_records": f"{_P1} SELECT min(kb_id) AS kb_lo, count(*) AS n_copies FROM keyed GROUP BY term, gene, species",
+    "p3_invariants": "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS torn_groups, true AS balanced FROM bioelqa_dev_mentions",
     "p3_found": f"""WITH RECURSIVE edges AS (
   SELECT {_P3_KEY.format('id_a')} AS u, {_P3_KEY.format('id_b')} AS v FROM doc_aliases WHERE id_a IS NOT NULL AND id_b IS NOT NULL),
 both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),

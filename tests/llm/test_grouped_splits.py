@@ -52,6 +52,13 @@ def test_hubs_take_the_broadcast(spark, monkeypatch):
     assert {r.node: r.root for r in g.components(df).collect()} == brute(pairs)
 
 
+def test_star_ends_the_rounds(spark):
+    star = spark.createDataFrame([("b", "a"), ("c", "a"), ("e", "d")], "u string, v string")
+    assert g._are_stars(star) and g._are_stars(star.where("false"))
+    assert not g._are_stars(star.union(spark.createDataFrame([("c", "d")], star.schema)))
+    assert not g._are_stars(star.union(spark.createDataFrame([("a", "Z")], star.schema)))
+
+
 def test_difference_balances():
     rng = np.random.default_rng(0)
     w = np.sort(rng.integers(1, 100, 400))[::-1].reshape(40, 10)
