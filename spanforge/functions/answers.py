@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The forms of an answer are those of the patterns below.
 _EDGE, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
@@ -31,8 +32,9 @@ def gene_number(text: Column) -> Column:
     return _found(text, r"GeneID:\s*([0-9]+)")
 
 
-def symbol(text: Column) -> Column:
-    return _found(text, r"Symbol:\s*([A-Za-z0-9_.\-/]+)")
+def symbol(text: Column, greedy: bool = False) -> Column:
+    """The word behind the label, or greedily the rest of its line."""
+    return F.trim(_found(text, r"Symbol:\s*(.+)")) if greedy else _found(text, r"Symbol:\s*([A-Za-z0-9_.\-/]+)")
 
 
 def tax_number(text: Column) -> Column:

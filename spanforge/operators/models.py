@@ -49,6 +49,21 @@ def score_letters(prompts: DataFrame, factory: Callable, spellings: tuple[str, .
     return scored.withColumn("letter", letter)
 
 
+def loss_scorer(factory: Callable) -> Callable:
+    """A scorer for ``score_letters`` from a sequence model: ``factory()`` gives a function from texts and targets to mean
+    losses and numbers of target tokens; the score is minus the loss of the whole target."""
+    def make() -> Callable:
+        model = factory()
+
+        def score(texts: list[str], targets: list[str]) -> list[float]:
+            losses, lengths = model(texts, targets)
+            return [-loss * length for loss, length in zip(losses, lengths, strict=True)]
+
+        return score
+
+    return make
+
+
 def score_pairs(pairs: DataFrame, factory: Callable, columns: list[str]) -> DataFrame:
     """pairs with ``score``; the factory's function takes two lists of texts."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), "score double"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.candidates import entries, option_lines, unpack
 from spanforge.functions.text import flat
 
-TEMPLATES = ("candidates", "context", "compact", "direct", "symbol")
+TEMPLATES = ("candidates", "context", "compact", "marked", "direct", "symbol", "species", "family", "rerank")
 
 
 def prompt_text(template: str, mention: Column, context: Column, options: Column | None = None) -> Column:
@@ -19,6 +19,10 @@ def prompt_text(template: str, mention: Column, context: Column, options: Column
         "candidates": F.concat(F.lit("Mention: "), m, F.lit("\nContext: "), flat(c), F.lit("\nCandidates:\n"), o, F.lit("\nGive the letter of the gene as Answer: <letter>.")),
         "context": F.concat(F.lit("Text: "), flat(c), F.lit("\nWhich gene is "), m, F.lit("?\n"), o, F.lit("\nAnswer:")),
         "compact": F.concat(F.lit("question: which gene is "), m, F.lit("? options: "), F.replace(o, F.lit("\n"), F.lit(" "))),
+        "marked": F.concat(F.lit("Text: "), flat(F.replace(c, m, F.concat(F.lit("[MENTION]"), m, F.lit("[/MENTION]")))), F.lit("\nOptions for the marked gene:\n"), o, F.lit("\nAnswer:")),
+        "species": F.concat(F.lit("Mention: "), m, F.lit("\nContext: "), flat(c), F.lit("\nGive the organism as TaxID: <number or unclear> and Species: <name>.")),
+        "family": F.concat(F.lit("Mention: "), m, F.lit("\nContext: "), flat(c), F.lit("\nThe mention may stand for a family of genes. Options:\n"), o, F.lit("\nGive the letter of the gene meant as Answer: <letter>.")),
+        "rerank": F.concat(F.lit("Mention: "), m, F.lit("\nContext: "), flat(c), F.lit("\nCandidate: "), o, F.lit("\nIs this the gene meant? Answer: <A for yes, B for no>.")),
         "direct": F.concat(F.lit("Mention: "), m, F.lit("\nContext: "), flat(c), F.lit("\nGive the identifier as GeneID: <number>.")),
         "symbol": F.concat(F.lit("Mention: "), m, F.lit("\nContext: "), flat(c), F.lit("\nGive the official symbol as Symbol: <symbol>.")),
     }[template]

@@ -152,7 +152,7 @@ def lexical_scores(spark, d):
     met = rows.select("row_id", "mention", "context", F.explode(candidates.gold_set(F.col("gold_geneid"))).alias("gene_id")).join(genes, "gene_id")
     f = evaluation.lexical_features(F.col("mention"), F.col("terms"), F.col("context"))
     bonus = evaluation.lexical_bonus(F.col("mention"), F.col("terms"), F.col("context"))
-    return met.select("row_id", "gene_id", f["exact"].alias("exact"), f["appears"].alias("appears"), F.round(bonus, 6).alias("bonus"))
+    return met.select("row_id", "gene_id", f["exact"].alias("exact"), f["appears"].alias("appears"), F.array_join(f["overlap"], "|").alias("overlap"), F.round(bonus, 6).alias("bonus"))
 
 
 def context_attached(spark, d):
@@ -301,7 +301,7 @@ def parsed_answers(spark, d):
     cases = " ".join(f"WHEN {i} THEN {a}" for i, a in enumerate(_ANSWERS))
     said = table(spark, d, ITEMS).select("item_id", F.expr(f"CASE item_id % 6 {cases} END").alias("said"))
     t = F.col("said")
-    return said.select("item_id", answers.answer_letter(t).alias("letter"), answers.option_letter(t).alias("option"), answers.gene_number(t).alias("gene"), answers.symbol(t).alias("symbol"))
+    return said.select("item_id", answers.answer_letter(t).alias("letter"), answers.option_letter(t).alias("option"), answers.gene_number(t).alias("gene"), answers.symbol(t).alias("symbol"), answers.symbol(t, greedy=True).alias("symbol_line"))
 
 
 def selector_scores(spark, d):
@@ -363,15 +363,20 @@ def dominant_genes(spark, d):
     return _rescue(spark, d)
 
 
-def rescued(spark, d):
+def rescued(spark, d, only_missing=True):
     """Dictionary predictions, the missing ones filled from reliable mentions; and what that gains and hurts."""
     top = _candidates(spark, d, 1).select("row_id", "gene_id")
     base = table(spark, d, MENTIONS).select("row_id", F.lower("mention").alias("key"), candidates.gold_set(F.col("gold_geneid")).alias("gold")).join(top, "row_id", "left")
     sure = evaluation.reliable(_rescue(spark, d)).select("key", F.col("top_value").alias("gene_id"))
-    filled = grounding.override(base.withColumn("before", F.col("gene_id")), sure, "key", "gene_id", only_missing=True)
+    filled = grounding.override(base.withColumn("before", F.col("gene_id")), sure, "key", "gene_id", only_missing=only_missing)
     return evaluation.gain_hurt(filled, F.array_contains("gold", F.col("before")), F.array_contains("gold", F.col("gene_id")))
 
 
+def overridden(spark, d):
+    """The same with reliable mentions put in wherever there are any."""
+    return rescued(spark, d, only_missing=False)
+
+
 def _parts(spark, d):
     """Mention rows with their gold genes and the part of their document."""
     rows = table(spark, d, MENTIONS).select(F.col("row_id").alias("id"), text.article_id(F.col("doc_id")).alias("doc"), candidates.gold_set(F.col("gold_geneid")).alias("gold")).where("doc IS NOT NULL")
@@ -475,7 +480,7 @@ QUERIES = {f.__name__: f for f in (
     dictionary_candidates, dictionary_recall, candidate_strings, dense_candidates, dense_genes, dense_recall, ngram_candidates, ngram_genes, lexical_scores, context_attached,
     context_windows, plain_sentences, sentence_contexts, offset_sanity, context_species, text_lengths, gold_mentions, gene_mentions, document_texts, document_canvas,
     span_accuracy, tuple_scores, span_scores, span_overlaps, error_stages, gold_cardinality, item_options, parsed_answers, selector_scores, option_texts, prompt_records,
-    position_map, order_stability, mapping_modes, dominant_genes, rescued, focus_species, seen_genes, seen_accuracy, split_overlap, document_split, occurrence_pairs,
+    position_map, order_stability, mapping_modes, dominant_genes, rescued, overridden, focus_species, seen_genes, seen_accuracy, split_overlap, document_split, occurrence_pairs,
     positional_pairs, row_cases, prompt_cases, training_examples, example_split, unanswered, token_spans,
     event_props, event_spread, order_lines,
 )} | {f"grounded_{c}": _ground(c) for c in ("species", "prior", "named", "global")}

@@ -229,10 +229,11 @@ best AS (SELECT s.query_id, gene_id, row_number() OVER (PARTITION BY s.query_id
 once AS (SELECT query_id, gene_id, min(r) AS r FROM best GROUP BY ALL)
 SELECT v.row_id AS query_id, gene_id, CAST(row_number() OVER (PARTITION BY v.row_id ORDER BY r) AS INTEGER) AS pos
 FROM once JOIN q ON q.id = once.query_id JOIN bioelqa_dev_mention_vectors v ON v.mention = q.text""",
-    "lexical_scores": f"""WITH terms AS (SELECT gene_id, list_filter(list_transform(list(DISTINCT term), lambda r: {_alnum('r')}), lambda t: length(t) >= 2) AS ts
+    "lexical_scores": f"""WITH terms AS (SELECT gene_id, list(DISTINCT term) AS raw, list_filter(list_transform(list(DISTINCT term), lambda r: {_alnum('r')}), lambda t: length(t) >= 2) AS ts
   FROM bioelqa_dev_candidates_sapbert_genelevel_top20 WHERE term IS NOT NULL GROUP BY gene_id),
 m AS (SELECT row_id, {_alnum('mention')} AS low, {_alnum('context')} AS ctx, unnest({_gold('gold_geneid')}) AS gene_id FROM bioelqa_dev_mentions WHERE gold_geneid IS NOT NULL AND mention IS NOT NULL AND context IS NOT NULL)
 SELECT row_id, gene_id, len(list_filter(ts, lambda t: t = low)) > 0 AS exact, len(list_filter(ts, lambda t: contains(ctx, t))) > 0 AS appears,
+  array_to_string(list_sort(list_filter(raw, lambda r: length({_alnum('r')}) >= 2 AND ({_alnum('r')} = low OR contains(ctx, {_alnum('r')}) OR contains(low, {_alnum('r')}) OR contains({_alnum('r')}, low))))[:10], '|') AS overlap,
   round(least(len(list_filter(ts, lambda t: t = low)) * 1.0::DOUBLE + len(list_filter(ts, lambda t: contains(ctx, t))) * 0.6::DOUBLE
     + len(list_filter(ts, lambda t: contains(low, t) OR contains(t, low))) * 0.3::DOUBLE, 2.0), 6) AS bonus FROM m JOIN terms USING (gene_id)""",
     "context_attached": """WITH u AS (SELECT * FROM bioelqa_dev_mentions_contexts QUALIFY row_number() OVER (PARTITION BY doc_id, mention, start_pos, end_pos, gold_geneid ORDER BY row_id) = 1)
@@ -281,7 +282,8 @@ FROM gspan g LEFT JOIN pspan p ON g.doc_id = p.doc_id AND g.start_pos = p.start_
     "parsed_answers": f"""WITH s AS (SELECT item_id, {_SAID} AS t FROM bioelqa_test_items)
 SELECT item_id, coalesce(nullif(upper(regexp_extract(t, '(?i)Answer:\\s*([A-Z])', 1)), ''), nullif(regexp_extract(t, '{_EDGE}([A-Z]){_END}', 1), ''), 'NONE') AS letter,
   coalesce(nullif(upper(regexp_extract(t, '(?i)Answer\\s*:\\s*([A-E]){_END}', 1)), ''), nullif(regexp_extract(t, '{_EDGE}([A-E]){_END}', 1), '')) AS option,
-  nullif(regexp_extract(t, 'GeneID:\\s*([0-9]+)', 1), '') AS gene, nullif(regexp_extract(t, 'Symbol:\\s*([A-Za-z0-9_.\\-/]+)', 1), '') AS symbol FROM s""",
+  nullif(regexp_extract(t, 'GeneID:\\s*([0-9]+)', 1), '') AS gene, nullif(regexp_extract(t, 'Symbol:\\s*([A-Za-z0-9_.\\-/]+)', 1), '') AS symbol,
+  nullif(trim(regexp_extract(t, 'Symbol:\\s*(.+)', 1)), '') AS symbol_line FROM s""",
     "selector_scores": f"""WITH {LISTS}, r AS (SELECT gold, ids, CASE WHEN row_id % 7 <> 0 THEN row_id % 5 END AS l FROM lists WHERE len(gold) > 0),
 c AS (SELECT count(*) AS n, count(*) FILTER (ids IS NULL) AS no_candidate, count(*) FILTER (ids IS NOT NULL) AS prompts, count(*) FILTER (ids IS NOT NULL AND l IS NULL) AS missing, count(l) AS answered, count(*) FILTER (l IS NOT NULL AND ids[l + 1] IS NULL) AS invalid,
   count(*) FILTER (list_has_any(ids, gold)) AS gold_in_list, count(*) FILTER (list_contains(gold, ids[l + 1])) AS correct FROM r)
@@ -344,6 +346,7 @@ SELECT row_id, CAST(min(ts) AS INTEGER) AS span_start, CAST(max(te) AS INTEGER)
     "order_lines": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS a FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderpriority, count(*) AS n_orders, round(sum(a), 2) AS amount FROM orders JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderpriority""",
 }
+SQL["overridden"] = SQL["rescued"].replace("coalesce(c.gene_id, d.top_value)", "coalesce(d.top_value, c.gene_id)")
 SQL["example_split"] = f"SELECT *, {_part("id || ':' || gold_id || ':' || gene_id", 7, 10, 'validation')} AS part FROM ({SQL['training_examples']})"
 #: Columns whose type DuckDB gives another width than Spark.
 _TYPES = {

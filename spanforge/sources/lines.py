@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import lenient_int
@@ -61,33 +61,52 @@ def gene_info_terms(info: DataFrame) -> DataFrame:
     return info.select("_ord", terms, "tax_id", "gene_id").where("term <> '-' AND term <> ''")
 
 
+def read_kb_lines(spark: SparkSession, path: str) -> DataFrame:
+    """_ord, term, tax_id, gene_id, n_count of a table with these four columns in this order: the header and lines with
+    fewer fields are left out, a count that's none is 0."""
+    lines = _fields(_lines(spark, path), 4)
+    header = spark.read.text(path).head()
+    if header:
+        lines = lines.where(F.col("value") != header[0])
+    return lines.select("_ord", _at(0).alias("term"), _at(1).alias("tax_id"), _at(2).alias("gene_id"), lenient_int(_at(3)).alias("n_count"))
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """_ord, term, tax_id, gene_id, n_count of a dictionary table: named columns by any of their names, else by place
-    (term, tax_id, gene_id, count). Lines with fewer than three fields are left out, a count that's none is 0."""
+    """_ord, term, tax_id, gene_id, n_count of a table whose header names the columns by any of their names; a missing one
+    raises, but for the count, which then is 0. Lines that don't reach a needed column are left out."""
     header = [h.strip().lower() for h in (spark.read.text(path).head() or [""])[0].split("\t")]
     where = {c: next((header.index(n) for n in names if n in header), None) for c, names in ALIASES.items()}
-    named = where["term"] is not None and where["gene_id"] is not None
-    place = where if named else {"term": 0, "tax_id": 1, "gene_id": 2, "n_count": 3}
-    lines = _fields(_lines(spark, path), 3)
-    if named:
-        lines = lines.where(F.lower("value") != "\t".join(header))
-    pick = lambda c: F.get("f", F.lit(place[c])) if place[c] is not None else F.lit(None).cast("string")
-    return lines.select("_ord", pick("term").alias("term"), pick("tax_id").alias("tax_id"), pick("gene_id").alias("gene_id"), lenient_int(pick("n_count")).alias("n_count"))
+    missing = [c for c in ("term", "tax_id", "gene_id") if where[c] is None]
+    if missing:
+        raise ValueError(f"the header names no {', '.join(missing)}")
+    lines = _fields(_lines(spark, path), max(where[c] for c in ("term", "tax_id", "gene_id")) + 1).where(F.lower("value") != "\t".join(header))
+    pick = lambda c: F.get("f", F.lit(where[c])) if where[c] is not None else F.lit(None).cast("string")
+    return lines.select("_ord", *(F.trim(pick(c)).alias(c) for c in ("term", "tax_id", "gene_id")), lenient_int(pick("n_count")).alias("n_count"))
 
 
 def guess_columns(fields: Column) -> Column:
-    """term, tax_id and gene_id of a headerless line by what looks like a number: the longer number is the gene."""
-    numbers = F.filter(fields, lambda x: x.rlike("^[0-9]+$"))
-    ordered = F.array_sort(F.transform(numbers, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    words = F.filter(fields, lambda x: ~x.rlike("^[0-9]+$") & (x != ""))
-    return F.struct(F.get(words, F.lit(0)).alias("term"), F.get(ordered, F.lit(0))["x"].alias("tax_id"), F.get(ordered, F.lit(1))["x"].alias("gene_id"))
+    """term, tax_id and gene_id of a line without a header, told by which of its first three fields are numbers: (tax,
+    gene, term), (term, gene, tax) or (gene, term, tax). Null for any other pattern or fewer than four fields."""
+    number = [F.coalesce(F.get(fields, F.lit(i)).rlike("^[0-9]+$"), F.lit(False)) for i in range(3)]
+    struct = lambda term, tax, gene: F.struct(F.get(fields, F.lit(term)).alias("term"), F.get(fields, F.lit(tax)).alias("tax_id"), F.get(fields, F.lit(gene)).alias("gene_id"))
+    a, b, c = number
+    enough = F.size(fields) >= 4
+    return F.when(enough & a & b & ~c, struct(2, 0, 1)).when(enough & ~a & b & c, struct(0, 2, 1)).when(enough & a & ~b & c, struct(1, 2, 0))
+
+
+def read_headerless(spark: SparkSession, path: str) -> DataFrame:
+    """_ord, term, tax_id, gene_id of such lines; those of no known pattern are left out."""
+    return _fields(_lines(spark, path), 4).select("_ord", guess_columns(F.col("f")).alias("g")).where("g IS NOT NULL").select("_ord", "g.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
     """One object per line; blank lines are skipped. The limit, if any, counts in file order."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
+    rows = spark.read.text(path)
     if limit is not None:
-        rows = rows.limit(limit)
+        # Ordered by file and place in it: only so many rows per task are kept and merged.
+        rows = rows.select("value", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_n"))
+        rows = rows.where(F.trim("value") != "").orderBy("_f", "_n").limit(limit)
+    rows = rows.where(F.trim("value") != "")
     return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
@@ -138,9 +157,11 @@ def packed_genes(packed: Column) -> Column:
 
 
 def read_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """file, line, cell_no, cell of every csv, tsv and txt file below a folder."""
+    """file, line (from 1), cell_no, cell of every csv, tsv and txt file below a folder; commas within quotes part nothing.
+    Lines are numbered within their file, so a file is the unit that one task must hold."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,tsv,txt}").text(folder)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-    sep = F.when(F.col("file").endswith(".csv"), F.lit(",")).otherwise(F.lit("\t"))
-    cells = F.split(F.when(sep == ",", F.replace("value", F.lit(","), F.lit("\t"))).otherwise(F.col("value")), "\t")
+    placed = files.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_n"), "value")
+    rows = placed.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("_n")).cast("bigint"))
+    commas = F.transform(F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"')))
+    cells = F.when(F.col("file").endswith(".csv"), commas).otherwise(F.split("value", "\t"))
     return rows.select("file", "line", F.posexplode(cells).alias("cell_no", "cell"))

@@ -137,6 +137,12 @@ def test_families(spark):
     assert tuple(diagnostics.trigger_report(rows).head()) == (4, 2, 1, 1, 2, 1)
 
 
+def test_stages_add_up_to_the_total(spark):
+    made = diagnostics.stacked([("a", 3), ("b", -1), ("c", 2)], 8, spark).collect()
+    assert [(r.stage, r.correct, r.accuracy) for r in made] == [("a", 3, 0.375), ("b", 2, 0.25), ("c", 4, 0.5)]
+    assert diagnostics.stacked([("a", 1)], 0, spark).head().accuracy == 0.0
+
+
 def test_gene_table_entities(spark):
     rows = [(1, "9606", "1", "ABC", ["abc", "Abc2", "-"], "a gene"), (2, "9606", "1", "later", [], "x"), (3, "1", "2", "other", [], "y"), (4, "9606", "3", "-", [], "z"), (5, "10090", "4", "D", ["E"], None)]
     info = spark.createDataFrame(rows, "_ord int, tax_id string, gene_id string, symbol string, synonyms array<string>, description string")
@@ -246,6 +252,9 @@ def test_prompts_and_rejects(spark):
     out = models.generate(made, models.stub_generator)
     assert [r.case_id for r in out.collect()] == ["c1"]
     scored = models.score_letters(made, models.stub_scorer, (" {}", "{}")).head()
+    loss = models.loss_scorer(lambda: lambda texts, ends: ([0.5 if e == "B" else 1.0 for e in ends], [2] * len(ends)))
+    assert models.score_letters(made, loss).head().asDict() == {"case_id": "c1", "letter": "B", **{f"score_{x}": -1.0 if x == "B" else -2.0 for x in models.LETTERS}}
+    assert all("rose" in r.p for t in prompts.TEMPLATES if t != "compact" for r in spark.range(1).select(prompts.prompt_text(t, F.lit("m"), F.lit("m rose")).alias("p")).collect())
     assert scored[f"score_{scored.letter}"] == max(scored[f"score_{x}"] for x in models.LETTERS)
 
 
@@ -299,11 +308,24 @@ def test_line_formats(spark, tmp_path):
     assert [r.a for r in lines.read_jsonl(spark, str(tmp_path / "j"), "a int").collect()] == [1, 2]
     got = one(spark, lines.packed_genes(F.col("s")), s="9606:9466-3562,*9244-3489|10090:218624-51395|bad")
     assert [(x.tax_id, x.gene_id) for x in got] == [("9606", "9466"), ("9606", "9244"), ("10090", "218624")]
-    got = one(spark, lines.guess_columns(F.split(F.col("s"), ",")), s="9606,ABC,100012")
-    assert (got.term, got.tax_id, got.gene_id) == ("ABC", "9606", "100012")
+    for line, want in {"9606,7,ABC,1": ("ABC", "9606", "7"), "ABC,7,9606,1": ("ABC", "9606", "7"), "7,ABC,9606,x": ("ABC", "9606", "7"), "A,B,7,1": None, "7,ABC,9606": None}.items():
+        got = one(spark, lines.guess_columns(F.split(F.col("s"), ",")), s=line)
+        assert (got and (got.term, got.tax_id, got.gene_id)) == want
+    (tmp_path / "h").write_text("ABC\t7\t9606\t1\nA\tB\tC\tD\n")
+    assert [tuple(r)[1:] for r in lines.read_headerless(spark, str(tmp_path / "h")).collect()] == [("ABC", "9606", "7")]
+    (tmp_path / "l").write_text("term\ttax_id\tgene_id\tcount\nA\t9606\t1\tx\nB\t9606\t2\n")
+    assert [tuple(r)[1:] for r in lines.read_kb_lines(spark, str(tmp_path / "l")).collect()] == [("A", "9606", "1", 0)]
+    (tmp_path / "m").write_text("a\tb\n1\t2\n")
+    with pytest.raises(ValueError, match="term, tax_id, gene_id"):
+        lines.read_dictionary(spark, str(tmp_path / "m"))
+    (tmp_path / "many").mkdir()
+    for name, rows in (("b", "3 4"), ("a", "1  2")):
+        (tmp_path / "many" / name).write_text("\n".join(f'{{"a": {x}}}' if x else "" for x in rows.split(" ")))
+    assert [r.a for r in lines.read_jsonl(spark, str(tmp_path / "many"), "a int", 3).collect()] == [1, 2, 3]
     (tmp_path / "d" / "e").mkdir(parents=True)
-    (tmp_path / "d" / "e" / "x.csv").write_text("a,b\n")
-    assert [r.cell for r in lines.read_cells(spark, str(tmp_path / "d")).orderBy("cell_no").collect()] == ["a", "b"]
+    (tmp_path / "d" / "e" / "x.csv").write_text('a,"b, ""c"""\nd,\n')
+    got = [(r.line, r.cell_no, r.cell) for r in lines.read_cells(spark, str(tmp_path / "d")).orderBy("line", "cell_no").collect()]
+    assert got == [(1, 0, "a"), (1, 1, 'b, "c"'), (2, 0, "d"), (2, 1, "")]
 
 
 def test_pubtator_round_trip(spark, tmp_path):
