@@ -375,13 +375,13 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _bitmap(codes: DataFrame, shingles_in_items: int) -> np.ndarray:
-    """Bits of the items' shingles, 16 for each up to ``MOST_BITS``: what reaches the driver has that bound."""
+    """Bits of the items' shingles, 16 for each up to ``MOST_BITS``: what reaches the driver, 64 bits a row, has that bound."""
     size = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(16 * max(1, shingles_in_items)))))
-    place = F.col("code").bitwiseAND(F.lit(size - 1))
-    bytes_ = codes.groupBy(F.shiftright(place, 3).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, CAST((code & {size - 1}) & 7 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(size // 8, np.uint8)
-    out[bytes_["at"].to_numpy(np.int64)] = bytes_["bits"].to_numpy(np.uint8)
-    return out
+    place = F.shiftright(F.col("code").bitwiseAND(F.lit(size - 1)), 6)
+    words = codes.groupBy(place.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(code & 63 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(size // 64, "<i8")
+    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
