@@ -86,7 +86,7 @@ class MultiIndex:
         for values in self.substrings(bits).T:
             starts = np.zeros((1 << self.sub) + 1, np.int64)
             np.cumsum(np.bincount(values, minlength=1 << self.sub), out=starts[1:])
-            self.tables.append((np.argsort(values, kind="stable"), starts))
+            self.tables.append((np.argsort(values, kind="stable").astype(np.int32), starts.astype(np.int32)))
 
     def substrings(self, bits: np.ndarray) -> np.ndarray:
         """Values of the substrings, one column each."""
@@ -103,8 +103,9 @@ class MultiIndex:
             n = starts[v + 1] - a
             met = np.nonzero(n)[0]
             a, n = a[met], n[met]
-            found_r.append(rows[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
-            found_q.append(np.repeat(met // len(masks), n))
+            ends = np.cumsum(n, dtype=np.int64)
+            found_r.append(rows[np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
+            found_q.append(np.repeat((met // len(masks)).astype(np.int32), n))
         return np.concatenate(found_q), np.concatenate(found_r)
 
 
@@ -112,13 +113,24 @@ Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # query, row, cosine
 NONE: Found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _best(so_far: Found, q: np.ndarray, r: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> Found:
-    """The k best of each query among those so far and the new pairs: cosine to nine places, then the smaller id. What
-    was met before counts too, wherever its code lies."""
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of codes, row by row."""
+    counts = np.bitwise_count(a ^ b)
+    total = counts[:, 0].astype(np.int16)
+    for w in range(1, counts.shape[1]):
+        total += counts[:, w]
+    return total
+
+
+def _best(so_far: Found, q: np.ndarray, r: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int) -> Found:
+    """The k best of each query among those so far and the new pairs, of which only such count that reach the k-th best so
+    far: cosine to nine places, then the smaller id. What was met before counts too, wherever its code lies."""
     score = np.empty(len(q))
     for a in range(0, len(q), 20_000):
         score[a : a + 20_000] = np.einsum("ij,ij->i", x[q[a : a + 20_000]], y[r[a : a + 20_000]])
-    q, r, score = (np.concatenate(c) for c in zip(so_far, (q, r, np.round(score, 9) + 0.0), strict=True))
+    score = np.round(score, 9) + 0.0
+    good = score >= least[q]
+    q, r, score = (np.concatenate(c) for c in zip(so_far, (q[good], r[good], score[good]), strict=True))
     order = np.lexsort((ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
     once = np.ones(len(q), bool)
@@ -152,15 +164,16 @@ def search(x: np.ndarray, y: np.ndarray, ids: np.ndarray, mean: np.ndarray, rota
             for table in range(0, m, GROUP):
                 upto = min(m, table + GROUP)
                 q, r = index.probe(values[first + active], flips, range(table, upto))
-                pair = active[q] * n + r
-                pair = pair[~seen[pair]]
-                seen[pair] = True
-                q, r = pair // n, pair % n
+                q = active[q]
+                pair = q * n + r
+                fresh = np.nonzero(~seen[pair])[0]
+                q, r = q[fresh], r[fresh]
+                seen[pair[fresh]] = True
                 share = np.arccos(np.clip(kth, -1, 1)) / math.pi
                 radius = width * share + SURE * np.sqrt(width * share * (1 - share))
-                near = np.bitwise_count(own[q] ^ index.codes[r]).sum(axis=1) <= radius[q]
-                if near.any():
-                    found = _best(found, q[near], r[near], vectors, y, ids, k)
+                near = np.nonzero(_distances(own[q], index.codes[r]) <= radius.astype(np.int16)[q])[0]
+                if len(near):
+                    found = _best(found, q[near], r[near], vectors, y, ids, kth, k)
                     kth = _kth(found, size, k)
                 at = np.rint(np.arccos(np.clip(kth[active], -1, 1)) / math.pi * 1000).astype(int)
                 miss = (1 - below[flips + 1, at]) ** upto * (1 - below[flips, at]) ** (m - upto)
