@@ -215,7 +215,7 @@ def nearest(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     if not asked:
         return spark.createDataFrame([], schema)
     # Each query is searched by itself: how many share a block changes no result.
-    spread_over = min(math.ceil(2 * spark.sparkContext.defaultParallelism / entity_blocks), math.ceil(asked / LEAST_QUERIES))
+    spread_over = min(math.ceil(spark.sparkContext.defaultParallelism / entity_blocks), math.ceil(asked / LEAST_QUERIES))
     query_blocks = max(math.ceil(asked / QUERY_BLOCK), spread_over)
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
