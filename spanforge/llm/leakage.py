@@ -16,7 +16,7 @@ band (positional bound), and then a chain of matching words with the fewest edit
 A document holds an item when it has the whole passage, or at least ``WORDS`` consecutive words of it, with at most one
 word in eight changed, added or missing; or ``LETTERS`` consecutive letters or digits unchanged. A changed number is a
 change like any other. A stretch with changes in which the item's symbols (words with a capital behind their first letter, or
-with letters and digits) are replaced throughout, also up to three words beside it, and none is kept, is a sentence of the
+with letters and digits) are replaced throughout, also up to five words beside it, and none is kept, is a sentence of the
 same build about something else and doesn't count.
 
 Defined results: null or empty texts and passages hold nothing. Items with the same passage all count. Repeated
@@ -211,14 +211,20 @@ def stretches(item: list[int], doc: list[int], low: int, high: int) -> bool:
 
 
 def _swap_near(item: list[int], doc: list[int], i: int, j: int, way: int) -> bool:
-    """Whether up to three words beside a match another symbol, or another word with the same build behind it, stands for
-    a symbol."""
-    same = lambda d: 0 <= i + way * d < len(item) and 0 <= j + way * d < len(doc) and item[i + way * d] >> 1 == doc[j + way * d] >> 1
-    for d in (1, 2, 3):
+    """Whether beside a match something else stands for a symbol of the item: another symbol up to three words on, or any
+    word up to five words on where the same build goes on before or behind it, also with a word more or less."""
+    def same(d: int, shift: int = 0) -> bool:
+        a, b = i + way * d, j + way * (d + shift)
+        return 0 <= a < len(item) and 0 <= b < len(doc) and item[a] >> 1 == doc[b] >> 1
+
+    met = False
+    for d in range(1, 6):
         a, b = i + way * d, j + way * d
         if not (0 <= a < len(item) and 0 <= b < len(doc)):
             return False
-        if item[a] & 1 and not same(d) and (doc[b] & 1 or same(d + 1) or same(d + 2)):
+        if same(d):
+            met = True
+        elif item[a] & 1 and (met or d <= 3 and doc[b] & 1 or any(same(d + e, s) for e in (1, 2) for s in (-1, 0, 1) if e + s > 0)):
             return True
     return False
 
