@@ -44,10 +44,6 @@ def normalised(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 ENTITY_BLOCK, QUERY_BLOCK, LEAST_QUERIES, SCORES = 50_000, 20_000, 500, 4_000_000
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pyarrow as pa
 import pytest
@@ -143,6 +144,42 @@ def test_stages_add_up_to_the_total(spark):
     assert diagnostics.stacked([("a", 1)], 0, spark).head().accuracy == 0.0
 
 
+def test_permutations_with_seeds(spark):
+    ids = [f"d{i}" for i in range(50)]
+    want = list(ids)
+    random.Random(42).shuffle(want)
+    assert diagnostics.sequential_permutation(ids, 42) == want
+    with pytest.raises(ValueError, match="million"):
+        diagnostics.sequential_permutation(ids, 42, most=10)
+    orders = diagnostics.sequential_orders([3, 0, 5], 7)
+    assert [sorted(o) for o in orders] == [[0, 1, 2], [], [0, 1, 2, 3, 4]] and orders == diagnostics.sequential_orders([3, 0, 5], 7)
+    rows = spark.range(100).select(diagnostics.hash_order(F.col("id"), 1).alias("a"), diagnostics.hash_order(F.col("id"), 2).alias("b")).collect()
+    assert len({r.a for r in rows}) == 100 and [r.a for r in rows] != [r.b for r in rows]
+
+
+def test_pair_scores(spark):
+    df = spark.createDataFrame([(1, "ab", "abc"), (2, "x", None)], "id int, a string, b string")
+    model = lambda: lambda left, right: [len(x or "") / (1 + len(y or "")) for x, y in zip(left, right, strict=True)]
+    assert {r.id: r.score for r in models.score_pairs(df, model, ["a", "b"]).collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_predictions_written_and_read(spark, tmp_path):
+    (tmp_path / "loose").write_text("noise\nrow test_case_7 Answer: B\nmy_case_12: C\n")
+    assert [(r.case_id, r.value[-1]) for r in lines.read_loose_predictions(spark, str(tmp_path / "loose")).collect()] == [("test_case_7", "B"), ("my_case_12", "C")]
+    flat = sinks.flat_predictions(spark.createDataFrame([("c", "a\tb\r\nc")], "case_id string, answer string"), ["answer"])
+    assert flat.head().answer == "a b  c"
+    for order, answer in ((1, "A"), (2, "B")):
+        sinks.append_predictions(spark.createDataFrame([("c", answer, order), ("d", "C", order)], "case_id string, answer string, n int"), str(tmp_path / "out"))
+    last = sinks.last_per_case(spark.read.parquet(str(tmp_path / "out")), "n")
+    assert sorted((r.case_id, r.answer) for r in last.collect()) == [("c", "B"), ("d", "C")]
+
+
+def test_single_letters(spark):
+    t = F.col("t")
+    assert one(spark, answers.known_letter(t), t=" b ") == "B" and one(spark, answers.known_letter(t), t="F") is None and one(spark, answers.known_letter(t), t="AB") is None
+    assert one(spark, answers.species(t), t="Species: Mus musculus\tx") == "Mus musculus"
+
+
 def test_gene_table_entities(spark):
     rows = [(1, "9606", "1", "ABC", ["abc", "Abc2", "-"], "a gene"), (2, "9606", "1", "later", [], "x"), (3, "1", "2", "other", [], "y"), (4, "9606", "3", "-", [], "z"), (5, "10090", "4", "D", ["E"], None)]
     info = spark.createDataFrame(rows, "_ord int, tax_id string, gene_id string, symbol string, synonyms array<string>, description string")
