@@ -70,7 +70,7 @@ def article_id(c: Column) -> Column:
 
 def compact_key(c: Column) -> Column:
     """Lower case without hyphens, underscores and spaces: the key of the dictionary lookup."""
-    return strip(F.translate(F.lower(c), "-_ ", ""))
+    return strip_field(F.translate(F.lower(c), "-_ ", ""))
 
 
 def alnum_key(c: Column, gap: str = "") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.candidates import distinct_folded
@@ -20,6 +20,13 @@ def clean_lines(kb: DataFrame, order: str = "kb_id") -> DataFrame:
     return rows.select("ord", kept, "n_count").select("ord", "r.term", "r.tax_id", "r.gene_id", "n_count")
 
 
+def lines_of(lines: DataFrame, asked: DataFrame, key: Column) -> DataFrame:
+    """The lines whose ``key`` is the value of a row of ``asked`` (one column): a dictionary for them needs no others, and
+    what is left out is not aggregated."""
+    keys = asked.select(F.col(asked.columns[0]).alias("_asked")).dropna().distinct()
+    return lines.join(keys, key == F.col("_asked"), "left_semi")
+
+
 def symbol_dictionary(lines: DataFrame, by_species: bool = True) -> DataFrame:
     """The most frequent gene of each upper-case term (and species); ties to the line seen first."""
     keys = ["term", "tax_id"] if by_species else ["term"]

@@ -25,7 +25,9 @@ def _dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return retrieval.dictionary_candidates(table(spark, d, MENTIONS), _dictionary(spark, d), k)
+    mentions = table(spark, d, MENTIONS)
+    lines = knowledge.lines_of(_lines(spark, d), mentions.select(text.compact_key(F.col("mention"))), text.compact_key(F.upper("term")))
+    return retrieval.dictionary_candidates(mentions, knowledge.symbol_dictionary(lines), k)
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -343,12 +345,18 @@ def _asked(spark, d):
     return _with_focus(spark, d).select("row_id", text.symbol_key(F.col("mention")).alias("term"), tax.alias("tax_id"))
 
 
+def _grounded(spark, d, cascade="species"):
+    asked = _asked(spark, d)
+    lines = knowledge.lines_of(_lines(spark, d), asked.select("term"), F.upper("term"))
+    return grounding.ground(asked, knowledge.symbol_dictionary(lines), cascade)
+
+
 def _ground(cascade):
-    return lambda spark, d: grounding.ground(_asked(spark, d), _dictionary(spark, d), cascade).select("row_id", "gene_id", "mode")
+    return lambda spark, d: _grounded(spark, d, cascade).select("row_id", "gene_id", "mode")
 
 
 def mapping_modes(spark, d):
-    made = grounding.ground(_asked(spark, d), _dictionary(spark, d))
+    made = _grounded(spark, d)
     gold = table(spark, d, MENTIONS).select("row_id", candidates.gold_set(F.col("gold_geneid")).alias("gold"))
     right = F.coalesce(F.array_contains("gold", F.col("gene_id")), F.lit(False))
     return made.join(gold, "row_id").groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("correct"))
